@@ -148,3 +148,8 @@ def invert_y(y) -> Column:
 def tolerant_bool(c) -> Column:
     """'true' in any case/padding → True; anything else or null → False."""
     return F.coalesce(F.lower(F.trim(col(c).cast("string"))) == F.lit("true"), F.lit(False))
+
+
+def try_cast(c, typ: str) -> Column:
+    """Cast that yields null instead of failing (ANSI-safe parse of text values)."""
+    return col(c).try_cast(typ)
