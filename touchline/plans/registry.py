@@ -19,19 +19,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def round_sql(sql: str, dbl: list[str]) -> str:
+def round_sql(sql: str, dbl: list[str], digits: int = 6) -> str:
     if not dbl:
         return sql
-    rep = ", ".join(f"round(CAST(\"{c}\" AS DOUBLE), 6) + 0.0 AS \"{c}\"" for c in dbl)
+    rep = ", ".join(f"round(CAST(\"{c}\" AS DOUBLE), {digits}) + 0.0 AS \"{c}\"" for c in dbl)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) q"
 
 
-def register(name: str, oracle: str | None = None, views: tuple = (), dbl: tuple = ()):
+def register(name: str, oracle: str | None = None, views: tuple = (), dbl: tuple = (), digits: int = 6):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
             if dbl:
-                df = df.withColumns({c: F.round(F.col(f"`{c}`").cast("double"), 6) + F.lit(0.0)
+                df = df.withColumns({c: F.round(F.col(f"`{c}`").cast("double"), digits) + F.lit(0.0)
                                      for c in dbl})
             return df
         run.__name__ = name
@@ -40,7 +40,7 @@ def register(name: str, oracle: str | None = None, views: tuple = (), dbl: tuple
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = round_sql(with_views(oracle, *views), list(dbl))
+            ORACLES[name] = round_sql(with_views(oracle, *views), list(dbl), digits)
         return fn
     return deco
 
