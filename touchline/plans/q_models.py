@@ -1 +1,115 @@
-"""(filled below)"""
+"""Model training, selection and scoring queries (rows-only checks: no SQL equivalent)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from touchline.operators import metrics as MT
+from touchline.operators import modeling as ML
+from touchline.operators.passes import pass_geometry, preprocess_passes
+from touchline.plans.registry import register
+from touchline.sources import views as V
+
+NUMERIC = ["start_x", "start_y", "end_x", "end_y", "length", "angle", "duration", "under_pressure",
+           "log_velocity", "angle_sin", "angle_cos", "progressive_distance", "direction_to_goal_cos"]
+CATEGORICAL = ["height", "body_part"]
+SMALL = {"maxIter": 10, "maxDepth": 3, "stepSize": 0.2, "subsamplingRate": 1.0}
+
+
+def frame(spark, sf):
+    g = pass_geometry(preprocess_passes(V.passes(spark, sf)))
+    return g.withColumnRenamed("outcome", "label").withColumn("label", F.col("label").cast("double"))
+
+
+def spec(**kw):
+    return ML.ModelSpec(NUMERIC, CATEGORICAL, "label", {**SMALL, **kw})
+
+
+@register("gbt_fit_predict")
+def q_gbt_fit_predict(spark, sf):
+    """ML1: fit on the training matches, score the hold-out match."""
+    f = frame(spark, sf)
+    return ML.fit_predict(spec(), f.where(F.col("match_id") != 7), f.where(F.col("match_id") == 7), ["pass_id"])
+
+
+@register("gbt_early_stop")
+def q_gbt_early_stop(spark, sf):
+    """ML2: rounds used when boosting stops on a 20 % stratified validation side."""
+    f = frame(spark, sf).where(F.col("match_id") != 7)
+    s = spec(maxIter=30)
+    model, used, _ = ML.early_stopped(s, f, "pass_id")
+    return spark.createDataFrame([(int(s.params["maxIter"]), int(used))], "max_rounds int, rounds_used int")
+
+
+@register("loss_curve")
+def q_loss_curve(spark, sf):
+    """ML3: train and validation log loss per boosting round."""
+    return ML.loss_curve(spec(), frame(spark, sf).where(F.col("match_id") != 7), "pass_id")
+
+
+@register("nested_cv")
+def q_nested_cv(spark, sf):
+    """ML4/SNK2: out-of-fold probabilities (row, fold, p) from a seeded stratified 3-fold loop."""
+    return ML.cross_val_oof(spec(), frame(spark, sf), "pass_id", k=3)
+
+
+@register("param_search")
+def q_param_search(spark, sf):
+    """ML5: seeded random search, mean inner-fold log loss per trial."""
+    return ML.param_search(spec(), frame(spark, sf).where(F.col("match_id") != 7), "pass_id", n_trials=2, k=2)
+
+
+@register("tune_and_train")
+def q_tune_and_train(spark, sf):
+    """ML6: 80/20 split → search on the 80 → refit with early stopping → score the 20."""
+    from touchline.operators.folds import stratified_split
+    f = frame(spark, sf).where(F.col("match_id") != 7)
+    s = stratified_split(f, "pass_id", "label", 2, seed=42).cache()
+    train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    trials = ML.param_search(spec(), train, "pass_id", n_trials=2, k=2)
+    best = spec(**ML.best_params(trials))
+    pred = ML.fit_predict(best, train, test, ["pass_id"]).withColumnRenamed("label", "y")
+    ll = MT.log_loss(pred).withColumn("k", F.lit(1))
+    auc = MT.roc_auc(pred).withColumn("k", F.lit(1))
+    return ll.join(auc, "k").drop("k")
+
+
+@register("final_train")
+def q_final_train(spark, sf):
+    """ML7: final fit on all training rows; training log loss."""
+    f = frame(spark, sf).where(F.col("match_id") != 7)
+    model = ML.fit(spec(), f)
+    scored = ML.positive_probability(model.transform(f.select("pass_id", *NUMERIC, *CATEGORICAL, "label")))
+    return MT.log_loss(scored.withColumnRenamed("label", "y"))
+
+
+@register("rfe")
+def q_rfe(spark, sf):
+    """ML8: recursive elimination to 4 features, two per step."""
+    s = ML.ModelSpec(["length", "angle", "duration", "start_x", "end_x", "log_velocity"], ["height", "body_part"],
+                     "label", dict(SMALL))
+    return ML.rfe(s, frame(spark, sf).where(F.col("match_id") != 7), 4, step=2)
+
+
+@register("forward_selection")
+def q_forward_selection(spark, sf):
+    """ML9: forward selection by importance while CV gain ≥ 0.001."""
+    s = ML.ModelSpec(["length", "duration", "start_x"], ["height"], "label", dict(SMALL))
+    return ML.forward_selection(s, frame(spark, sf).where(F.col("match_id") != 7), "pass_id")
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf):
+    """ML12: loss increase per permuted feature on the hold-out rows."""
+    f = frame(spark, sf)
+    s = ML.ModelSpec(["length", "duration", "start_x", "angle"], ["height"], "label", dict(SMALL))
+    model = ML.fit(s, f.where(F.col("match_id") != 7))
+    return ML.permutation_importance(model, s, f.where(F.col("match_id") == 7), "pass_id")
+
+
+@register("batch_score")
+def q_batch_score(spark, sf):
+    """ML13: arg-max label, probability, timestamp and model name for every pass."""
+    f = frame(spark, sf)
+    model = ML.fit(spec(), f.where(F.col("match_id") != 7))
+    return ML.batch_score(model, f, ["pass_id"], "gbt")
