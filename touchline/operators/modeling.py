@@ -50,10 +50,9 @@ class ModelSpec:
             idx_cols.append(f"{c}__idx")
         stages.append(VectorAssembler(inputCols=list(self.numeric) + idx_cols, outputCol="features",
                                       handleInvalid="keep"))
+        extra = {"validationIndicatorCol": validation_col, "validationTol": 0.0} if validation_col else {}
         gbt = GBTClassifier(labelCol=self.label, featuresCol="features", seed=SEED, maxBins=64,
-                            **{k: v for k, v in self.params.items()})
-        if validation_col:
-            gbt = gbt.setValidationIndicatorCol(validation_col).setValidationTol(0.0)
+                            **{k: v for k, v in self.params.items()}, **extra)
         stages.append(gbt)
         return Pipeline(stages=stages)
 
