@@ -36,7 +36,7 @@ def preprocess_passes(df: DataFrame) -> DataFrame:
     outcome → 1 when completed (null outcome) else 0."""
     return df.withColumns({
         "body_part": F.coalesce(F.col("body_part"), F.lit("Unknown")),
-        "under_pressure": F.coalesce(F.col("under_pressure"), F.lit(False)).cast("long"),
+        "under_pressure": F.coalesce(F.col("under_pressure").cast("boolean"), F.lit(False)).cast("long"),
         "outcome": F.when(F.col("outcome").isNull(), F.lit(1)).otherwise(F.lit(0)),
     })
 

@@ -113,3 +113,91 @@ def q_batch_score(spark, sf):
     f = frame(spark, sf)
     model = ML.fit(spec(), f.where(F.col("match_id") != 7))
     return ML.batch_score(model, f, ["pass_id"], "gbt")
+
+
+# ---- inference frame, bundles, scored formulas, streaming --------------------------------
+ROWWISE = ["(start_x+end_x)"]
+FITTED = "GroupByThenMean(length,height)"
+INF_FEATURES = ["length", "duration", "direction_to_goal_cos", "height", "autoFE_f_0", "autoFE_f_1"]
+
+
+def _fit_transformers(spark, sf):
+    from touchline.operators.encoders import CategoryCodes
+    from touchline.operators.formula import FormulaEncoder
+    g = frame(spark, sf)
+    train = g.where(F.col("match_id") != 7)
+    fitted = FormulaEncoder([FITTED]).fit_materialized(train)
+    mapping = CategoryCodes.fit(V.passes(spark, sf).where(F.col("match_id") != 7), ["height"])
+    return fitted, mapping
+
+
+@register("inference_frame", views=("passes",), dbl=("length", "direction_to_goal_cos", "autoFE_f_1"), oracle="""
+WITH g AS (SELECT pass_id, match_id, length * 0.9144 AS length, duration, height, start_x, end_x,
+  cos(angle - atan2(40.0 - start_y, 120.0 - start_x)) AS direction_to_goal_cos FROM passes),
+m AS (SELECT height, avg(length) AS v FROM g WHERE match_id <> 7 AND height IS NOT NULL GROUP BY 1)
+SELECT g.pass_id, g.length, g.duration, g.direction_to_goal_cos,
+  CASE WHEN g.height IN (SELECT DISTINCT height FROM g WHERE match_id <> 7) THEN g.height END AS height,
+  g.start_x + g.end_x AS autoFE_f_0, m.v AS autoFE_f_1 FROM g LEFT JOIN m ON g.height = m.height""")
+def q_inference_frame(spark, sf):
+    """FE16: the frame a scorer sees, built from raw passes with training-time state."""
+    from touchline.operators.inference import inference_frame
+    fitted, mapping = _fit_transformers(spark, sf)
+    return inference_frame(V.passes(spark, sf), ROWWISE, fitted, INF_FEATURES, mapping, keep=["pass_id"])
+
+
+def _bundle(spark, sf):
+    from touchline.operators.inference import inference_frame, save_bundle
+    from touchline.sources.io import scratch
+    fitted, mapping = _fit_transformers(spark, sf)
+    raw = V.passes(spark, sf)
+    fr = inference_frame(raw.where(F.col("match_id") != 7), ROWWISE, fitted, INF_FEATURES, mapping,
+                         keep=["pass_id", "outcome"])
+    fr = fr.withColumn("label", F.when(F.col("outcome").isNull(), 1.0).otherwise(0.0))
+    spec = ML.ModelSpec(["length", "duration", "direction_to_goal_cos", "autoFE_f_0", "autoFE_f_1"], ["height"],
+                        "label", dict(SMALL))
+    model = ML.fit(spec, fr)
+    path = scratch(spark, "bundle")
+    save_bundle(path, model, fitted, ROWWISE, INF_FEATURES, mapping, spark)
+    return path
+
+
+@register("bundle_roundtrip")
+def q_bundle_roundtrip(spark, sf):
+    """SNK3 + SRC7: train, freeze a bundle, load it back, score the hold-out match."""
+    from touchline.operators.inference import inference_frame, load_bundle
+    path = _bundle(spark, sf)
+    model, fitted, rowwise, feats, mapping = load_bundle(spark, path)
+    fr = inference_frame(V.passes(spark, sf).where(F.col("match_id") == 7), rowwise, fitted, feats, mapping,
+                         keep=["pass_id"])
+    return ML.batch_score(model, fr, ["pass_id"], "gbt")
+
+
+@register("load_scored_formulas")
+def q_load_scored_formulas(spark, sf):
+    """FE17: stage-1 scores written as text lines, read back and parsed (bad lines skipped)."""
+    from touchline.operators.autofe import stage1_scores
+    from touchline.operators.inference import parse_scored_formulas
+    from touchline.plans.q_autofe import S1, pre, with_split
+    from touchline.sources.io import scratch
+    s = stage1_scores(with_split(pre(spark, sf)), S1, "outcome", "split")
+    lines = s.select(F.concat_ws(" ", "feature", F.col("score").cast("string")).alias("value"))
+    lines = lines.unionByName(spark.createDataFrame([("not-a-formula 1.0",), ("",)], "value string"))
+    path = scratch(spark, "formulas_txt")
+    lines.write.text(path)
+    return parse_scored_formulas(spark.read.text(path))
+
+
+@register("streaming_score")
+def q_streaming_score(spark, sf):
+    """STR1: passes arrive as parquet files; a streaming job validates, builds the
+    inference frame and scores them with a frozen bundle (availableNow)."""
+    from touchline.operators.inference import load_bundle
+    from touchline.sources.io import scratch, write_passes
+    from touchline.streaming.score import start_scoring
+    path = _bundle(spark, sf)
+    model, fitted, rowwise, feats, mapping = load_bundle(spark, path)
+    src, sink, ck = scratch(spark, "arrivals"), scratch(spark, "scored"), scratch(spark, "stream-ckpt")
+    write_passes(V.passes(spark, sf), src)
+    q = start_scoring(spark, src, sink, ck, model, fitted, rowwise, feats, mapping, max_files=16)
+    q.awaitTermination()
+    return spark.read.parquet(f"{sink}/scored")
