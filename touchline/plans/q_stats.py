@@ -244,3 +244,12 @@ def q_apply_category_mapping(spark, sf):
     raw = p(spark, sf)
     saved = EN.CategoryCodes.fit(raw.where(F.col("match_id") != 7), ["height", "body_part"]).to_json()
     return EN.CategoryCodes.from_json(saved).apply(raw).select("pass_id", "height", "body_part")
+
+
+@register("mutual_info_knn")
+def q_mutual_info_knn(spark, sf):
+    """AGG21 exact: k-NN (k = 3) mutual information of pass length and duration with completion."""
+    df = labelled(spark, sf)
+    a = ST.mutual_info_knn(df, "length", "y", 3, row_id="pass_id")
+    b = ST.mutual_info_knn(df, "end_y", "y", 3, row_id="pass_id")
+    return a.unionByName(b)
