@@ -273,6 +273,9 @@ def derive_features(df: DataFrame, formulas, order_col: str | None = None,
                                     for n in row])
             done.update(n.text() for n in row)
         stateful = [n for n in level_nodes if n.op in STATEFUL_OPERATORS]
+        # Aggregates of this level read the frame as it is before this level's joins
+        # (for first-order formulas: the input itself), so the plan grows linearly.
+        src = cur
         groups: dict[tuple, list[Node]] = {}
         specials: list[Node] = []
         for n in stateful:
@@ -286,25 +289,25 @@ def derive_features(df: DataFrame, formulas, order_col: str | None = None,
                 groups.setdefault((colname(n.children[1]),), []).append(n)
         for keys, ns in groups.items():
             need = set(keys) | {colname(n.children[0]) for n in ns if n.op.startswith("GroupByThen")}
-            table, on = _group_table(cur.select(*[F.col(f"`{c}`") for c in need]), "", list(keys),
+            table, on = _group_table(src.select(*[F.col(f"`{c}`") for c in need]), "", list(keys),
                                      None, ns, colname)
             cur = _lookup_join(cur, table, on)
         for n in specials:
             c0, c1 = colname(n.children[0]), colname(n.children[1])
             out = ident[n.text()]
             if n.op == "GroupByThenMedian":
-                cur = _lookup_join(cur, grouped_median(cur.select(c1, c0), c1, c0, out), [c1])
+                cur = _lookup_join(cur, grouped_median(src.select(c1, c0), c1, c0, out), [c1])
             elif n.op == "GroupByThenRank":
-                t = grouped_rank(cur.select(c1, c0), c1, c0, out)
+                t = grouped_rank(src.select(c1, c0), c1, c0, out)
                 cur = _lookup_join(cur, t, [c1, c0])
             elif n.op == "GroupByThenFreq":
-                t = (cur.where(F.col(c1).isNotNull() & F.col(c0).isNotNull())
+                t = (src.where(F.col(c1).isNotNull() & F.col(c0).isNotNull())
                      .groupBy(c1, c0).agg(F.count(F.lit(1)).cast("double").alias(out)))
                 cur = _lookup_join(cur, t, [c1, c0])
             else:  # Combine
                 if order_col is None:
                     raise ValueError("Combine needs an explicit row order column")
-                t = combine_ids(cur.select(c0, c1, order_col), c0, c1, order_col, out)
+                t = combine_ids(src.select(c0, c1, order_col), c0, c1, order_col, out)
                 cur = _lookup_join(cur, t, [c0, c1])
                 cur = cur.withColumn(out, F.coalesce(F.col(out), F.lit(-1.0)))
         done.update(n.text() for n in stateful)

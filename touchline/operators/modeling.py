@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from touchline.operators import metrics as MT
 from touchline.operators.folds import stratified_folds, stratified_split
 
 SEED = 165
+MISSING = -1.0e9     # stand-in for a missing numeric value inside the tree learner
 DEFAULT_PARAMS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 1.0}
 # Search ranges (uniform / integer) for the seeded random search.
 SEARCH_SPACE = {"maxIter": (10, 40), "maxDepth": (2, 6), "stepSize": (0.02, 0.3), "subsamplingRate": (0.6, 1.0)}
@@ -48,8 +49,13 @@ class ModelSpec:
             stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc",
                                         handleInvalid="keep"))
             idx_cols.append(f"{c}__idx")
-        stages.append(VectorAssembler(inputCols=list(self.numeric) + idx_cols, outputCol="features",
-                                      handleInvalid="keep"))
+        # trees take a missing value as its own far-left value (MLlib rejects NaN in vectors)
+        filled = [f"{c}__nn" for c in self.numeric]
+        if self.numeric:
+            fill = ", ".join(f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), {MISSING!r}) AS `{c}__nn`"
+                             for c in self.numeric)
+            stages.append(SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__"))
+        stages.append(VectorAssembler(inputCols=filled + idx_cols, outputCol="features", handleInvalid="keep"))
         extra = {"validationIndicatorCol": validation_col, "validationTol": 0.0} if validation_col else {}
         gbt = GBTClassifier(labelCol=self.label, featuresCol="features", seed=SEED, maxBins=64,
                             **{k: v for k, v in self.params.items()}, **extra)

@@ -53,11 +53,15 @@ UNION ALL SELECT 'GroupByThenNUnique(' || a.name || ',' || b.name || ')', 'Group
   WHERE a.name <> b.name"""
 
 
-def candidates(spark, sf):
-    num, cat, ordinal = AF.profile_kinds(pre(spark, sf), PROFILE, CATS)
+def candidates(spark, sf, cols=PROFILE):
+    num, cat, ordinal = AF.profile_kinds(pre(spark, sf), cols, [c for c in CATS if c in cols])
     return AF.enumerate_candidates(num, cat, ordinal)
 
 
+# columns whose candidates go through the halving and the end-to-end search
+SEARCH_COLS = ["length", "duration", "height"]
+
+
 @register("candidate_features", CAND_SQL, views=("passes",))
 def q_candidate_features(spark, sf):
     """FE9: candidate formulas from the profiled pass columns (ordinal = ≤100 distinct)."""
@@ -104,7 +108,7 @@ def q_stage1_scores(spark, sf):
 def q_stage1_select(spark, sf):
     """FE11: successive halving of all enumerated candidates over 4 nested row blocks."""
     df = nested_blocks(with_split(pre(spark, sf)), "pass_id", 4, seed=42).cache()
-    forms = [n.text() for n in candidates(spark, sf) if n.op != "Combine"]
+    forms = [n.text() for n in candidates(spark, sf, SEARCH_COLS) if n.op != "Combine"]
     return AF.stage1_select(df, forms, "outcome", "split", "block", n_levels=3, min_features=8,
                             order_col="pass_id")
 
@@ -125,7 +129,7 @@ def q_auto_features(spark, sf):
     """FE13: enumerate → stage-1 halving → stage-2 ranking → top 5."""
     df = nested_blocks(with_split(pre(spark, sf)), "pass_id", 2, seed=42) \
         .withColumn("outcome", F.col("outcome").cast("double")).cache()
-    forms = [n.text() for n in candidates(spark, sf) if n.op != "Combine"]
+    forms = [n.text() for n in candidates(spark, sf, SEARCH_COLS) if n.op != "Combine"]
     s1 = AF.stage1_select(df, forms, "outcome", "split", "block", n_levels=2, min_features=10, order_col="pass_id")
     top = [r["feature"] for r in s1.orderBy(F.col("score").desc(), "feature").limit(10).collect()]
     s2 = AF.stage2_rank(df.where(F.col("split") == "train"), BASE_NUM, ["height"], top, "outcome",
