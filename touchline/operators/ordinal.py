@@ -19,14 +19,27 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 512
+DEFAULT_BUCKETS = None     # None: scale with the cluster (see bucket_count)
+BUCKETS_CONF = "touchline.ordinal.buckets"
+
+
+def bucket_count(spark) -> int:
+    """Range buckets per ordering: the session setting ``touchline.ordinal.buckets``
+    if present, else 4 × spark.sql.shuffle.partitions (at least 64, at most 16384),
+    so a hot group is cut into more pieces on a bigger cluster.  Bucket bounds only
+    steer balance; results are exact for any count."""
+    v = spark.conf.get(BUCKETS_CONF, None)
+    if v:
+        return int(v)
+    sp = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(64, min(16384, 4 * sp))
 
 
 def _bucketize(df: DataFrame, order_col: str, n_buckets: int, out: str) -> DataFrame:
     key = "__ord_key"
     df = df.withColumn(key, F.col(order_col).cast("double"))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(key, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
+    qs = df.approxQuantile(key, probs, 1.0 / (2 * n_buckets)) if n_buckets > 1 else []
     splits = sorted({q for q in qs if q is not None})
     splits = [float("-inf")] + splits + [float("inf")]
     if len(splits) < 3:
@@ -37,7 +50,7 @@ def _bucketize(df: DataFrame, order_col: str, n_buckets: int, out: str) -> DataF
 
 def prefix_sum(df: DataFrame, partition_cols: list[str], order_cols: list[str],
                weights: dict[str, Column | str] | None = None, descending: bool = False,
-               n_buckets: int = DEFAULT_BUCKETS, inclusive: bool = False) -> DataFrame:
+               n_buckets: int | None = DEFAULT_BUCKETS, inclusive: bool = False) -> DataFrame:
     """Add, for every row, the sum of each weight over the rows of its partition
     that come before it in ``order_cols`` order (exclusive unless ``inclusive``).
 
@@ -47,6 +60,7 @@ def prefix_sum(df: DataFrame, partition_cols: list[str], order_cols: list[str],
     number.  Null order values sort last.
     """
     weights = dict(weights or {"rank0": F.lit(1)})
+    n_buckets = n_buckets or bucket_count(df.sparkSession)
     lead = order_cols[0]
     sign = -1.0 if descending else 1.0
     tmp = df
@@ -79,7 +93,7 @@ def prefix_sum(df: DataFrame, partition_cols: list[str], order_cols: list[str],
 
 def row_number0(df: DataFrame, partition_cols: list[str], order_cols: list[str],
                 out: str = "rank0", descending: bool = False,
-                n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                n_buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """0-based row number inside each partition (exact, skew-safe)."""
     return prefix_sum(df, partition_cols, order_cols, {out: F.lit(1)},
                       descending=descending, n_buckets=n_buckets)

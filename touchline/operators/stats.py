@@ -30,25 +30,37 @@ def melt(df: DataFrame, cols: list[str], ids: list[str] = (), value_type: str =
         .unpivot(list(ids), cols, "column", "value")
 
 
-def grouped_quantiles(df: DataFrame, key: str, val: str, qs: list[float], linear: bool = True) -> DataFrame:
+def grouped_quantiles(df: DataFrame, key: str, val: str, qs: list[float], linear: bool = True,
+                      weight: str | None = None) -> DataFrame:
     """Exact quantiles per key.  linear: value at position q·(n−1) interpolated
     between neighbours; otherwise the value at position floor(q·(n−1)).
-    Output: key, q, value."""
+    Output: key, q, value.
+
+    Works on (key, value) counts with exclusive prefix counts (skew-safe, see
+    ``ordinal``); each count row tests the literal quantile list against its own
+    position range, so only the one or two rows around each target survive —
+    no join of rows with targets.  ``weight`` names a row-count column when the
+    input is already aggregated."""
+    w = F.sum(weight) if weight else F.count(F.lit(1))
     cnt = (df.where(F.col(key).isNotNull() & F.col(val).isNotNull())
-           .groupBy(key, val).agg(F.count(F.lit(1)).alias("__c")))
+           .groupBy(key, val).agg(w.alias("__c")))
     pre = prefix_sum(cnt, [key], [val], {"__less": F.col("__c")})
     tot = cnt.groupBy(key).agg(F.sum("__c").alias("__n"))
-    qdf = df.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
-    targets = attach_scalars(tot, qdf.agg(F.collect_list("q").alias("__qs"))) \
-        .select(key, "__n", F.explode("__qs").alias("q")) \
-        .withColumn("__pos", F.col("q") * (F.col("__n") - 1)) \
-        .withColumn("__i1", F.floor("__pos")).withColumn("__i2", F.ceil("__pos"))
-    j = pre.join(targets, key)
-    hit1 = (F.col("__less") <= F.col("__i1")) & (F.col("__i1") < F.col("__less") + F.col("__c"))
-    hit2 = (F.col("__less") <= F.col("__i2")) & (F.col("__i2") < F.col("__less") + F.col("__c"))
-    sel = j.where(hit1 | hit2).groupBy(key, "q", "__pos", "__i1").agg(
-        F.max(F.when(hit1, F.col(val))).alias("v1"), F.max(F.when(hit2, F.col(val))).alias("v2"))
-    frac = F.col("__pos") - F.col("__i1")
+    pre = pre.join(tot, key)                          # one row per key on the right
+    qarr = F.array(*[F.lit(float(q)) for q in qs])
+    lo, hi = F.col("__less"), F.col("__less") + F.col("__c") - 1
+
+    def covers(q):
+        pos = q * (F.col("__n") - 1)
+        return ((F.floor(pos) >= lo) & (F.floor(pos) <= hi)) | ((F.ceil(pos) >= lo) & (F.ceil(pos) <= hi))
+
+    hits = pre.select(key, val, "__less", "__c", "__n", F.explode(F.filter(qarr, covers)).alias("q"))
+    pos = F.col("q") * (F.col("__n") - 1)
+    in1 = (F.floor(pos) >= lo) & (F.floor(pos) <= hi)
+    in2 = (F.ceil(pos) >= lo) & (F.ceil(pos) <= hi)
+    sel = hits.groupBy(key, "q", "__n").agg(F.max(F.when(in1, F.col(val))).alias("v1"),
+                                            F.max(F.when(in2, F.col(val))).alias("v2"))
+    frac = F.col("q") * (F.col("__n") - 1) - F.floor(F.col("q") * (F.col("__n") - 1))
     value = (F.col("v1") + (F.col("v2") - F.col("v1")) * frac) if linear else F.col("v1")
     return sel.select(key, "q", value.cast("double").alias("value"))
 
@@ -156,23 +168,30 @@ def quantile_binned(df: DataFrame, cols: list[str], n_bins: int = 64) -> DataFra
     return j.select("__rid", "column", b.alias("bin"))
 
 
-def mutual_info_binned(df: DataFrame, features: list[str], label: str, n_bins: int = 64) -> DataFrame:
-    """AGG21 default: continuous features cut at exact quantile edges, then AGG20."""
-    base = df.select(*features, label).withColumn("__rid", F.monotonically_increasing_id())
-    long = melt(base, features, ids=["__rid", label])
-    edges = grouped_quantiles(long, "column", "value", [k / n_bins for k in range(1, n_bins)], linear=False)
-    e = edges.groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("__edges"))
-    j = long.join(F.broadcast(e), "column", "left")
-    b = F.when(F.col("value").isNotNull(), F.size(F.filter("__edges", lambda x: x < F.col("value"))))
-    wide_long = j.select(label, "column", b.cast("string").alias("value")).where(F.col("value").isNotNull()) \
-        .where(F.col(label).isNotNull())
-    xy = wide_long.groupBy("column", "value", label).agg(F.count(F.lit(1)).alias("nxy"))
+def _mi_from_counts(xy: DataFrame, label: str) -> DataFrame:
     x = xy.groupBy("column", "value").agg(F.sum("nxy").alias("nx"))
     y = xy.groupBy("column", label).agg(F.sum("nxy").alias("ny"))
     n = xy.groupBy("column").agg(F.sum("nxy").alias("n"))
-    jj = xy.join(x, ["column", "value"]).join(y, ["column", label]).join(n, "column")
+    j = xy.join(x, ["column", "value"]).join(y, ["column", label]).join(n, "column")
     term = (F.col("nxy") / F.col("n")) * F.ln(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
-    return jj.groupBy("column").agg(F.sum(term).alias("mutual_info"))
+    return j.groupBy("column").agg(F.sum(term).alias("mutual_info"))
+
+
+def mutual_info_binned(df: DataFrame, features: list[str], label: str, n_bins: int = 64) -> DataFrame:
+    """AGG21 default: continuous features cut at exact quantile edges (data values at
+    positions floor(k·(n−1)/n_bins), distinct), then contingency MI (AGG20).
+    Rows are reduced to (column, value, label) counts first; only distinct values
+    are binned."""
+    long = melt(df.select(*features, label).where(F.col(label).isNotNull()), features, ids=[label]) \
+        .where(F.col("value").isNotNull())
+    cvy = long.groupBy("column", "value", label).agg(F.count(F.lit(1)).alias("c"))
+    edges = grouped_quantiles(cvy, "column", "value", [k / n_bins for k in range(1, n_bins)], linear=False,
+                              weight="c")
+    e = edges.groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("__edges"))
+    j = cvy.join(F.broadcast(e), "column")            # one row per feature column
+    b = F.size(F.filter("__edges", lambda x: x < F.col("value")))
+    xy = j.groupBy("column", b.cast("string").alias("value"), label).agg(F.sum("c").alias("nxy"))
+    return _mi_from_counts(xy, label)
 
 
 def profile_columns(df: DataFrame, cols: list[str], label: str | None = None,
