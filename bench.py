@@ -35,7 +35,6 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m")
     registry.load_all()
     names = [n for n in HEADLINE if n in registry.QUERIES]
     # warm-up: JVM, codegen and file listing

@@ -2,10 +2,12 @@
 
 A plain ``row_number().over(Window.orderBy(x))`` (no partition) or a window
 partitioned by a hot key sends all of those rows through one task.  Here the
-order key is first cut into range buckets at approximate quantiles, so a
-group of any size is spread over many (group, bucket) tasks:
+order key is first cut into order-preserving range buckets (by default ~1 %
+wide logarithmic buckets computed per row, no pass over the data; optionally
+approximate-quantile buckets), so a group of any size is spread over many
+(group, bucket) tasks:
 
-1. bucket every row (quantile splits; range-preserving);
+1. bucket every row (range-preserving);
 2. total the weight per (group, bucket): a small table;
 3. exclusive prefix sum of those totals over buckets inside each group;
 4. join the offsets back and finish with a window over (group, bucket).
@@ -36,6 +38,7 @@ def bucket_count(spark) -> int:
 
 
 def _bucketize(df: DataFrame, order_col: str, n_buckets: int, out: str) -> DataFrame:
+    """Quantile range buckets (one sketch job over the input)."""
     key = "__ord_key"
     df = df.withColumn(key, F.col(order_col).cast("double"))
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -48,9 +51,29 @@ def _bucketize(df: DataFrame, order_col: str, n_buckets: int, out: str) -> DataF
     return b.transform(df).drop(key)
 
 
+LOG_STEPS = 64                 # buckets per doubling of |value| (≈1.1 % wide)
+_BIG = 1 << 20
+
+
+def log_bucket(c: Column, steps: int = LOG_STEPS) -> Column:
+    """Order-preserving bucket of a number with no pass over the data:
+    sign(v) · (2^20 + floor(log2|v| · steps)); 0 → 0; NaN/±∞/null → the ends.
+    Monotone because log, division by a positive constant and floor are."""
+    v = c.cast("double")
+    mag = F.floor(F.log2(F.abs(v)) * F.lit(float(steps))) + F.lit(_BIG)
+    b = (F.when(v.isNull() | F.isnan(v), F.lit(4 * _BIG))
+         .when(v == F.lit(float("inf")), F.lit(3 * _BIG))
+         .when(v == F.lit(float("-inf")), F.lit(-3 * _BIG))
+         .when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0))).cast("long")
+    # non-nullable on purpose: a nullable join key makes the optimizer infer an
+    # ``isnotnull(key)`` filter and push the whole key expression below aggregates
+    return F.coalesce(b, F.lit(4 * _BIG).cast("long"))
+
+
 def prefix_sum(df: DataFrame, partition_cols: list[str], order_cols: list[str],
                weights: dict[str, Column | str] | None = None, descending: bool = False,
-               n_buckets: int | None = DEFAULT_BUCKETS, inclusive: bool = False) -> DataFrame:
+               n_buckets: int | None = DEFAULT_BUCKETS, inclusive: bool = False,
+               method: str = "log") -> DataFrame:
     """Add, for every row, the sum of each weight over the rows of its partition
     that come before it in ``order_cols`` order (exclusive unless ``inclusive``).
 
@@ -60,7 +83,8 @@ def prefix_sum(df: DataFrame, partition_cols: list[str], order_cols: list[str],
     number.  Null order values sort last.
     """
     weights = dict(weights or {"rank0": F.lit(1)})
-    n_buckets = n_buckets or bucket_count(df.sparkSession)
+    if method == "quantile":
+        n_buckets = n_buckets or bucket_count(df.sparkSession)
     lead = order_cols[0]
     sign = -1.0 if descending else 1.0
     tmp = df
@@ -70,9 +94,12 @@ def prefix_sum(df: DataFrame, partition_cols: list[str], order_cols: list[str],
         tmp = tmp.withColumn(wc, F.col(w) if isinstance(w, str) else w)
         wcols[name] = wc
     tmp = tmp.withColumn("__ord", F.col(lead).cast("double") * F.lit(sign))
-    tmp = _bucketize(tmp, "__ord", n_buckets, "__b")
-    # nulls: Bucketizer(keep) puts NaN in an extra bucket; null order → last bucket
-    tmp = tmp.withColumn("__b", F.coalesce(F.col("__b"), F.lit(float(n_buckets + 1))))
+    if method == "quantile":
+        tmp = _bucketize(tmp, "__ord", n_buckets, "__b")
+        # nulls: Bucketizer(keep) puts NaN in an extra bucket; null order → last bucket
+        tmp = tmp.withColumn("__b", F.coalesce(F.col("__b"), F.lit(float(n_buckets + 1))))
+    else:
+        tmp = tmp.withColumn("__b", log_bucket(F.col("__ord")))
     part = list(partition_cols)
     totals = tmp.groupBy(*part, "__b").agg(*[F.sum(c).alias(c) for c in wcols.values()])
     wb = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,4 +123,5 @@ def row_number0(df: DataFrame, partition_cols: list[str], order_cols: list[str],
                 n_buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """0-based row number inside each partition (exact, skew-safe)."""
     return prefix_sum(df, partition_cols, order_cols, {out: F.lit(1)},
-                      descending=descending, n_buckets=n_buckets)
+                      descending=descending, n_buckets=n_buckets,
+                      method="quantile" if n_buckets else "log")
