@@ -99,3 +99,16 @@ def test_mutual_info_knn_brute_force(spark):
         lab_n.append(np.sum(y == y[i]))
     exp = psi(n) + np.mean([psi(v) for v in k_all]) - np.mean([psi(v) for v in lab_n]) - np.mean([psi(v) for v in m_all])
     assert abs(got - max(0.0, exp)) < 1e-9
+
+
+def test_log_bucket_is_monotone(spark):
+    from touchline.operators.ordinal import log_bucket
+    rng = np.random.default_rng(2)
+    vals = list(rng.normal(size=300) * 10.0 ** rng.integers(-8, 8, 300))
+    vals += [0.0, -0.0, 1.0, 2.0, 4.0, 8.0, 1024.0, 0.5, 0.25, -1.0, -2.0, -8.0, 7.999999999999999, 8.000000000000002,
+             float("inf"), float("-inf"), 5e-324, -5e-324, 1.7976931348623157e308]
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    rows = sorted((r["v"], r["b"]) for r in df.select("v", log_bucket(F.col("v"), 512).alias("b")).collect())
+    bs = [b for _, b in rows]
+    assert bs == sorted(bs)
+    assert len(set(bs)) > 100

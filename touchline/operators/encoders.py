@@ -44,12 +44,14 @@ class OneHotModel:
 def dummy_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """FE6: dummies from the levels present (spaces → '_'), null gets ``<col>_null``."""
     clean = df.withColumns({c: F.regexp_replace(F.col(c).cast("string"), " ", "_") for c in cols})
+    nd = clean.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
+    for c in cols:
+        if nd[c] > MAX_LEVELS:
+            raise ValueError(f"{c} has {nd[c]} levels (> {MAX_LEVELS})")
     row = clean.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in cols],
                     *[F.max(F.col(c).isNull().cast("int")).alias(f"{c}__hasnull") for c in cols]).first()
     add = {}
     for c in cols:
-        if len(row[c]) > MAX_LEVELS:
-            raise ValueError(f"{c}: too many levels")
         for lv in row[c]:
             add[f"{c}_{lv}"] = F.coalesce((F.col(c) == F.lit(lv)).cast("int"), F.lit(0))
         if row[f"{c}__hasnull"]:

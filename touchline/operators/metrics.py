@@ -73,7 +73,11 @@ def roc_points(df: DataFrame, by: list[str] = (), y: str = "y", p: str = "p") ->
     sc = score_counts(df, by, y, p)
     cum = prefix_sum(sc, by, [p], {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True, inclusive=True)
     tot = sc.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    j = cum.join(tot, by) if by else cum.crossJoin(F.broadcast(tot))   # one-row totals
+    if by:
+        j = cum.join(tot, by)
+    else:
+        from touchline.operators.stats import attach_scalars
+        j = attach_scalars(cum, tot)                                     # one-row totals
     return j.select(*by, F.col(p).alias("threshold"), "tp", "fp",
                     F.try_divide(F.col("tp"), F.col("n_pos")).cast("double").alias("tpr"),
                     F.try_divide(F.col("fp"), F.col("n_neg")).cast("double").alias("fpr"), "pos", "neg", "n_pos", "n_neg")

@@ -2,17 +2,17 @@
 
 A plain ``row_number().over(Window.orderBy(x))`` (no partition) or a window
 partitioned by a hot key sends all of those rows through one task.  Here the
-order key is first cut into order-preserving range buckets (by default ~1 %
-wide logarithmic buckets computed per row, no pass over the data; optionally
-approximate-quantile buckets), so a group of any size is spread over many
-(group, bucket) tasks:
+order key is first cut into order-preserving range buckets (by default binary
+octaves cut into equal slices, computed per row with no pass over the data;
+optionally approximate-quantile buckets), so a group of any size is spread
+over many (group, bucket) tasks:
 
 1. bucket every row (range-preserving);
 2. total the weight per (group, bucket): a small table;
 3. exclusive prefix sum of those totals over buckets inside each group;
 4. join the offsets back and finish with a window over (group, bucket).
 
-The result is exact; only the balance of work depends on the quantiles.
+The result is exact; only the balance of work depends on the buckets.
 """
 
 from __future__ import annotations
@@ -51,23 +51,30 @@ def _bucketize(df: DataFrame, order_col: str, n_buckets: int, out: str) -> DataF
     return b.transform(df).drop(key)
 
 
-LOG_STEPS = 64                 # buckets per doubling of |value| (≈1.1 % wide)
-_BIG = 1 << 20
+_OCT_OFFSET = 1100            # octaves of a double span about -1075…1024
 
 
-def log_bucket(c: Column, steps: int = LOG_STEPS) -> Column:
-    """Order-preserving bucket of a number with no pass over the data:
-    sign(v) · (2^20 + floor(log2|v| · steps)); 0 → 0; NaN/±∞/null → the ends.
-    Monotone because log, division by a positive constant and floor are."""
+def log_bucket(c: Column, sub: int = 64) -> Column:
+    """Order-preserving bucket of a number, computed per row with no pass over the
+    data: the binary octave of |v| (exact: ``log2`` corrected against powers of two)
+    and ``sub`` equal-width slices inside the octave; negative values mirror.
+    NaN and null sort last, ±∞ at the ends.  Monotone by construction."""
     v = c.cast("double")
-    mag = F.floor(F.log2(F.abs(v)) * F.lit(float(steps))) + F.lit(_BIG)
-    b = (F.when(v.isNull() | F.isnan(v), F.lit(4 * _BIG))
-         .when(v == F.lit(float("inf")), F.lit(3 * _BIG))
-         .when(v == F.lit(float("-inf")), F.lit(-3 * _BIG))
+    a = F.abs(v)
+    o0 = F.floor(F.log2(a))
+    o1 = F.when(F.pow(F.lit(2.0), o0) > a, o0 - 1).otherwise(o0)
+    octv = F.when(F.pow(F.lit(2.0), o1 + 1) <= a, o1 + 1).otherwise(o1)
+    frac = a / F.pow(F.lit(2.0), octv) - 1.0
+    slot = F.least(F.greatest(F.floor(frac * F.lit(float(sub))), F.lit(0)), F.lit(sub - 1))
+    mag = (octv + _OCT_OFFSET) * sub + slot + 1
+    top = (2 * _OCT_OFFSET + 2) * sub
+    b = (F.when(v.isNull() | F.isnan(v), F.lit(top + 2))
+         .when(v == F.lit(float("inf")), F.lit(top + 1))
+         .when(v == F.lit(float("-inf")), F.lit(-top - 1))
          .when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0))).cast("long")
     # non-nullable on purpose: a nullable join key makes the optimizer infer an
     # ``isnotnull(key)`` filter and push the whole key expression below aggregates
-    return F.coalesce(b, F.lit(4 * _BIG).cast("long"))
+    return F.coalesce(b, F.lit(top + 2).cast("long"))
 
 
 def prefix_sum(df: DataFrame, partition_cols: list[str], order_cols: list[str],
@@ -99,7 +106,7 @@ def prefix_sum(df: DataFrame, partition_cols: list[str], order_cols: list[str],
         # nulls: Bucketizer(keep) puts NaN in an extra bucket; null order → last bucket
         tmp = tmp.withColumn("__b", F.coalesce(F.col("__b"), F.lit(float(n_buckets + 1))))
     else:
-        tmp = tmp.withColumn("__b", log_bucket(F.col("__ord")))
+        tmp = tmp.withColumn("__b", log_bucket(F.col("__ord"), bucket_count(df.sparkSession)))
     part = list(partition_cols)
     totals = tmp.groupBy(*part, "__b").agg(*[F.sum(c).alias(c) for c in wcols.values()])
     wb = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
