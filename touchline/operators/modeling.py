@@ -13,6 +13,7 @@ score tables of a few rows.
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -112,13 +113,18 @@ def loss_curve(spec: ModelSpec, df: DataFrame, row_id: str, seed: int = 42) -> D
                                  "round int, train_loss double, valid_loss double")
 
 
-def cross_val_oof(spec: ModelSpec, df: DataFrame, row_id: str, k: int = 3, seed: int = 42) -> DataFrame:
+def cross_val_oof(spec: ModelSpec, df: DataFrame, row_id: str, k: int = 3, seed: int = 42,
+                  parallelism: int = 4) -> DataFrame:
     """ML4 outer loop: seeded stratified folds; each fold scored by a model fitted
     on the others; the out-of-fold rows cover every row exactly once."""
     f = stratified_folds(df, row_id, spec.label, k, seed).cache()
-    parts = []
-    for i in range(k):
-        parts.append(fit_predict(spec, f.where(F.col("fold") != i), f.where(F.col("fold") == i), [row_id, "fold"]))
+
+    def one(i):
+        return fit_predict(spec, f.where(F.col("fold") != i), f.where(F.col("fold") == i), [row_id, "fold"])
+
+    # folds are independent jobs: submit them from a small driver thread pool
+    with ThreadPoolExecutor(max_workers=max(1, min(k, parallelism))) as pool:
+        parts = list(pool.map(one, range(k)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

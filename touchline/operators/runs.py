@@ -36,9 +36,10 @@ def _key(fe, cat, ofe, hp) -> str:
 
 
 def training_seconds(start_text: str = "start_text", end_text: str = "end_text"):
-    """SC29: text → timestamp (bad text → null); difference in whole seconds."""
-    s = F.try_to_timestamp(F.col(start_text))
-    e = F.try_to_timestamp(F.col(end_text))
+    """SC29: text → timestamp (bad text → null); difference in whole seconds of wall
+    clock (timestamp_ntz, so the session time zone and DST cannot shift it)."""
+    s = F.try_to_timestamp(F.col(start_text)).cast("timestamp_ntz")
+    e = F.try_to_timestamp(F.col(end_text)).cast("timestamp_ntz")
     return F.timestamp_diff("SECOND", s, e).cast("double")
 
 
