@@ -43,3 +43,17 @@ def test_tolerant_bool_tags(spark):
     df = spark.createDataFrame([(" True ",), ("false",), (None,), ("TRUE",)], "t string")
     from touchline.functions.scalar import tolerant_bool
     assert [r[0] for r in df.select(tolerant_bool("t")).collect()] == [True, False, False, True]
+
+
+def test_metric_dispatch_and_init_score_check(spark):
+    import warnings
+    from touchline.operators.metrics import init_metric
+    from touchline.operators.stats import check_init_scores
+    df = spark.createDataFrame([(1, 0.3), (0, -0.2), (1, 1.5)], "y int, margin double")
+    assert init_metric(df, "binary_logloss").first()["log_loss"] > 0
+    with pytest.raises(NotImplementedError):
+        init_metric(df, "mape")
+    with warnings.catch_warnings(record=True) as w:
+        warnings.simplefilter("always")
+        assert check_init_scores(spark.createDataFrame([(0.2,), (0.9,)], "s double"), "s")
+        assert w

@@ -173,7 +173,9 @@ def gmm_bic_curve(points: DataFrame, k_values: list[int], seed: int = 42, x: str
             ll = model.summary.logLikelihood
         rows.append((k, float(ll), float(-2 * ll + (6 * k - 1) * math.log(n)), n))
     base.unpersist()
-    return spark.createDataFrame(rows, "k int, log_likelihood double, bic double, n long")
+    best = min(rows, key=lambda r: (r[2], r[0]))[0]          # TOP6: arg-min, first k wins ties
+    rows = [(*r, r[0] == best) for r in rows]
+    return spark.createDataFrame(rows, "k int, log_likelihood double, bic double, n long, is_best boolean")
 
 
 def gmm_components(model) -> DataFrame:

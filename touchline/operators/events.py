@@ -42,7 +42,11 @@ def event_xy(events: DataFrame, loc: str = "location") -> DataFrame:
 def possession_points(events: DataFrame, team: str | None = None, invert: bool = False,
                       kinds=POSSESSION_KINDS) -> DataFrame:
     """FLT6 + SET2: end points of passes and carries (start and end present) and
-    locations of completed dribbles, in one scan with a CASE on the type."""
+    locations of completed dribbles, in one scan with a CASE on the type.
+    An unknown kind is an error."""
+    bad = [k for k in kinds if k not in POSSESSION_KINDS]
+    if bad:
+        raise ValueError(f"Unsupported event type(s) {bad}; use pass, carry or dribble")
     e = events if team is None else events.where(F.col("team") == F.lit(team))
     kind = (F.when((F.col("type") == "Pass") & F.col("location").isNotNull()
                    & F.col("pass_end_location").isNotNull(), F.lit("pass"))

@@ -143,3 +143,18 @@ def argmax_label(probs: Column) -> tuple[Column, Column]:
     and its probability."""
     mx = F.array_max(probs)
     return (F.array_position(probs, mx) - 1).cast("int"), mx
+
+
+def init_metric(df: DataFrame, metric: str, label: str = "y", margin: str = "margin") -> DataFrame:
+    """AGG24 dispatch: baseline metric of raw margins by name; any other name raises.
+    binary_logloss / auc use sigmoid(margin); multi_logloss expects an array of
+    margins; rmse compares the margin with the label."""
+    if metric == "binary_logloss":
+        return log_loss(df.withColumn("__p", F.lit(1.0) / (1 + F.exp(-F.col(margin)))), y=label, p="__p")
+    if metric == "multi_logloss":
+        return softmax_log_loss(df, margin, label)
+    if metric == "rmse":
+        return rmse(df, label, margin)
+    if metric == "auc":
+        return roc_auc(df.withColumn("__p", F.lit(1.0) / (1 + F.exp(-F.col(margin)))), y=label, p="__p")
+    raise NotImplementedError(f"Metric {metric} is not supported; choose binary_logloss, multi_logloss, rmse or auc")

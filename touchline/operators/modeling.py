@@ -172,8 +172,12 @@ def importances(spec: ModelSpec, model: PipelineModel) -> list[tuple[str, float]
     return sorted(zip(names, [float(v) for v in imp]), key=lambda t: (-t[1], t[0]))
 
 
-def rfe(spec: ModelSpec, train: DataFrame, n_keep: int, step: int = 1) -> DataFrame:
-    """ML8: refit and drop the least important feature(s) until n_keep remain."""
+def rfe(spec: ModelSpec, train: DataFrame, n_keep: float, step: int = 1) -> DataFrame:
+    """ML8: refit and drop the least important feature(s) until n_keep remain
+    (a fraction below 1 keeps that share of the features, at least one)."""
+    if n_keep < 1:
+        n_keep = max(1, int(len(spec.features()) * n_keep))
+    n_keep = int(n_keep)
     cur = spec
     rows = []
     it = 0

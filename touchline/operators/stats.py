@@ -219,6 +219,17 @@ def init_scores(df: DataFrame, label: str, by: list[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(m.alias("mean_label"), F.ln(m / (F.lit(1.0) - m)).alias("init_score"))
 
 
+def check_init_scores(df: DataFrame, score: str) -> bool:
+    """AGG33 check: supplied initial scores that all lie in [0, 1] look like
+    probabilities rather than margins; warn (returns True when suspicious)."""
+    import warnings
+    lo, hi = df.agg(F.min(score), F.max(score)).first()
+    suspicious = lo is not None and 0.0 <= lo and hi <= 1.0
+    if suspicious:
+        warnings.warn("initial scores are all within [0, 1]: they look like probabilities, not margins")
+    return suspicious
+
+
 def stage1_corr(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """AGG34: |corr(coalesce(f, 0), y)| for all candidates in one aggregation."""
     wide = df.agg(*[F.abs(F.corr(F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)),

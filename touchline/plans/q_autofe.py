@@ -59,7 +59,7 @@ def candidates(spark, sf, cols=PROFILE):
 
 
 # columns whose candidates go through the halving and the end-to-end search
-SEARCH_COLS = ["length", "duration", "height"]
+SEARCH_COLS = ["length", "height"]
 
 
 @register("candidate_features", CAND_SQL, views=("passes",))
