@@ -176,12 +176,14 @@ def _walk(n: Node, acc: dict):
         acc.setdefault(n.text(), n)
 
 
-def _group_table(base: DataFrame, kind: str, key_cols: list[str], val: str | None,
-                 nodes: list, colname) -> tuple[DataFrame, list[str]]:
-    """Aggregate table for stateful nodes sharing ``key_cols``.  Returns the
-    table (keys + one column per node) and the join columns."""
-    keyed = base.where(F.greatest(*[F.col(k).isNull() for k in key_cols]) == F.lit(False)) \
-        if len(key_cols) > 1 else base.where(F.col(key_cols[0]).isNotNull())
+def _group_table(base: DataFrame, key_cols: list[str], nodes: list, colname) -> tuple[DataFrame, list[str]]:
+    """Aggregate table for stateful nodes sharing ``key_cols`` (rows with a null key
+    form no group).  Returns the table (keys + one column per node) and the join
+    columns."""
+    cond = F.col(key_cols[0]).isNotNull()
+    for k in key_cols[1:]:
+        cond = cond & F.col(k).isNotNull()
+    keyed = base.where(cond)
     aggs = []
     for n in nodes:
         o = n.op
@@ -289,8 +291,7 @@ def derive_features(df: DataFrame, formulas, order_col: str | None = None,
                 groups.setdefault((colname(n.children[1]),), []).append(n)
         for keys, ns in groups.items():
             need = set(keys) | {colname(n.children[0]) for n in ns if n.op.startswith("GroupByThen")}
-            table, on = _group_table(src.select(*[F.col(f"`{c}`") for c in need]), "", list(keys),
-                                     None, ns, colname)
+            table, on = _group_table(src.select(*[F.col(f"`{c}`") for c in need]), list(keys), ns, colname)
             cur = _lookup_join(cur, table, on)
         for n in specials:
             c0, c1 = colname(n.children[0]), colname(n.children[1])

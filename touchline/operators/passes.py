@@ -5,8 +5,6 @@ Everything here is a projection or a filter: narrow, codegen'd, no shuffle.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,5 +187,3 @@ def sample_head(df: DataFrame, order_col: str, n: int = 10) -> DataFrame:
     """TOP8: first n rows in an explicit order (a top-k: Spark keeps n per task)."""
     return df.orderBy(order_col).limit(n)
 
-
-ANGLE_RANGE = (-math.pi, math.pi)
