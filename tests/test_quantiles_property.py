@@ -20,3 +20,17 @@ def test_grouped_quantiles_match_numpy(spark, rows):
         for q in QS:
             assert abs(lin[(k, q)] - np.quantile(vals, q)) < 1e-9
             assert disc[(k, q)] == vals[int(np.floor(q * (len(vals) - 1)))]
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["x", "y", None]), st.sampled_from(["p", "q", "r", None])),
+                min_size=1, max_size=60))
+def test_combine_ids_match_first_appearance(spark, rows):
+    import pandas as pd
+    from touchline.operators.formula import derive_features
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "rid long, a string, b string")
+    got = [r["c"] for r in derive_features(df, ["Combine(a,b)"], order_col="rid", names={"Combine(a,b)": "c"},
+                                           keep=["rid"]).orderBy("rid").collect()]
+    pairs = pd.Series([f"{a}\x00{b}" if a is not None and b is not None else None for a, b in rows])
+    codes, _ = pd.factorize(pairs)
+    assert got == [float(c) for c in codes]
