@@ -44,7 +44,7 @@ def training_seconds(start_text: str = "start_text", end_text: str = "end_text")
 
 
 def prepared_runs(runs: DataFrame, labels=LABEL_ORDER, model_col: str = "model_type") -> DataFrame:
-    """ML18: child runs with parsed tags, effective OpenFE flag, experiment label
+    """ML18: child runs with parsed tags, effective automatic-feature flag, experiment label
     and order, training seconds.  Label lookup is a literal map (5 entries)."""
     label_map = F.create_map(*[F.lit(x) for k, v in EXPERIMENT_LABELS.items() for x in (_key(*k), v)])
     order_map = F.create_map(*[F.lit(x) for i, lab in enumerate(labels) for x in (lab, i)])
