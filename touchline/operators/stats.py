@@ -106,7 +106,7 @@ def histogram_fixed(df: DataFrame, col: str, bins: int) -> DataFrame:
     """AGG18: equal-width bins over [min, max]; the maximum falls in the last bin."""
     v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     rng = v.agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"))
-    return _bin_counts(attach_scalars(v, rng.withColumn("__bins", F.lit(bins))))
+    return _bin_counts(attach_scalars(v, rng.withColumn("__bins", F.lit(bins).cast("bigint"))))
 
 
 def _bin_counts(v: DataFrame) -> DataFrame:

@@ -38,7 +38,8 @@ def comps(spark, sf):
     return D.mixture_from_groups(D.gaussian_k1(pts(spark, sf), ["team"]), "team")
 
 
-GRID_SQL = """grid AS (SELECT ix, iy, CASE WHEN ix = 119 THEN 120.0 ELSE ix * (120.0 / 119) END AS gx,
+GRID_SQL = """grid AS (SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy,
+  CASE WHEN ix = 119 THEN 120.0 ELSE ix * (120.0 / 119) END AS gx,
   CASE WHEN iy = 79 THEN 80.0 ELSE iy * (80.0 / 79) END AS gy FROM range(120) a(ix), range(80) b(iy))"""
 
 

@@ -109,7 +109,7 @@ def q_log_training_time(spark, sf):
 
 
 @register("selected_features",
-          "SELECT run_id, generate_subscripts(string_split(selected_features, ','), 1) - 1 AS pos, "
+          "SELECT run_id, CAST(generate_subscripts(string_split(selected_features, ','), 1) - 1 AS INTEGER) AS pos, "
           "unnest(string_split(selected_features, ',')) AS feature FROM runs WHERE selected_features IS NOT NULL",
           views=("runs",))
 def q_selected_features(spark, sf):
