@@ -24,6 +24,12 @@ def op2_quality_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.minhash import near_duplicates
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.mixing import mix_sources
