@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.session import cut_lineage, ship_package
+from touchline.session import cut_lineage, scratch_path, ship_package
 
 #: A side with at most this many rows of a few bytes each may be broadcast; the
 #: rows are counted first, and a larger side takes a shuffle join.
@@ -23,6 +24,14 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write as Parquet under the shared checkpoint folder and reread: compressed,
+    and later readers take only the columns they need."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when its counted rows are within ``limit``."""
     n = df.count() if rows is None else rows

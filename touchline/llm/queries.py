@@ -36,6 +36,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
 
 
+@query
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.substrings import remove_repeats
+    return remove_repeats(read_table(spark, sf_dir, "documents"), digest=True)
+
+
 @query
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.packing import pack_documents
