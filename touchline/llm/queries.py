@@ -24,6 +24,19 @@ def op2_quality_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.pii import pseudonymise
+    docs = pseudonymise(read_table(spark, sf_dir, "documents"), found="found")
+    return docs.withColumn("n_replaced", F.size("found")).withColumn("n_chars", F.length("text").cast("long")).drop("found")
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.licenses import scan_licenses
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.minhash import near_duplicates
