@@ -37,6 +37,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.extraction import extract_pages
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.minhash import near_duplicates
