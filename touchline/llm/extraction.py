@@ -195,8 +195,8 @@ _GONE = float("-inf")
 
 def smoothness(blocks: Sequence[Block]) -> list[tuple[int, int, float]]:
     """Edges (i, j, weight): each block with the next in page order, the less the
-    further apart they are in the tree, and with the next block of its parent; the
-    more their costs differ, the weaker the tie."""
+    further apart they are in the tree, and with the two before it under the same
+    parent; the more their costs differ, the weaker the tie."""
     def tie(i: int, j: int, weight: float) -> float:
         return weight / (1.0 + abs(blocks[i].cost - blocks[j].cost))
 
@@ -210,11 +210,9 @@ def smoothness(blocks: Sequence[Block]) -> list[tuple[int, int, float]]:
                     break
                 common += 1
             edges.append((i - 1, i, tie(i - 1, i, NEXT_WEIGHT / (1 + len(a) + len(b) - 2 * common))))
-        parent = block.path[:-1]
-        before = last.get(parent)
-        if before is not None and before != i - 1:
-            edges.append((before, i, tie(before, i, SIBLING_WEIGHT)))
-        last[parent] = i
+        siblings = last.setdefault(block.path[:-1], [])
+        edges.extend((j, i, tie(j, i, SIBLING_WEIGHT)) for j in siblings[-2:] if j != i - 1)
+        siblings.append(i)
     return edges
 
 
