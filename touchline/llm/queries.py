@@ -18,6 +18,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.neighbours import near_vectors
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_quality_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.quality import rate_documents
