@@ -12,9 +12,12 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from touchline.llm.minhash import drop_near_duplicates
 from touchline.llm.mixing import mix_sources
 from touchline.llm.packing import pack_documents
+from touchline.llm.pii import pseudonymise
 from touchline.llm.quality import log_ratios, ngram_counts, score_documents, trusted_documents
 from touchline.session import scratch_path
 from touchline.sources.tables import read_table
@@ -29,6 +32,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return score_documents(docs, ratios, carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return drop_near_duplicates(docs).select(*COLUMNS)
+
+
+def hide_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes pseudonyms; ``n_chars`` follows the new text."""
+    return pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight and its draw say."""
     return mix_sources(docs).select(*COLUMNS)
@@ -39,10 +52,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, with_ids=True)
 
 
-STAGES = [("quality rules", keep_quality), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality rules", keep_quality), ("near duplicates", drop_copies), ("personal data", hide_persons),
+          ("mixing", mix), ("packing", pack)]
 
-#: The Feistel rounds, hashed n-grams and token ids have no SQL form; the stages
-#: are tested against brute force instead.
+#: Hashed n-grams, Feistel rounds and token ids have no SQL form; the stages are
+#: tested against brute force instead.
 ORACLE_SQL = None
 
 

@@ -228,21 +228,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     count as one node, so repeated rows get equal results.  An empty table gives
     no rows; other columns are not carried.
     """
+    out = _resolve(docs, key, text, percent, width)
+    return out.select(drop_stand_in(F.col("key")).alias(key), F.col("n").alias("n_shingles"),
+                      drop_stand_in(F.col("component")).alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+
+
+def _resolve(docs: DataFrame, key: str, text: str, percent: int, width: int) -> DataFrame:
+    """(key, n, component) per row, keys with stand-ins for nulls."""
     name = key_or_hash(docs[key], docs[text])
     signed = cut(sign(docs, name, docs[text], width))
     classes = cut(signed.where("n > 0").groupBy("fp1", "fp2", "n")
                   .agg(F.min("key").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    links = cut(_links(docs, name, docs[text], classes, percent, width))
-    found = components(links)
-    # sets of one document under a repeated key meet in that key
-    nodes = signed.groupBy("fp1", "fp2", "n").agg(F.min("key").alias("id"))
-    nodes = nodes.join(found, "id", "left").select("fp1", "fp2", "n", F.coalesce("component", "id").alias("component"))
-    out = signed.select("key", "n", "fp1", "fp2").join(nodes, ["fp1", "fp2", "n"])
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key"))
-    out = out.select(drop_stand_in(F.col("key")).alias(key), F.col("n").alias("n_shingles"), component.alias("component"),
-                     F.col("key").alias("__key"))
-    return out.select(key, "n_shingles", drop_stand_in(F.col("component")).alias("component_id"),
-                      (F.col("__key") == F.col("component")).alias("kept"))
+    found = components(cut(_links(docs, name, docs[text], classes, percent, width)))
+    nodes = classes.join(found, "id", "left").select("fp1", "fp2", "n", F.coalesce("component", "id").alias("component"))
+    out = signed.select("key", "n", "fp1", "fp2").join(nodes, ["fp1", "fp2", "n"], "left")
+    return out.select("key", "n", F.coalesce("component", "key").alias("component"))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = LINK_PERCENT,
+                         width: int = WIDTH) -> DataFrame:
+    """``docs`` with one row of each component of near-duplicates: the one with the
+    smallest key (of several rows with that key, the smallest by all columns).
+    Texts without words all stay, but for repeated rows.  Only the dropped and the
+    repeated keys meet the rows: broadcast if their counted number allows."""
+    found = cut(_resolve(docs, key, text, percent, width))
+    named = docs.withColumn("__key", key_or_hash(docs[key], docs[text]))
+    gone = cut(found.where("key <> component").select(F.col("key").alias("__key")).distinct())
+    again = cut(found.where("key = component").groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("c"))
+                .where("c > 1").select("__key"))
+    left = named.join(broadcast_if_small(gone), "__key", "left_anti")
+    again = broadcast_if_small(again)
+    once = left.join(again, "__key", "left_anti").select(*docs.columns)
+    one = F.min(F.struct(*docs.columns)).alias("one")
+    return once.union(left.join(again, "__key", "left_semi").groupBy("__key").agg(one).select("one.*"))
 
 
 def _links(docs: DataFrame, name: Column, text: Column, classes: DataFrame, percent: int, width: int) -> DataFrame:
