@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.operators import metrics as MT
-from touchline.operators.folds import block_sizes, nested_blocks, stratified_folds
+from touchline.operators.folds import nested_blocks, stratified_folds, stratified_split
 from touchline.operators.ordinal import prefix_sum, row_number0
 
 
@@ -39,11 +39,49 @@ def test_nested_block_sizes(spark):
     df = spark.range(0, 1000)
     b = nested_blocks(df, "id", 8, seed=1)
     got = {r["block"]: r["count"] for r in b.groupBy("block").count().collect()}
-    sizes = block_sizes(1000, 8)
-    assert sizes == [125, 250, 500, 1000]
+    # prefixes of 1/8, 1/4, 1/2 and all of the rows
     assert got == {0: 125, 1: 125, 2: 250, 3: 500}
 
 
+def test_null_labels_are_kept(spark):
+    df = spark.range(0, 100).withColumn("y", F.when(F.col("id") < 30, F.lit(None)).otherwise(F.col("id") % 2))
+    folds = stratified_folds(df, "id", "y", k=5)
+    assert folds.count() == 100 and folds.where("y is null").groupBy("fold").count().where("count <> 6").count() == 0
+    split = stratified_split(df, "id", "y")
+    assert split.count() == 100 and split.where("y is null and split = 'test'").count() == 6
+
+
+def test_buckets_follow_crowded_values(spark):
+    from touchline.operators.ordinal import _quantile_bucket
+    df = spark.range(0, 20000).select((F.col("id") + 1.7e9).alias("v"))
+    sizes = [r["count"] for r in _quantile_bucket(df, "v", 64, "b").groupBy("b").count().collect()]
+    assert len(sizes) >= 50 and max(sizes) < 1500
+    got = row_number0(df, [], ["v"])
+    assert got.where(F.col("rank0") != F.col("v") - 1.7e9).count() == 0
+
+
+def test_edge_values_of_the_metrics(spark):
+    chain = spark.createDataFrame([("a", 0.0), ("a", 0.5), ("b", 0.5), ("b", 0.5)], "s string, p double")
+    got = {r["s"]: r["pass_chain_probability"] for r in MT.sequence_probability(chain, ["s"]).collect()}
+    assert got["a"] == 0.0 and abs(got["b"] - 0.25) < 1e-12
+    scored = spark.createDataFrame([(None, 0.9), (1, 0.9), (0, None)], "y int, p double")
+    r = MT.log_loss(scored).first()
+    assert r["n"] == 1 and abs(r["log_loss"] + np.log(0.9)) < 1e-12
+    big = [(1e9 + i, 1e9 + i + 0.5 * (-1) ** i) for i in range(5)]
+    r2 = MT.r2_score(spark.createDataFrame(big, "y double, pred double"), "y", "pred").first()["r2"]
+    assert abs(r2 - (1 - 5 * 0.25 / 10.0)) < 1e-9
+
+
+def test_auc_of_counts_beyond_32_bits(spark):
+    pts = spark.createDataFrame([(0.9, 4 * 10 ** 9, 0), (0.1, 0, 4 * 10 ** 9)], "p double, pos long, neg long")
+    original = MT.score_counts
+    MT.score_counts = lambda df, by, y, p: df
+    try:
+        assert MT.roc_auc(pts).first()["roc_auc"] == 1.0
+    finally:
+        MT.score_counts = original
+
+
 def test_roc_auc_brute_force(spark):
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 300)

@@ -11,56 +11,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.ordinal import row_number0
+from touchline.operators.stats import attach_scalars
 
 
 def hash_rank(df: DataFrame, row_id: str, label: str | None, seed: int) -> DataFrame:
     d = df.withColumn("__h", F.xxhash64(F.col(row_id), F.lit(seed)))
-    return row_number0(d, [label] if label else [], ["__h", row_id], out="__rank").drop("__h")
+    return row_number0(d, [label] if label else [], ["__h", row_id], out="__rank", method="hash").drop("__h")
 
 
 def stratified_folds(df: DataFrame, row_id: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """WIN5: fold = (rank inside label) mod k → folds balanced per label within one row."""
+    """WIN5: fold = (rank inside label) mod k → folds balanced per label within one row;
+    rows without a label are dealt out like a label of their own."""
     return hash_rank(df, row_id, label, seed).withColumn("fold", (F.col("__rank") % k).cast("int")) \
         .drop("__rank")
 
 
 def stratified_split(df: DataFrame, row_id: str, label: str, test_fraction_tenths: int = 2,
                      seed: int = 42) -> DataFrame:
-    """WIN6: per label, the first ceil(n·f) rows of the hash order are the test side."""
+    """WIN6: per label, the first ceil(n·f) rows of the hash order are the test side.
+    Rows without a label are a stratum of their own."""
     r = hash_rank(df, row_id, label, seed)
-    n = r.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    r = r.join(F.broadcast(n), label)      # one row per label value
-    n_test = (F.col("__n") * test_fraction_tenths + 9).cast("long") / 10
-    n_test = F.floor(n_test)
+    sizes = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
+    r = r.join(sizes, r[label].eqNullSafe(sizes["__label"])).drop("__label")
+    n_test = F.ceil(F.col("__n") * test_fraction_tenths / 10)
     return r.withColumn("split", F.when(F.col("__rank") < n_test, "test").otherwise("train")).drop("__rank", "__n")
 
 
-def block_sizes(n: int, n_blocks: int) -> list[int]:
-    """Prefix sizes of the nested subsamples: N/b, 2N/b, 4N/b, …, N."""
-    length = int(n / n_blocks)
-    sizes = [length]
-    while n_blocks != 1:
-        n_blocks = int(n_blocks / 2)
-        length = int(length * 2)
-        sizes.append(n if n_blocks == 1 else length)
-    return sizes
-
-
 def nested_blocks(df: DataFrame, row_id: str, n_blocks: int = 8, seed: int = 42) -> DataFrame:
-    """WIN7: one seeded order; block level = index of the smallest prefix holding the row."""
-    r = hash_rank(df, row_id, None, seed)
-    n = r.agg(F.count(F.lit(1)).alias("__n"))
-    from touchline.operators.stats import attach_scalars
-    r = attach_scalars(r, n)
-    length = F.floor(F.col("__n") / F.lit(n_blocks))
-    # levels: rank < length·2^i for i < log2(b), else the last level
-    levels = []
-    b, i = n_blocks, 0
-    while b != 1:
-        b //= 2
-        i += 1
-        levels.append(i)
-    lvl = F.lit(len(levels))
-    for i in reversed(range(len(levels))):
-        lvl = F.when(F.col("__rank") < length * F.lit(2 ** i), F.lit(i)).otherwise(lvl)
-    return r.withColumn("block", lvl.cast("int")).drop("__rank", "__n")
+    """WIN7: nested prefixes of one seeded order, each twice the one before, the
+    smallest 1/``n_blocks`` of the rows; ``block`` = the smallest prefix with the row.
+
+    With q = rank div floor(n / n_blocks), prefix i holds q < 2**i, so the block is
+    the bit length of q; whatever lies beyond the last full prefix is in the last."""
+    last = n_blocks.bit_length() - 1
+    rows = attach_scalars(hash_rank(df, row_id, None, seed), df.agg(F.count(F.lit(1)).alias("__n")))
+    q = F.floor(F.col("__rank") / F.greatest(F.floor(F.col("__n") / n_blocks), F.lit(1)))
+    bits = F.when(q > 0, F.length(F.bin(q))).otherwise(0)
+    return rows.withColumn("block", F.least(bits, F.lit(last)).cast("int")).drop("__rank", "__n")

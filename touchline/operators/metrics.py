@@ -30,8 +30,9 @@ def log_loss_expr(y: str = "y", p: str = "p") -> Column:
 
 
 def log_loss(df: DataFrame, by: list[str] = (), y: str = "y", p: str = "p") -> DataFrame:
-    """AGG23: mean negative log-likelihood of the true class (binary)."""
-    return df.groupBy(*by).agg(F.avg(log_loss_expr(y, p)).alias("log_loss"), F.count(F.lit(1)).alias("n"))
+    """AGG23: mean negative log-likelihood of the true class (binary).  Rows without
+    a label or a probability are left out."""
+    return df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*by).agg(F.avg(log_loss_expr(y, p)).alias("log_loss"), F.count(F.lit(1)).alias("n"))
 
 
 def softmax_log_loss(df: DataFrame, margins: str, label: str, by: list[str] = ()) -> DataFrame:
@@ -51,17 +52,20 @@ def rmse(df: DataFrame, y: str, pred: str, by: list[str] = ()) -> DataFrame:
 
 
 def r2_score(df: DataFrame, y: str, pred: str, by: list[str] = ()) -> DataFrame:
-    """AGG35: 1 − SS_res/SS_tot, in one pass via sums of squares."""
+    """AGG35: 1 − SS_res/SS_tot in one pass; the total is the centred variance times
+    the rows, which large values do not wash out.  Rows without a label or a
+    prediction are left out; a constant label has no R² (null)."""
     yy = F.col(y).cast("double")
     d = yy - F.col(pred)
-    n = F.count(F.lit(1))
-    ss_tot = F.sum(yy * yy) - F.sum(yy) * F.sum(yy) / n
-    return df.groupBy(*by).agg((F.lit(1.0) - F.sum(d * d) / ss_tot).alias("r2"))
+    ss_tot = F.var_pop(yy) * F.count(yy)
+    rows = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
+    return rows.groupBy(*by).agg((F.lit(1.0) - F.try_divide(F.sum(d * d), ss_tot)).alias("r2"))
 
 
 def score_counts(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Positives and negatives per distinct score (ties collapse before any ordering)."""
-    return df.groupBy(*by, p).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"),
+    """Positives and negatives per distinct score (ties collapse before any ordering).
+    Rows without a label or a score are left out."""
+    return df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*by, p).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"),
                                   F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
 
 
@@ -87,14 +91,15 @@ def roc_auc(df: DataFrame, by: list[str] = (), y: str = "y", p: str = "p") -> Da
     """AGG25: tie-aware AUC = Σ_scores neg · (positives above + pos/2) / (P·N)."""
     by = list(by)
     pts = roc_points(df, by, y, p)
-    contrib = F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2.0)
-    return pts.groupBy(*by).agg(
-        (F.sum(contrib) / (F.first("n_pos") * F.first("n_neg"))).alias("roc_auc"))
+    contrib = F.col("neg").cast("double") * (F.col("tp") - F.col("pos") + F.col("pos") / 2.0)
+    pairs = F.first("n_pos").cast("double") * F.first("n_neg").cast("double")
+    return pts.groupBy(*by).agg(F.try_divide(F.sum(contrib), pairs).alias("roc_auc"))
 
 
 def classification_metrics(df: DataFrame, by: list[str] = (), y: str = "y", pred: str = "prediction") -> DataFrame:
     """AGG27: accuracy, precision, recall, F1 from one conditional-sum aggregation;
-    empty denominators → 0."""
+    empty denominators → 0.  Rows without a label or a prediction are left out."""
+    df = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
     yy, pp = F.col(y) == 1, F.col(pred) == 1
     agg = df.groupBy(*by).agg(
         F.sum((yy & pp).cast("long")).alias("tp"), F.sum((~yy & pp).cast("long")).alias("fp"),
@@ -121,11 +126,12 @@ def calibration_curve(df: DataFrame, by: list[str] = (), y: str = "y", p: str =
 
 
 def sequence_probability(df: DataFrame, seq_cols: list[str], p: str = "p", xg: float | str = 0.02415) -> DataFrame:
-    """AGG29: P(goal) = xG × Π p over the passes of a sequence, as exp(Σ ln p)."""
+    """AGG29: P(goal) = xG × Π p over the passes of a sequence: exp(Σ ln p), and 0 as
+    soon as one p is 0 (ln 0 is null and would be skipped)."""
     xg_col = F.lit(float(xg)) if not isinstance(xg, str) else F.first(xg)
-    return df.groupBy(*seq_cols).agg(
-        F.exp(F.sum(F.ln(F.col(p)))).alias("pass_chain_probability"), F.count(F.lit(1)).alias("n_passes"),
-        (F.exp(F.sum(F.ln(F.col(p)))) * xg_col).alias("goal_probability"))
+    chain = F.when(F.min(p) <= 0, F.lit(0.0)).otherwise(F.exp(F.sum(F.ln(F.col(p)))))
+    return df.groupBy(*seq_cols).agg(chain.alias("pass_chain_probability"), F.count(F.lit(1)).alias("n_passes"),
+                                     (chain * xg_col).alias("goal_probability"))
 
 
 def true_class_probability(y: str = "y", p: str = "p") -> Column:

@@ -219,9 +219,10 @@ def permutation_importance(model: PipelineModel, spec: ModelSpec, df: DataFrame,
     row's rank under one hash with the row holding the same rank under another
     hash: an equi-join on the rank, so no row moves through the driver."""
     from touchline.operators.ordinal import row_number0
+    from touchline.session import cut_lineage
     base = df.select(row_id, *spec.features(), spec.label)
-    ra = row_number0(base.withColumn("__h", F.xxhash64(row_id, F.lit(seed))), [], ["__h", row_id], "__r")
-    rb = row_number0(base.withColumn("__h", F.xxhash64(row_id, F.lit(seed + 1))), [], ["__h", row_id], "__r")
+    ra, rb = (cut_lineage(row_number0(base.withColumn("__h", F.xxhash64(row_id, F.lit(s))), [], ["__h", row_id], "__r",
+                                      method="hash")) for s in (seed, seed + 1))   # both rankings once, not once a feature
     ref = MT.log_loss(positive_probability(model.transform(base)).withColumnRenamed(spec.label, "y")) \
         .first()["log_loss"]
     rows = []

@@ -2,27 +2,32 @@
 
 A plain ``row_number().over(Window.orderBy(x))`` (no partition) or a window
 partitioned by a hot key sends all of those rows through one task.  Here the
-order key is first cut into order-preserving range buckets (by default binary
-octaves cut into equal slices, computed per row with no pass over the data;
-optionally approximate-quantile buckets), so a group of any size is spread
-over many (group, bucket) tasks:
+order key is first cut into order-preserving range buckets, so a group of any
+size is spread over many (group, bucket) tasks.  Values get cut points from a
+quantile sketch of the data (``method="quantile"``, the default); hashes, which
+are spread evenly by themselves, get slices of binary octaves, computed per row
+with no pass over the data (``method="hash"``):
 
 1. bucket every row (range-preserving);
 2. total the weight per (group, bucket): a small table;
 3. exclusive prefix sum of those totals over buckets inside each group;
 4. join the offsets back and finish with a window over (group, bucket).
 
-The result is exact; only the balance of work depends on the buckets.
+The result is exact; only the balance of work depends on the buckets.  Null
+partition keys form a partition of their own.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = None     # None: scale with the cluster (see bucket_count)
 BUCKETS_CONF = "touchline.ordinal.buckets"
+MAX_CUTS = 2048            # cut points that the quantile sketch is asked for at most
 
 
 def bucket_count(spark) -> int:
@@ -37,18 +42,19 @@ def bucket_count(spark) -> int:
     return max(64, min(16384, 4 * sp))
 
 
-def _bucketize(df: DataFrame, order_col: str, n_buckets: int, out: str) -> DataFrame:
-    """Quantile range buckets (one sketch job over the input)."""
-    key = "__ord_key"
-    df = df.withColumn(key, F.col(order_col).cast("double"))
+def _quantile_bucket(df: DataFrame, key: str, n_buckets: int, out: str) -> DataFrame:
+    """Range buckets of a double column at cut points that follow the data (one
+    sketch job): values crowded into a narrow band spread over many buckets, equal
+    values share one.  NaN and null go last."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(key, probs, 1.0 / (2 * n_buckets)) if n_buckets > 1 else []
-    splits = sorted({q for q in qs if q is not None})
-    splits = [float("-inf")] + splits + [float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(out, F.lit(0.0)).drop(key)
-    b = Bucketizer(splits=splits, inputCol=key, outputCol=out, handleInvalid="keep")
-    return b.transform(df).drop(key)
+    found = df.approxQuantile(key, probs, 1.0 / (2 * n_buckets)) if probs else []
+    cuts = sorted({q for q in found if q is not None and math.isfinite(q)})
+    last = F.lit(len(cuts) + 2).cast("long")
+    if not cuts:
+        null = F.col(key).isNull() | F.isnan(key)
+        return df.withColumn(out, F.when(null, last).otherwise(F.lit(0).cast("long")))
+    b = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=key, outputCol="__q", handleInvalid="keep")
+    return b.transform(df).withColumn(out, F.coalesce(F.col("__q").cast("long"), last)).drop("__q")
 
 
 _OCT_OFFSET = 1100            # octaves of a double span about -1075…1024
@@ -80,55 +86,46 @@ def log_bucket(c: Column, sub: int = 64) -> Column:
 def prefix_sum(df: DataFrame, partition_cols: list[str], order_cols: list[str],
                weights: dict[str, Column | str] | None = None, descending: bool = False,
                n_buckets: int | None = DEFAULT_BUCKETS, inclusive: bool = False,
-               method: str = "log") -> DataFrame:
+               method: str = "quantile") -> DataFrame:
     """Add, for every row, the sum of each weight over the rows of its partition
     that come before it in ``order_cols`` order (exclusive unless ``inclusive``).
 
     ``order_cols[0]`` must be numeric; the full ``order_cols`` must order rows of a
     partition uniquely (pre-aggregate ties).  ``weights`` maps output column →
     weight expression; without weights the output ``rank0`` is the 0-based row
-    number.  Null order values sort last.
+    number.  Null order values sort last; null partition keys are kept.
     """
     weights = dict(weights or {"rank0": F.lit(1)})
-    if method == "quantile":
-        n_buckets = n_buckets or bucket_count(df.sparkSession)
-    lead = order_cols[0]
+    n_buckets = n_buckets or bucket_count(df.sparkSession)
     sign = -1.0 if descending else 1.0
-    tmp = df
-    wcols = {}
-    for i, (name, w) in enumerate(weights.items()):
-        wc = f"__w{i}"
-        tmp = tmp.withColumn(wc, F.col(w) if isinstance(w, str) else w)
-        wcols[name] = wc
-    tmp = tmp.withColumn("__ord", F.col(lead).cast("double") * F.lit(sign))
+    wcols = {name: f"__w{i}" for i, name in enumerate(weights)}
+    tmp = df.withColumns({wcols[n]: F.col(w) if isinstance(w, str) else w for n, w in weights.items()})
+    tmp = tmp.withColumn("__ord", F.col(order_cols[0]).cast("double") * F.lit(sign))
     if method == "quantile":
-        tmp = _bucketize(tmp, "__ord", n_buckets, "__b")
-        # nulls: Bucketizer(keep) puts NaN in an extra bucket; null order → last bucket
-        tmp = tmp.withColumn("__b", F.coalesce(F.col("__b"), F.lit(float(n_buckets + 1))))
+        tmp = _quantile_bucket(tmp, "__ord", min(n_buckets, MAX_CUTS), "__b")
+    elif method == "hash":
+        tmp = tmp.withColumn("__b", log_bucket(F.col("__ord"), n_buckets))
     else:
-        tmp = tmp.withColumn("__b", log_bucket(F.col("__ord"), bucket_count(df.sparkSession)))
+        raise ValueError(f"unknown method {method!r}")
     part = list(partition_cols)
     totals = tmp.groupBy(*part, "__b").agg(*[F.sum(c).alias(c) for c in wcols.values()])
     wb = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, "__b", *[
-        F.coalesce(F.sum(c).over(wb), F.lit(0)).alias(f"{c}_off") for c in wcols.values()])
-    joined = tmp.join(offsets, on=[*part, "__b"], how="inner")
-    ordering = [(F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last())
-                for c in order_cols]
+    offsets = totals.select(
+        *[F.col(c).alias(f"__p{i}") for i, c in enumerate(part)], F.col("__b").alias("__ob"),
+        *[F.coalesce(F.sum(c).over(wb), F.lit(0)).alias(f"{c}_off") for c in wcols.values()])
+    same = F.col("__b") == F.col("__ob")
+    for i, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"__p{i}"))
+    joined = tmp.join(offsets, same, "inner")
+    ordering = [(F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last()) for c in order_cols]
     end = Window.currentRow if inclusive else -1
-    wi = (Window.partitionBy(*part, "__b").orderBy(*ordering)
-          .rowsBetween(Window.unboundedPreceding, end))
-    out = joined.select("*", *[
-        (F.col(f"{wc}_off") + F.coalesce(F.sum(wc).over(wi), F.lit(0))).alias(name)
-        for name, wc in wcols.items()])
-    drop = ["__ord", "__b", *wcols.values(), *[f"{c}_off" for c in wcols.values()]]
-    return out.drop(*drop)
-
-
-def row_number0(df: DataFrame, partition_cols: list[str], order_cols: list[str],
-                out: str = "rank0", descending: bool = False,
-                n_buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
+    wi = Window.partitionBy(*part, "__b").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, end)
+    return joined.select(*df.columns, *[
+        (F.col(f"{wc}_off") + F.coalesce(F.sum(wc).over(wi), F.lit(0))).alias(name) for name, wc in wcols.items()])
+
+
+def row_number0(df: DataFrame, partition_cols: list[str], order_cols: list[str], out: str = "rank0",
+                descending: bool = False, n_buckets: int | None = DEFAULT_BUCKETS, method: str = "quantile") -> DataFrame:
     """0-based row number inside each partition (exact, skew-safe)."""
-    return prefix_sum(df, partition_cols, order_cols, {out: F.lit(1)},
-                      descending=descending, n_buckets=n_buckets,
-                      method="quantile" if n_buckets else "log")
+    return prefix_sum(df, partition_cols, order_cols, {out: F.lit(1)}, descending=descending, n_buckets=n_buckets,
+                      method=method)

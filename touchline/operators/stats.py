@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 
 from touchline.operators.ordinal import prefix_sum
 
-MAX_LEVELS = 10_000
-
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Join a one-row aggregate onto every row (broadcast; the size is exactly one row)."""
-    return df.withColumn("__one", F.lit(1)).join(
-        F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    """Add the columns of a one-row aggregate to every row, as scalar subqueries: no
+    join, and more than one row is an error.  A dropped or renamed column of the
+    same name in ``df`` is replaced."""
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
 
 
 def melt(df: DataFrame, cols: list[str], ids: list[str] = (), value_type: str = "double") -> DataFrame:
@@ -146,12 +145,7 @@ def mutual_info_discrete(df: DataFrame, features: list[str], label: str) -> Data
     long = melt(df.where(F.col(label).isNotNull()), features, ids=[label], value_type="string") \
         .where(F.col("value").isNotNull())
     xy = long.groupBy("column", "value", label).agg(F.count(F.lit(1)).alias("nxy"))
-    x = xy.groupBy("column", "value").agg(F.sum("nxy").alias("nx"))
-    y = xy.groupBy("column", label).agg(F.sum("nxy").alias("ny"))
-    n = xy.groupBy("column").agg(F.sum("nxy").alias("n"))
-    j = xy.join(x, ["column", "value"]).join(y, ["column", label]).join(n, "column")
-    term = (F.col("nxy") / F.col("n")) * F.ln(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
-    return j.groupBy("column").agg(F.sum(term).alias("mutual_info")).orderBy(F.col("mutual_info").desc())
+    return _mi_from_counts(xy, label).orderBy(F.col("mutual_info").desc())
 
 
 def _mi_from_counts(xy: DataFrame, label: str) -> DataFrame:
@@ -159,7 +153,8 @@ def _mi_from_counts(xy: DataFrame, label: str) -> DataFrame:
     y = xy.groupBy("column", label).agg(F.sum("nxy").alias("ny"))
     n = xy.groupBy("column").agg(F.sum("nxy").alias("n"))
     j = xy.join(x, ["column", "value"]).join(y, ["column", label]).join(n, "column")
-    term = (F.col("nxy") / F.col("n")) * F.ln(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
+    term = (F.col("nxy") / F.col("n")) * F.ln(
+        F.col("nxy").cast("double") * F.col("n") / (F.col("nx").cast("double") * F.col("ny")))
     return j.groupBy("column").agg(F.sum(term).alias("mutual_info"))
 
 
