@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.frames import BROADCAST_ROWS, cut, per_batch, stored
+from touchline.llm.frames import BROADCAST_ROWS, broadcast_if_small, cut, per_batch, stored
 from touchline.llm.words import WORD_BASE, Powers, Texts, mix64, runs, window_hashes
 
 #: A repeat has at least SPAN words; anchors are SEED_WORDS-grams, so that winnowing
@@ -132,9 +132,10 @@ def _covered(rows: DataFrame, span: int) -> DataFrame:
     classes = cut(mixed.groupBy("seed", "content").agg(F.count("*").alias("c"), F.min(F.struct("row", "lo", "n")).alias("one")))
     ones = classes.select("one.row", "one.lo", "one.n", "seed")
     windows = stored(_extend(rows, ones, span), "windows")
-    again = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
-    partly = windows.join(again, "window").select("row", F.col("at").alias("lo"), F.lit(1).alias("n"))
-    whole = mixed.join(classes.where("c > 1").select("seed", "content"), ["seed", "content"], "left_semi")
+    again = cut(windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window"))
+    partly = windows.join(broadcast_if_small(again), "window").select("row", F.col("at").alias("lo"), F.lit(1).alias("n"))
+    several = broadcast_if_small(classes.where("c > 1").select("seed", "content"))
+    whole = mixed.join(several, ["seed", "content"], "left_semi")
     return found.where("not mixed").select("row", "lo", "n").union(whole.select("row", "lo", "n")).union(partly)
 
 
