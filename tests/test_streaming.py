@@ -23,6 +23,14 @@ def test_stream_scores_or_rejects_each_arrival_once(spark):
     assert rejects.where(F.col("reject_reason") != "invalid body_part").count() == 0
     lo, hi = scored.agg(F.min("probability"), F.max("probability")).first()
     assert 0.5 <= lo <= hi <= 1.0
+    # a batch replayed after a failure leaves every row once
+    from touchline.streaming.score import batch_writer, checked_requests
+    write = batch_writer(sink, model, fitted, rowwise, feats, mapping)
+    one = spark.read.schema(passes.schema).parquet(src).where("match_id = 3").select(*passes.columns)
+    write(checked_requests(one), 990)
+    before = spark.read.parquet(f"{sink}/scored").count()
+    write(checked_requests(one), 990)
+    assert before > scored.count() and spark.read.parquet(f"{sink}/scored").count() == before
     # a restart finds nothing new to process (offsets are in the checkpoint)
     start_scoring(spark, src, sink, ck, model, fitted, rowwise, feats, mapping).awaitTermination()
-    assert spark.read.parquet(f"{sink}/scored").count() == scored.count()
+    assert spark.read.parquet(f"{sink}/scored").count() == before

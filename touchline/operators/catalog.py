@@ -46,12 +46,22 @@ def competition_filter(customers: DataFrame, gender: str) -> DataFrame:
         .select(F.col("c_custkey").alias("competition_id"), F.col("c_name").alias("competition_name"))
 
 
-def parse_json_mapping(df: DataFrame, col: str, value_type: str = "int") -> DataFrame:
-    """SC35: JSON text → map (PERMISSIVE: invalid text → null, split off as rejects),
-    then one row per key."""
-    parsed = df.withColumn("__m", F.from_json(F.col(col), f"map<string,{value_type}>"))
-    ok = parsed.where(F.col("__m").isNotNull())
-    return ok.select("*", F.explode("__m").alias("key", "value")).drop("__m")
+def parse_json_mapping(df: DataFrame, col: str, value_type: str = "int") -> tuple[DataFrame, DataFrame]:
+    """SC35: JSON text → one row per key and value, and the rows that were rejected.
+
+    A key's value may be a list of levels (``pos`` counts them from 0) or a single
+    value (``pos`` 0).  Text that is null, no JSON or no object is rejected with a
+    ``reject_reason``; an empty object gives no row on either side."""
+    text = F.col(col)
+    parsed = df.withColumn("__m", F.from_json(text, "map<string,string>"))
+    is_object = F.coalesce(F.col("__m").isNotNull() & text.rlike(r"^\s*\{"), F.lit(False))
+    value = F.col("value")
+    levels = F.when(value.rlike(r"^\s*\["), F.from_json(value, "array<string>")).otherwise(F.array(value))
+    rows = (parsed.where(is_object).select("*", F.explode("__m").alias("key", "value"))
+            .select(*df.columns, "key", F.posexplode(levels).alias("pos", "value")))
+    rejects = parsed.where(~is_object).drop("__m").withColumn(
+        "reject_reason", F.when(text.isNull(), "missing").when(text.rlike(r"^\s*\{"), "invalid JSON").otherwise("not an object"))
+    return rows.withColumn("value", F.col("value").try_cast(value_type)), rejects
 
 
 def dedupe_scores(cands: DataFrame, id_col: str = "candidate", score_col: str = "score") -> DataFrame:

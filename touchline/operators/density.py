@@ -10,15 +10,18 @@ partial grids per task, so its work is linear in distinct points.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.scalar import PITCH_X, PITCH_Y
 from touchline.operators.stats import attach_scalars
+from touchline.session import cut_lineage, ship_package
 
 REG_COVAR = 1e-6          # fixed value: diagonal regulariser of mixture covariances
 MAX_COMPONENTS = 1000
+POINTS_PER_TASK = 4096    # distinct points whose kernels one task folds over the grid
 LN_2PI = math.log(2.0 * math.pi)
 
 
@@ -136,10 +139,13 @@ def kde_grid(points: DataFrame, grid_nx: int = int(PITCH_X), grid_ny: int = int(
     fac = F.pow(F.col("__n"), -1.0 / 3.0)
     stats = stats.select(F.col("__n").cast("double").alias("__n"), (F.col("__vx") * fac).alias("__hx"),
                          (F.col("__cxy") * fac).alias("__hxy"), (F.col("__vy") * fac).alias("__hy"))
-    pts = attach_scalars(p.groupBy("px", "py").agg(F.count(F.lit(1)).alias("c")), stats)
-    # compute-heavy but byte-light: an explicit partition count (one per core) keeps
-    # AQE from coalescing the distinct points into a single task
-    pts = pts.repartition(points.sparkSession.sparkContext.defaultParallelism, "px", "py")
+    spark = points.sparkSession
+    ship_package(spark)
+    distinct = cut_lineage(p.groupBy("px", "py").agg(F.count(F.lit(1)).alias("c")))
+    # compute-heavy but byte-light: tasks of a bounded number of points, and one per
+    # core at least, where AQE would join them by their few bytes
+    tasks = max(spark.sparkContext.defaultParallelism, -(-distinct.count() // POINTS_PER_TASK))
+    pts = attach_scalars(distinct, stats).repartition(tasks, "px", "py")
     part = pts.mapInPandas(lambda it: _kde_partials(it, grid_nx, grid_ny), "ix int, iy int, partial double")
     sx, sy = PITCH_X / (grid_nx - 1), PITCH_Y / (grid_ny - 1)
     gx = F.when(F.col("ix") == grid_nx - 1, F.lit(PITCH_X)).otherwise(F.col("ix") * F.lit(sx))
@@ -157,21 +163,21 @@ def fit_gmm(points: DataFrame, k: int, seed: int = 42, x: str = "x", y: str = "y
     return GaussianMixture(k=k, seed=seed, maxIter=max_iter, tol=1e-3).fit(vec), vec
 
 
-def gmm_bic_curve(points: DataFrame, k_values: list[int], seed: int = 42, x: str = "x", y: str = "y") -> DataFrame:
+def gmm_bic_curve(points: DataFrame, k_values: list[int], seed: int = 42, x: str = "x", y: str = "y",
+                  parallelism: int = 4) -> DataFrame:
     """ML14 BIC curve: −2·LL + (6k − 1)·ln n for each k (k = 1 closed form); the
-    vector column is cached once and the fits run one after another."""
+    points are cached once and several fits are submitted at a time."""
     spark = points.sparkSession
     base = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y).cache()
     n = base.count()
-    rows = []
-    k1 = gaussian_k1(base, x=x, y=y).first()
-    for k in k_values:
-        if k == 1:
-            ll = k1["log_likelihood"]
-        else:
-            model, _ = fit_gmm(base, k, seed, x, y)
-            ll = model.summary.logLikelihood
-        rows.append((k, float(ll), float(-2 * ll + (6 * k - 1) * math.log(n)), n))
+
+    def one(k):
+        ll = (gaussian_k1(base, x=x, y=y).first()["log_likelihood"] if k == 1
+              else fit_gmm(base, k, seed, x, y)[0].summary.logLikelihood)
+        return k, float(ll), float(-2 * ll + (6 * k - 1) * math.log(n)), n
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        rows = list(pool.map(one, k_values))
     base.unpersist()
     best = min(rows, key=lambda r: (r[2], r[0]))[0]          # TOP6: arg-min, first k wins ties
     rows = [(*r, r[0] == best) for r in rows]
@@ -193,6 +199,8 @@ def gmm_components(model) -> DataFrame:
 def gmm_sample(spark: SparkSession, comps: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """ML17: n draws: component by cumulative weight (seeded uniform), point = μ + L·z
     with L the Cholesky factor (z seeded normals)."""
+    if comps.count() > MAX_COMPONENTS:
+        raise ValueError(f"more than {MAX_COMPONENTS} components")
     c = comps.orderBy("component").agg(F.collect_list(F.struct(
         "weight", "mean_x", "mean_y", "var_x", "cov_xy", "var_y")).alias("__c"))
     draws = spark.range(n).select("id", F.rand(seed).alias("u"), F.randn(seed + 1).alias("z1"),

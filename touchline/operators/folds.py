@@ -1,8 +1,9 @@
 """Seeded, stratified row assignment: k folds, hold-out split, nested blocks.
 
-Rows are ranked inside their label by ``xxhash64(row_id, seed)`` with the exact
-two-level ordinal (no one-partition window).  The same seed gives the same
-assignment whatever the partitioning, because only row ids feed the hash.
+Rows are ranked inside their label by a seeded digest of the row id (60 bits of
+MD5, so that any engine can check the assignment) with the exact two-level
+ordinal (no one-partition window).  The same seed gives the same assignment
+whatever the partitioning, because only row ids feed the digest.
 """
 
 from __future__ import annotations
@@ -14,8 +15,14 @@ from touchline.operators.ordinal import row_number0
 from touchline.operators.stats import attach_scalars
 
 
+def seeded_order(row_id, seed: int):
+    """60 bits of md5("seed:row id") as a number."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(row_id.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def hash_rank(df: DataFrame, row_id: str, label: str | None, seed: int) -> DataFrame:
-    d = df.withColumn("__h", F.xxhash64(F.col(row_id), F.lit(seed)))
+    d = df.withColumn("__h", seeded_order(F.col(row_id), seed))
     return row_number0(d, [label] if label else [], ["__h", row_id], out="__rank", method="hash").drop("__h")
 
 

@@ -42,8 +42,9 @@ STATEFUL_OPERATORS = ["freq", "GroupByThenMin", "GroupByThenMax", "GroupByThenMe
 ARITH = "+-*/"
 _SPECIAL = set("()+-*/,")
 
-# lookup tables at or under this many rows are broadcast; larger ones are shuffle-joined
-BROADCAST_MAX_ROWS = 2_000_000
+# lookup tables of at most this size (rows times columns times 16 bytes) are broadcast;
+# larger ones are shuffle-joined, where AQE splits the rows of a frequent key
+BROADCAST_MAX_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -237,6 +238,16 @@ def combine_ids(df: DataFrame, a: str, b: str, order_col: str, out: str) -> Data
         a, b, F.col("__id").cast("double").alias(out))
 
 
+def key_counts(df: DataFrame, key_sets: list[tuple]) -> dict[tuple, int]:
+    """Upper estimates of the distinct keys of each set of columns, in one pass with
+    partial aggregation (a sketch of fixed size per set)."""
+    if not key_sets:
+        return {}
+    found = df.agg(*[F.approx_count_distinct(F.struct(*[F.col(f"`{c}`") for c in keys]), 0.02).alias(f"k{i}")
+                     for i, keys in enumerate(key_sets)]).first()
+    return {keys: int(found[i] * 1.1) + 1 for i, keys in enumerate(key_sets)}
+
+
 def derive_features(df: DataFrame, formulas, order_col: str | None = None,
                     names: dict | None = None, keep: list[str] | None = None) -> DataFrame:
     """FE1 whole-table evaluation of any formulas (nested allowed).
@@ -289,27 +300,30 @@ def derive_features(df: DataFrame, formulas, order_col: str | None = None,
                 specials.append(n)
             else:
                 groups.setdefault((colname(n.children[1]),), []).append(n)
+        pairs = [(colname(n.children[0]), colname(n.children[1])) for n in specials]
+        key_sets = {*groups} | {(p[1],) if n.op == "GroupByThenMedian" else p for n, p in zip(specials, pairs)}
+        sizes = key_counts(src, sorted(key_sets))
         for keys, ns in groups.items():
             need = set(keys) | {colname(n.children[0]) for n in ns if n.op.startswith("GroupByThen")}
             table, on = _group_table(src.select(*[F.col(f"`{c}`") for c in need]), list(keys), ns, colname)
-            cur = _lookup_join(cur, table, on)
+            cur = _lookup_join(cur, table, on, sizes[keys])
         for n in specials:
             c0, c1 = colname(n.children[0]), colname(n.children[1])
             out = ident[n.text()]
             if n.op == "GroupByThenMedian":
-                cur = _lookup_join(cur, grouped_median(src.select(c1, c0), c1, c0, out), [c1])
+                cur = _lookup_join(cur, grouped_median(src.select(c1, c0), c1, c0, out), [c1], sizes[c1,])
             elif n.op == "GroupByThenRank":
                 t = grouped_rank(src.select(c1, c0), c1, c0, out)
-                cur = _lookup_join(cur, t, [c1, c0])
+                cur = _lookup_join(cur, t, [c1, c0], sizes[c0, c1])
             elif n.op == "GroupByThenFreq":
                 t = (src.where(F.col(c1).isNotNull() & F.col(c0).isNotNull())
                      .groupBy(c1, c0).agg(F.count(F.lit(1)).cast("double").alias(out)))
-                cur = _lookup_join(cur, t, [c1, c0])
+                cur = _lookup_join(cur, t, [c1, c0], sizes[c0, c1])
             else:  # Combine
                 if order_col is None:
                     raise ValueError("Combine needs an explicit row order column")
                 t = combine_ids(src.select(c0, c1, order_col), c0, c1, order_col, out)
-                cur = _lookup_join(cur, t, [c0, c1])
+                cur = _lookup_join(cur, t, [c0, c1], sizes[c0, c1])
                 cur = cur.withColumn(out, F.coalesce(F.col(out), F.lit(-1.0)))
         done.update(n.text() for n in stateful)
 
@@ -321,10 +335,10 @@ def derive_features(df: DataFrame, formulas, order_col: str | None = None,
 
 
 def _lookup_join(left: DataFrame, table: DataFrame, on: list[str], n_rows: int | None = None) -> DataFrame:
-    """Left join of a lookup table on its keys.  Broadcast only when the row count
-    is known and small; otherwise a shuffle join that AQE may still turn into a
-    broadcast from runtime sizes, or split when a key is skewed."""
-    if n_rows is not None and n_rows <= BROADCAST_MAX_ROWS:
+    """Left join of a lookup table on its keys.  Broadcast when its counted (or, with
+    a margin, estimated) rows are known to be small; otherwise a shuffle join, which
+    AQE splits where a key is skewed."""
+    if n_rows is not None and n_rows * len(table.columns) * 16 <= BROADCAST_MAX_BYTES:
         table = F.broadcast(table)
     return left.join(table, on=on, how="left")
 

@@ -113,6 +113,15 @@ def classification_metrics(df: DataFrame, by: list[str] = (), y: str = "y", pred
                       f1.cast("double").alias("f1"))
 
 
+def evaluation(df: DataFrame, by: list[str], y: str = "y", p: str = "p", pred: str = "prediction") -> DataFrame:
+    """ML11: log loss, accuracy, precision, recall, F1 and AUC of scored rows per
+    group; three aggregations over one frame, joined on its few groups."""
+    base = log_loss(df, by, y, p)
+    rates = classification_metrics(df, by, y, pred).select(*by, "accuracy", "precision", "recall", "f1")
+    return base.join(rates, by).join(roc_auc(df, by, y, p), by).select(
+        *by, "log_loss", "accuracy", "precision", "recall", "f1", "roc_auc", "n")
+
+
 def calibration_bin(p: str = "p") -> Column:
     """Bin = number of inner edges strictly below p (10 uniform bins)."""
     return sum((F.col(p) > F.lit(e)).cast("int") for e in CALIBRATION_EDGES)

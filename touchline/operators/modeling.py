@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import metrics as MT
 from touchline.operators.folds import stratified_folds, stratified_split
+from touchline.session import cut_lineage
 
 SEED = 165
 MISSING = -1.0e9     # stand-in for a missing numeric value inside the tree learner
@@ -115,9 +116,10 @@ def loss_curve(spec: ModelSpec, df: DataFrame, row_id: str, seed: int = 42) -> D
 
 def cross_val_oof(spec: ModelSpec, df: DataFrame, row_id: str, k: int = 3, seed: int = 42,
                   parallelism: int = 4) -> DataFrame:
-    """ML4 outer loop: seeded stratified folds; each fold scored by a model fitted
-    on the others; the out-of-fold rows cover every row exactly once."""
-    f = stratified_folds(df, row_id, spec.label, k, seed).cache()
+    """Seeded stratified folds; each fold scored by a model fitted on the others;
+    the out-of-fold rows cover every row exactly once.  The fold table is cut in
+    the shared folder, so nothing stays cached after the call."""
+    f = cut_lineage(stratified_folds(df, row_id, spec.label, k, seed).select(row_id, "fold", *spec.features(), spec.label))
 
     def one(i):
         return fit_predict(spec, f.where(F.col("fold") != i), f.where(F.col("fold") == i), [row_id, "fold"])
@@ -131,6 +133,52 @@ def cross_val_oof(spec: ModelSpec, df: DataFrame, row_id: str, k: int = 3, seed:
     return out
 
 
+def score_table(scored: DataFrame, label: str, metric: str) -> float:
+    """A metric of scored rows (``p``, ``prediction``); higher is better."""
+    rows = scored.withColumnRenamed(label, "y")
+    if metric == "log_loss":
+        return -MT.log_loss(rows).first()["log_loss"]
+    if metric == "auc":
+        return MT.roc_auc(rows).first()["roc_auc"]
+    if metric == "accuracy":
+        return MT.classification_metrics(rows).first()["accuracy"]
+    raise ValueError(f"metric {metric!r}: choose log_loss, auc or accuracy")
+
+
+def refit(spec: ModelSpec, df: DataFrame, row_id: str, seed: int = 42) -> tuple[PipelineModel, int]:
+    """Early-stopped fit on 80 % of the rows with the rest as validation, then a fit
+    on all rows with the rounds that were used: (model, rounds)."""
+    _, rounds, _ = early_stopped(spec, df, row_id, seed)
+    return fit(spec.with_params(maxIter=max(1, rounds)), df), rounds
+
+
+def nested_evaluation(spec: ModelSpec, df: DataFrame, row_id: str, path: str, outer: int = 5, inner: int = 5,
+                      n_trials: int = 10, n_features: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """ML4: per outer fold, search parameters on inner folds of the other folds,
+    eliminate features down to ``n_features``, refit with early stopping, and score
+    the fold.  Each fold's rows are written under ``path`` as they are made (SNK2) and
+    read back: (out-of-fold rows, one row of choices a fold)."""
+    folds = cut_lineage(stratified_folds(df, row_id, spec.label, outer, seed).select(row_id, "fold", *spec.features(), spec.label))
+    choices = []
+    for i in range(outer):
+        train = folds.where(F.col("fold") != i).drop("fold")
+        best = best_params(param_search(spec, train, row_id, n_trials, inner, seed + i))
+        chosen = spec.with_params(**best)
+        if n_features < 1:
+            dropped = {r["dropped"] for r in rfe(chosen, train, n_features).collect()}
+            chosen = chosen.with_features([f for f in chosen.features() if f not in dropped])
+        model, rounds = refit(chosen, train, row_id, seed + i)
+        out = positive_probability(model.transform(folds.where(F.col("fold") == i))).select(
+            row_id, spec.label, "p", (F.col("p") >= 0.5).cast("int").alias("prediction"))
+        out.write.mode("overwrite").parquet(f"{path}/fold={i}")
+        choices.append((i, ",".join(chosen.features()), rounds, best["maxDepth"], best["stepSize"], best["subsamplingRate"]))
+    spark = df.sparkSession
+    kinds = f"{row_id} {dict(df.dtypes)[row_id]}, {spec.label} {dict(df.dtypes)[spec.label]}, p double, prediction int, fold int"
+    return (spark.read.schema(kinds).parquet(path),
+            spark.createDataFrame(choices, "fold int, features string, rounds int, maxDepth int, stepSize double, "
+                                           "subsamplingRate double"))
+
+
 def fold_losses(oof: DataFrame, label: str) -> DataFrame:
     return MT.log_loss(oof.withColumnRenamed(label, "y"), ["fold"])
 
@@ -193,45 +241,45 @@ def rfe(spec: ModelSpec, train: DataFrame, n_keep: float, step: int = 1) -> Data
     return spark.createDataFrame(rows, "step int, dropped string, importance double, n_features int")
 
 
-def forward_selection(spec: ModelSpec, df: DataFrame, row_id: str, threshold: float = 0.001, k: int = 2,
-                      seed: int = 42) -> DataFrame:
-    """ML9: add features in importance order while the CV log loss improves by ≥ threshold."""
+def forward_selection(spec: ModelSpec, df: DataFrame, row_id: str, threshold: float = 0.001, k: int = 5,
+                      seed: int = 42, step: int = 1, metric: str = "log_loss") -> DataFrame:
+    """ML9: add features in importance order, ``step`` at a time, while the mean of the
+    folds' scores improves by at least ``threshold``.  One row per feature tried."""
     ranked = [f for f, _ in importances(spec, fit(spec, df))]
-    chosen, best, rows = [], None, []
-    for f in ranked:
-        trial = spec.with_features(chosen + [f])
-        oof = cross_val_oof(trial, df, row_id, k, seed)
-        loss = MT.log_loss(oof.withColumnRenamed(spec.label, "y")).first()["log_loss"]
-        gain = (best - loss) if best is not None else float("inf")
-        keep = gain >= threshold
-        rows.append((f, float(loss), keep))
-        if keep:
-            chosen.append(f)
-            best = loss
-        else:
+    chosen, best, rows = [], -float("inf"), []
+    for at in range(0, len(ranked), step):
+        new = ranked[at:at + step]
+        oof = cut_lineage(cross_val_oof(spec.with_features(chosen + new), df, row_id, k, seed))
+        score = sum(score_table(oof.where(F.col("fold") == i), spec.label, metric) for i in range(k)) / k
+        keep = score - best >= threshold
+        rows.extend((f, float(-score if metric == "log_loss" else score), keep) for f in new)
+        if not keep:
             break
-    return df.sparkSession.createDataFrame(rows, "feature string, cv_log_loss double, kept boolean")
+        chosen, best = chosen + new, score
+    return df.sparkSession.createDataFrame(rows, f"feature string, cv_{metric} double, kept boolean")
 
 
 def permutation_importance(model: PipelineModel, spec: ModelSpec, df: DataFrame, row_id: str,
-                           seed: int = 7) -> DataFrame:
-    """ML12: loss increase when one column is permuted.  The permutation pairs each
+                           seed: int = 7, n_repeats: int = 1) -> DataFrame:
+    """ML12: mean loss increase over ``n_repeats`` permutations of each column.  The permutation pairs each
     row's rank under one hash with the row holding the same rank under another
     hash: an equi-join on the rank, so no row moves through the driver."""
     from touchline.operators.ordinal import row_number0
-    from touchline.session import cut_lineage
     base = df.select(row_id, *spec.features(), spec.label)
-    ra, rb = (cut_lineage(row_number0(base.withColumn("__h", F.xxhash64(row_id, F.lit(s))), [], ["__h", row_id], "__r",
-                                      method="hash")) for s in (seed, seed + 1))   # both rankings once, not once a feature
+    # one ranking a permutation, not one a feature
+    ra, *others = [cut_lineage(row_number0(base.withColumn("__h", F.xxhash64(row_id, F.lit(seed + i))), [], ["__h", row_id],
+                                           "__r", method="hash")) for i in range(n_repeats + 1)]
     ref = MT.log_loss(positive_probability(model.transform(base)).withColumnRenamed(spec.label, "y")) \
         .first()["log_loss"]
     rows = []
     for f in spec.features():
-        donor = rb.select("__r", F.col(f).alias("__v"))
-        perm = ra.drop("__h").join(donor, "__r").drop(f).withColumnRenamed("__v", f)
-        loss = MT.log_loss(positive_probability(model.transform(perm)).withColumnRenamed(spec.label, "y")) \
-            .first()["log_loss"]
-        rows.append((f, float(loss - ref)))
+        losses = []
+        for rb in others:
+            donor = rb.select("__r", F.col(f).alias("__v"))
+            perm = ra.drop("__h").join(donor, "__r").drop(f).withColumnRenamed("__v", f)
+            losses.append(MT.log_loss(positive_probability(model.transform(perm)).withColumnRenamed(spec.label, "y"))
+                          .first()["log_loss"])
+        rows.append((f, float(sum(losses) / len(losses) - ref)))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 

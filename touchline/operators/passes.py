@@ -171,7 +171,8 @@ def grid_occupancy(df: DataFrame, x: str = "start_x", y: str = "start_y") -> Dat
 
 
 def extract_passes(events: DataFrame) -> DataFrame:
-    """SRC5/FLT8: the pass table from the nested event feed, one select, no loop."""
+    """SRC5/FLT8: the twelve columns of the pass table (and the event's id) from the
+    nested event feed, one select, no loop."""
     p = events.where((F.col("type") == "Pass") & F.col("location").isNotNull()
                      & F.col("pass_end_location").isNotNull())
     sx, sy = F.col("location")[0], F.col("location")[1]
@@ -180,7 +181,8 @@ def extract_passes(events: DataFrame) -> DataFrame:
         "event_id", "match_id", sx.alias("start_x"), sy.alias("start_y"),
         ex.alias("end_x"), ey.alias("end_y"),
         F.sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy)).alias("length"),
-        F.atan2(ey - sy, ex - sx).alias("angle"))
+        F.col("pass_height").alias("height"), F.atan2(ey - sy, ex - sx).alias("angle"), "duration",
+        F.col("pass_body_part").alias("body_part"), "under_pressure", F.col("pass_outcome").alias("outcome"))
 
 
 def sample_head(df: DataFrame, order_col: str, n: int = 10) -> DataFrame:

@@ -167,6 +167,7 @@ def selected_features(runs: DataFrame) -> DataFrame:
         "run_id", F.posexplode(F.split("selected_features", ",")).alias("pos", "feature"))
 
 
-def experiment_runs(runs: DataFrame, cap: int = 1000) -> DataFrame:
-    """SRC6: runs of an experiment, newest first, capped like the tracking client."""
-    return runs.orderBy(F.col("start_time").desc(), F.col("run_id")).limit(cap)
+def experiment_runs(runs: DataFrame, page_size: int | None = None, page: int = 0) -> DataFrame:
+    """SRC6: runs of an experiment, newest first: all of them, or one page."""
+    out = runs.orderBy(F.col("start_time").desc(), F.col("run_id"))
+    return out if page_size is None else out.offset(page * page_size).limit(page_size)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline.operators import autofe as AF
 from touchline.operators.folds import nested_blocks
 from touchline.operators.passes import pass_geometry, preprocess_passes
+from touchline.plans.q_stats import FOLD_ROWS_SQL
 from touchline.plans.registry import register
 from touchline.plans.sqlfrag import PRE_SQL
 from touchline.sources import views as V
@@ -53,13 +54,8 @@ UNION ALL SELECT 'GroupByThenNUnique(' || a.name || ',' || b.name || ')', 'Group
   WHERE a.name <> b.name"""
 
 
-def candidates(spark, sf, cols=PROFILE):
-    num, cat, ordinal = AF.profile_kinds(pre(spark, sf), cols, [c for c in CATS if c in cols])
-    return AF.enumerate_candidates(num, cat, ordinal)
-
-
-# columns whose candidates go through the halving and the end-to-end search
-SEARCH_COLS = ["length", "height"]
+def candidates(spark, sf):
+    return AF.enumerate_candidates(*AF.profile_kinds(pre(spark, sf), PROFILE, CATS))
 
 
 @register("candidate_features", CAND_SQL, views=("passes",))
@@ -108,7 +104,7 @@ def q_stage1_scores(spark, sf):
 def q_stage1_select(spark, sf):
     """FE11: successive halving of all enumerated candidates over 4 nested row blocks."""
     df = nested_blocks(with_split(pre(spark, sf)), "pass_id", 4, seed=42).cache()
-    forms = [n.text() for n in candidates(spark, sf, SEARCH_COLS) if n.op != "Combine"]
+    forms = [n.text() for n in candidates(spark, sf)]
     return AF.stage1_select(df, forms, "outcome", "split", "block", n_levels=3, min_features=8,
                             order_col="pass_id")
 
@@ -129,9 +125,9 @@ def q_auto_features(spark, sf):
     """FE13: enumerate → stage-1 halving → stage-2 ranking → top 5."""
     df = nested_blocks(with_split(pre(spark, sf)), "pass_id", 2, seed=42) \
         .withColumn("outcome", F.col("outcome").cast("double")).cache()
-    forms = [n.text() for n in candidates(spark, sf, SEARCH_COLS) if n.op != "Combine"]
+    forms = [n.text() for n in candidates(spark, sf)]
     s1 = AF.stage1_select(df, forms, "outcome", "split", "block", n_levels=2, min_features=10, order_col="pass_id")
-    top = [r["feature"] for r in s1.orderBy(F.col("score").desc(), "feature").limit(10).collect()]
+    top = [r["feature"] for r in s1.orderBy(F.col("score").desc(), "feature").collect()]
     s2 = AF.stage2_rank(df.where(F.col("split") == "train"), BASE_NUM, ["height"], top, "outcome",
                         {"maxIter": 10, "maxDepth": 3, "stepSize": 0.2}, order_col="pass_id")
     return s2.orderBy(F.col("importance").desc(), "feature").limit(5)
@@ -145,25 +141,33 @@ def q_two_stage_selection(spark, sf):
     cols = ["length", "angle", "duration", "start_x", "end_x", "log_velocity", "progressive_distance",
             "direction_to_goal_cos"]
     s1 = AF.stage1_scores(g, cols, "outcome", "split")
-    keep = [r["feature"] for r in s1.where(F.col("score") > 0).orderBy(F.col("score").desc()).collect()]
-    keep = keep or cols
-    n_min = max(1, int(0.2 * len(cols)))
-    keep = keep[:max(n_min, len(keep))]
+    scored = s1.orderBy(F.col("score").desc(), "feature").collect()
+    ranked, keep = [r["feature"] for r in scored], [r["feature"] for r in scored if r["score"] > 0]
+    n_min = max(1, int(0.2 * len(cols)))        # at least this share of the columns goes on
+    keep = keep if len(keep) >= n_min else ranked[:n_min]
     return AF.stage2_rank(g.where(F.col("split") == "train"), [], [], keep, "outcome",
                           {"maxIter": 10, "maxDepth": 3, "stepSize": 0.2})
 
 
+@register("oof_margin_rows", FOLD_ROWS_SQL.format(k=5, label="CASE WHEN outcome IS NULL THEN 1 ELSE 0 END", where="")
+          .replace("SELECT pass_id, y, CAST((row", "SELECT pass_id, CAST((row"), views=("passes",))
+def q_oof_margin_rows(spark, sf):
+    """FE15: every row has one margin, from the model that did not see its fold."""
+    return q_oof_margin(spark, sf).where(F.col("margin").isNotNull()).select("pass_id", "fold")
+
+
 @register("oof_margin")
 def q_oof_margin(spark, sf):
     """FE15: out-of-fold raw margins of a base model (the boosting start score for generated features)."""
     from pyspark.ml.functions import vector_to_array
     from touchline.operators import modeling as ML
     from touchline.operators.folds import stratified_folds
+    from touchline.session import cut_lineage
     df = pass_geometry(preprocess_passes(V.passes(spark, sf))).withColumn("outcome", F.col("outcome").cast("double"))
     spec = ML.ModelSpec(BASE_NUM, ["height"], "outcome", {"maxIter": 10, "maxDepth": 3, "stepSize": 0.2})
-    f = stratified_folds(df, "pass_id", "outcome", 3, seed=42).cache()
+    f = cut_lineage(stratified_folds(df, "pass_id", "outcome", 5, seed=42))
     parts = []
-    for i in range(3):
+    for i in range(5):
         m = ML.fit(spec, f.where(F.col("fold") != i))
         parts.append(m.transform(f.where(F.col("fold") == i).select("pass_id", "fold", *spec.features(), "outcome"))
                      .select("pass_id", "fold", vector_to_array("rawPrediction")[1].alias("margin")))

@@ -117,7 +117,8 @@ def q_read_events_json(spark, sf):
 
 @register("extract_passes", "SELECT event_id, match_id, loc_x AS start_x, loc_y AS start_y, pass_end_x AS end_x, "
           "pass_end_y AS end_y, sqrt((pass_end_x-loc_x)*(pass_end_x-loc_x)+(pass_end_y-loc_y)*(pass_end_y-loc_y)) "
-          "AS length, atan2(pass_end_y-loc_y, pass_end_x-loc_x) AS angle FROM match_events "
+          "AS length, pass_height AS height, atan2(pass_end_y-loc_y, pass_end_x-loc_x) AS angle, duration, "
+          "pass_body_part AS body_part, under_pressure, pass_outcome AS outcome FROM match_events "
           "WHERE type = 'Pass' AND loc_x IS NOT NULL AND pass_end_x IS NOT NULL",
           views=("match_events",), dbl=("length", "angle"))
 def q_extract_passes(spark, sf):

@@ -56,7 +56,31 @@ def q_competition_filter(spark, sf):
   WHERE json_valid(props)) t""")
 def q_parse_category_mapping(spark, sf):
     ev = read_table(spark, sf, "events").select("event_id", "props")
-    return C.parse_json_mapping(ev, "props").select("event_id", "key", "value")
+    return C.parse_json_mapping(ev, "props")[0].select("event_id", "key", "value")
+
+
+@register("category_mapping_levels", """SELECT p_partkey, 'brand' AS key, CAST(0 AS INTEGER) AS pos, p_brand AS value FROM part
+  WHERE p_partkey % 5 < 3 UNION ALL SELECT p_partkey, 'sizes', CAST(0 AS INTEGER), CAST(p_size AS VARCHAR) FROM part WHERE p_partkey % 5 < 3
+  UNION ALL SELECT p_partkey, 'sizes', CAST(1 AS INTEGER), p_type FROM part WHERE p_partkey % 5 < 3""")
+def q_category_mapping_levels(spark, sf):
+    """SC35: a mapping of lists, one row per level; invalid text goes to the rejects."""
+    return C.parse_json_mapping(_mappings(spark, sf), "tag", "string")[0].select("p_partkey", "key", "pos", "value")
+
+
+@register("category_mapping_rejects", """SELECT p_partkey, CASE p_partkey % 5 WHEN 3 THEN 'invalid JSON' ELSE 'missing' END
+  AS reject_reason FROM part WHERE p_partkey % 5 >= 3""")
+def q_category_mapping_rejects(spark, sf):
+    """SC35: the rejected side, with reasons."""
+    return C.parse_json_mapping(_mappings(spark, sf), "tag", "string")[1].select("p_partkey", "reject_reason")
+
+
+def _mappings(spark, sf):
+    """A JSON tag per part: a brand and a list; every fifth text is cut off, every fifth missing."""
+    p = read_table(spark, sf, "part")
+    tag = F.to_json(F.struct(F.col("p_brand").alias("brand"),
+                             F.array(F.col("p_size").cast("string"), F.col("p_type")).alias("sizes")))
+    kind = F.col("p_partkey") % 5
+    return p.select("p_partkey", F.when(kind < 3, tag).when(kind == 3, F.substring(tag, 1, 9)).alias("tag"))
 
 
 @register("dedupe_scores", "SELECT p_size / 5e1 AS score, min(p_partkey) AS candidate FROM part GROUP BY 1")

@@ -134,12 +134,30 @@ def q_argmax_label(spark, sf):
     return s.select("pass_id", lab.alias("label"), prob.alias("probability"))
 
 
-@register("evaluate_model", f"""WITH s AS (SELECT CASE WHEN match_id = 7 THEN 'test' ELSE 'train' END AS split, * FROM scored)
-SELECT split, avg({LL_SQL}) AS log_loss, avg(CASE WHEN y = prediction THEN 1.0 ELSE 0.0 END) AS accuracy,
-  count(*) AS n FROM s GROUP BY 1""", views=("scored",), dbl=("log_loss", "accuracy"))
+SPLIT_SQL = "SELECT CASE WHEN match_id = 7 THEN 'test' ELSE 'train' END AS split, * FROM scored"
+
+
+@register("evaluate_model", f"""WITH s AS ({SPLIT_SQL}),
+a AS (SELECT split, avg({LL_SQL}) AS log_loss, avg(CASE WHEN y = prediction THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n,
+  coalesce(avg(CASE WHEN prediction = 1 THEN y END), 0.0) AS precision, coalesce(avg(CASE WHEN y = 1 THEN prediction END), 0.0) AS recall
+  FROM s GROUP BY 1),
+k AS (SELECT split, y, rank() OVER (PARTITION BY split ORDER BY p) + (count(*) OVER (PARTITION BY split, p) - 1) / 2.0 AS r FROM s),
+u AS (SELECT split, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS roc_auc FROM k GROUP BY 1)
+SELECT split, log_loss, accuracy, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+  ELSE 0.0 END AS f1, roc_auc, n FROM a JOIN u USING (split)""", views=("scored",),
+          dbl=("log_loss", "accuracy", "precision", "recall", "f1", "roc_auc"))
 def q_evaluate_model(spark, sf):
-    """ML11 given scores: train and hold-out metrics from one cached scored frame."""
-    s = sc(spark, sf).withColumn("split", F.when(F.col("match_id") == 7, "test").otherwise("train"))
-    ll = MT.log_loss(s, ["split"])
-    acc = MT.classification_metrics(s, ["split"]).select("split", "accuracy")
-    return ll.join(acc, "split").select("split", "log_loss", "accuracy", "n")
+    """ML11 given scores: all train and hold-out metrics of one scored frame."""
+    return MT.evaluation(with_split(spark, sf), ["split"])
+
+
+@register("evaluation_roc", "WITH scored_split AS (" + SPLIT_SQL + "), " + ROC_SQL.format(by="split,", gb="split,", part="split")
+          .replace("FROM scored", "FROM scored_split") + """ SELECT split, p AS threshold, CAST(tp AS DOUBLE) / n_pos AS tpr,
+  CAST(fp AS DOUBLE) / n_neg AS fpr FROM cum""", views=("scored",), dbl=("tpr", "fpr"))
+def q_evaluation_roc(spark, sf):
+    """ML11: the ROC points of both sides."""
+    return MT.roc_points(with_split(spark, sf), ["split"]).select("split", "threshold", "tpr", "fpr")
+
+
+def with_split(spark, sf):
+    return sc(spark, sf).withColumn("split", F.when(F.col("match_id") == 7, "test").otherwise("train"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from touchline.operators import metrics as MT
 from touchline.operators import modeling as ML
 from touchline.operators.passes import pass_geometry, preprocess_passes
+from touchline.plans.q_stats import FOLD_ROWS_SQL
 from touchline.plans.registry import register
+from touchline.sources.io import scratch
 from touchline.sources import views as V
 
 NUMERIC = ["start_x", "start_y", "end_x", "end_y", "length", "angle", "duration", "under_pressure",
@@ -53,6 +55,15 @@ def q_nested_cv(spark, sf):
     return ML.cross_val_oof(spec(), frame(spark, sf), "pass_id", k=3)
 
 
+@register("nested_cv_rows", FOLD_ROWS_SQL.format(k=3, label="CAST(CASE WHEN outcome IS NULL THEN 1 ELSE 0 END AS DOUBLE)", where="")
+          .replace(" y, CAST((row", " y AS label, CAST((row"), views=("passes",))
+def q_nested_cv_rows(spark, sf):
+    """ML4/SNK2: the nested evaluation (inner search and early-stopped refit per outer fold), its out-of-fold rows
+    written and read back: every row once, in its own fold."""
+    rows, _ = ML.nested_evaluation(spec(), frame(spark, sf), "pass_id", scratch(spark, "oof"), outer=3, inner=2, n_trials=1)
+    return rows.select("pass_id", "label", "fold")
+
+
 @register("param_search")
 def q_param_search(spark, sf):
     """ML5: seeded random search, mean inner-fold log loss per trial."""
@@ -63,12 +74,13 @@ def q_param_search(spark, sf):
 def q_tune_and_train(spark, sf):
     """ML6: 80/20 split → search on the 80 → refit with early stopping → score the 20."""
     from touchline.operators.folds import stratified_split
+    from touchline.session import cut_lineage
     f = frame(spark, sf).where(F.col("match_id") != 7)
-    s = stratified_split(f, "pass_id", "label", 2, seed=42).cache()
+    s = cut_lineage(stratified_split(f, "pass_id", "label", 2, seed=42))
     train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
     trials = ML.param_search(spec(), train, "pass_id", n_trials=2, k=2)
-    best = spec(**ML.best_params(trials))
-    pred = ML.fit_predict(best, train, test, ["pass_id"]).withColumnRenamed("label", "y")
+    model, _ = ML.refit(spec(**ML.best_params(trials)), train, "pass_id")
+    pred = ML.positive_probability(model.transform(test)).withColumnRenamed("label", "y")
     ll = MT.log_loss(pred).withColumn("k", F.lit(1))
     auc = MT.roc_auc(pred).withColumn("k", F.lit(1))
     return ll.join(auc, "k").drop("k")
@@ -85,28 +97,33 @@ def q_final_train(spark, sf):
 
 @register("rfe")
 def q_rfe(spark, sf):
-    """ML8: recursive elimination to 4 features, two per step."""
-    s = ML.ModelSpec(["length", "angle", "duration", "start_x", "end_x", "log_velocity"], ["height", "body_part"],
-                     "label", dict(SMALL))
-    return ML.rfe(s, frame(spark, sf).where(F.col("match_id") != 7), 4, step=2)
+    """ML8: recursive elimination of all features down to 4, three per step."""
+    return ML.rfe(spec(), frame(spark, sf).where(F.col("match_id") != 7), 4, step=3)
 
 
 @register("forward_selection")
 def q_forward_selection(spark, sf):
-    """ML9: forward selection by importance while CV gain ≥ 0.001."""
-    s = ML.ModelSpec(["length", "duration", "start_x"], ["height"], "label", dict(SMALL))
-    return ML.forward_selection(s, frame(spark, sf).where(F.col("match_id") != 7), "pass_id")
+    """ML9: forward selection over all features by importance, three at a time, while the mean score of the folds gains ≥ 0.001."""
+    return ML.forward_selection(spec(), frame(spark, sf).where(F.col("match_id") != 7), "pass_id", k=2, step=3)
 
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
     """ML12: loss increase per permuted feature on the hold-out rows."""
     f = frame(spark, sf)
-    s = ML.ModelSpec(["length", "duration", "start_x", "angle"], ["height"], "label", dict(SMALL))
+    s = spec()
     model = ML.fit(s, f.where(F.col("match_id") != 7))
     return ML.permutation_importance(model, s, f.where(F.col("match_id") == 7), "pass_id")
 
 
+@register("scored_rows", "SELECT pass_id, 'gbt' AS model, true AS in_range FROM passes", views=("passes",))
+def q_scored_rows(spark, sf):
+    """ML13: every pass is scored once, with a probability of the arg-max class between 0.5 and 1."""
+    f = frame(spark, sf)
+    rows = ML.batch_score(ML.fit(spec(), f.where(F.col("match_id") != 7)), f, ["pass_id"], "gbt")
+    return rows.select("pass_id", "model", F.col("probability").between(0.5, 1.0).alias("in_range"))
+
+
 @register("batch_score")
 def q_batch_score(spark, sf):
     """ML13: arg-max label, probability, timestamp and model name for every pass."""
@@ -147,7 +164,6 @@ def q_inference_frame(spark, sf):
 
 def _bundle(spark, sf):
     from touchline.operators.inference import inference_frame, save_bundle
-    from touchline.sources.io import scratch
     fitted, mapping = _fit_transformers(spark, sf)
     raw = V.passes(spark, sf)
     fr = inference_frame(raw.where(F.col("match_id") != 7), ROWWISE, fitted, INF_FEATURES, mapping,
@@ -178,7 +194,6 @@ def q_load_scored_formulas(spark, sf):
     from touchline.operators.autofe import stage1_scores
     from touchline.operators.inference import parse_scored_formulas
     from touchline.plans.q_autofe import S1, pre, with_split
-    from touchline.sources.io import scratch
     s = stage1_scores(with_split(pre(spark, sf)), S1, "outcome", "split")
     lines = s.select(F.concat_ws(" ", "feature", F.col("score").cast("string")).alias("value"))
     lines = lines.unionByName(spark.createDataFrame([("not-a-formula 1.0",), ("",)], "value string"))
@@ -192,7 +207,7 @@ def q_streaming_score(spark, sf):
     """STR1: passes arrive as parquet files; a streaming job validates, builds the
     inference frame and scores them with a frozen bundle (availableNow)."""
     from touchline.operators.inference import load_bundle
-    from touchline.sources.io import scratch, write_passes
+    from touchline.sources.io import write_passes
     from touchline.streaming.score import start_scoring
     path = _bundle(spark, sf)
     model, fitted, rowwise, feats, mapping = load_bundle(spark, path)

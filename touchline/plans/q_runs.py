@@ -165,10 +165,10 @@ def q_best_trial(spark, sf):
     return RU.best_trial(runs(spark, sf))
 
 
-@register("experiment_runs", "SELECT run_id, start_time, model_type FROM runs ORDER BY start_time DESC, run_id "
-          "LIMIT 1000", views=("runs",))
+@register("experiment_runs", "SELECT run_id, start_time, model_type FROM runs ORDER BY start_time DESC, run_id",
+          views=("runs",))
 def q_experiment_runs(spark, sf):
-    """SRC6: capped listing (the cap is the tracking client's page size)."""
+    """SRC6: the whole listing, newest first."""
     return RU.experiment_runs(runs(spark, sf)).select("run_id", "start_time", "model_type")
 
 

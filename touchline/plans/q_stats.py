@@ -180,6 +180,34 @@ def q_stratified_folds(spark, sf):
     return f.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+FOLD_ROWS_SQL = """SELECT pass_id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY h, pass_id) - 1) % {k} AS INTEGER) AS fold
+  FROM (SELECT pass_id, {label} AS y, CAST('0x' || substr(md5('42:' || pass_id), 1, 15) AS BIGINT) AS h FROM passes{where}) t"""
+LABEL_SQL = "CASE WHEN outcome IS NULL THEN 1 ELSE 0 END"
+
+
+@register("fold_assignment", FOLD_ROWS_SQL.format(k=5, label=LABEL_SQL, where=""), views=("passes",))
+def q_fold_assignment(spark, sf):
+    """WIN5: the fold of every row."""
+    return FO.stratified_folds(labelled(spark, sf), "pass_id", "y", k=5, seed=42).select("pass_id", "y", "fold")
+
+
+@register("split_assignment", f"""SELECT pass_id, y, CASE WHEN r * 10 < ceil(n / 5.0) * 10 THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT pass_id, y, row_number() OVER (PARTITION BY y ORDER BY h, pass_id) - 1 AS r, count(*) OVER (PARTITION BY y) AS n
+  FROM (SELECT pass_id, {LABEL_SQL} AS y, CAST('0x' || substr(md5('42:' || pass_id), 1, 15) AS BIGINT) AS h FROM passes) t) u""",
+          views=("passes",))
+def q_split_assignment(spark, sf):
+    """WIN6: the side of every row."""
+    return FO.stratified_split(labelled(spark, sf), "pass_id", "y", 2, seed=42).select("pass_id", "y", "split")
+
+
+@register("block_assignment", """SELECT pass_id, CAST(CASE WHEN r < l THEN 0 WHEN r < 2 * l THEN 1 WHEN r < 4 * l THEN 2 ELSE 3 END AS INTEGER)
+  AS block FROM (SELECT pass_id, row_number() OVER (ORDER BY h, pass_id) - 1 AS r, count(*) OVER () // 8 AS l FROM (SELECT pass_id,
+  CAST('0x' || substr(md5('42:' || pass_id), 1, 15) AS BIGINT) AS h FROM passes) t) u""", views=("passes",))
+def q_block_assignment(spark, sf):
+    """WIN7: the nested block of every row."""
+    return FO.nested_blocks(p(spark, sf), "pass_id", 8, seed=42).select("pass_id", "block")
+
+
 @register("stratified_split", """WITH c AS (SELECT CASE WHEN outcome IS NULL THEN 1 ELSE 0 END AS y, count(*) AS n
   FROM passes GROUP BY 1)
 SELECT y, 'test' AS split, CAST((n * 2 + 9) // 10 AS BIGINT) AS n_rows FROM c

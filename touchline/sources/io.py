@@ -24,6 +24,11 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("dribble_outcome", T.StringType()),
     T.StructField("shot_outcome", T.StringType()),
     T.StructField("shot_statsbomb_xg", T.DoubleType()),
+    T.StructField("pass_height", T.StringType()),
+    T.StructField("duration", T.DoubleType()),
+    T.StructField("pass_body_part", T.StringType()),
+    T.StructField("under_pressure", T.BooleanType()),
+    T.StructField("pass_outcome", T.StringType()),
 ])
 
 PASS_SCHEMA = T.StructType([
@@ -60,10 +65,20 @@ def read_events_json(spark: SparkSession, path: str, schema: T.StructType = EVEN
     return spark.read.schema(schema).json(path)
 
 
+def write_partitioned(df: DataFrame, path: str, partition_by: str | None) -> None:
+    """Parquet, in folders by ``partition_by`` if given.  Rebalancing splits the rows
+    of a large folder over several tasks and joins small ones, so neither the number
+    of folders nor a frequent value sets the number of writing tasks."""
+    if partition_by:
+        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+    else:
+        df.hint("rebalance").write.mode("overwrite").parquet(path)
+
+
 def write_passes(passes: DataFrame, path: str) -> None:
     """SNK1: pass table as parquet partitioned by match, so a hold-out filter
     prunes partitions instead of scanning the table."""
-    passes.repartition("match_id").write.mode("overwrite").partitionBy("match_id").parquet(path)
+    write_partitioned(passes, path, "match_id")
 
 
 def read_passes(spark: SparkSession, path: str) -> DataFrame:

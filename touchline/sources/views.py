@@ -9,9 +9,13 @@ CTEs in the DuckDB oracle, so both engines start from identical rows.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.session import checkpoint_dir
+from touchline.sources.io import write_partitioned
 from touchline.sources.tables import read_table
 
 # Hold-out match of the derived pass table.
@@ -65,6 +69,13 @@ E_OUTER = [
     "CASE WHEN type='Shot' THEN CASE event_id % 5 WHEN 0 THEN 'Goal' WHEN 1 THEN 'Saved' WHEN 2 THEN 'Off T' "
     "WHEN 3 THEN 'Blocked' END END AS shot_outcome",
     "CASE WHEN type='Shot' THEN least(value/5e2, 99e-2) END AS shot_xg",
+    "CASE WHEN type='Pass' THEN CASE event_id % 3 WHEN 0 THEN 'Ground Pass' WHEN 1 THEN 'Low Pass' ELSE 'High Pass' END "
+    "END AS pass_height",
+    "CASE WHEN event_id % 13 <> 0 THEN value/1e2 END AS duration",
+    "CASE WHEN type='Pass' THEN CASE event_id % 5 WHEN 0 THEN 'Right Foot' WHEN 1 THEN 'Left Foot' WHEN 2 THEN 'Head' END "
+    "END AS pass_body_part",
+    "CASE WHEN user_id % 5 = 0 THEN TRUE END AS under_pressure",
+    "CASE WHEN type='Pass' AND event_id % 4 = 0 THEN 'Incomplete' END AS pass_outcome",
 ]
 E_SQL = (f"SELECT {', '.join(E_OUTER)} FROM (SELECT {', '.join(E_INNER)} "
          f"FROM events) t")
@@ -157,24 +168,31 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _fingerprint(spark: SparkSession, df: DataFrame) -> str:
+    """Names, sizes and change times of the files behind ``df`` and the plan's text:
+    a source that grew or a changed definition gets a view of its own."""
+    files = sorted(df.inputFiles())
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    marks = []
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        marks.append(f"{f}|{status.getLen()}|{status.getModificationTime()}")
+    return hashlib.md5("\n".join([*marks, *df.columns]).encode()).hexdigest()[:16]
+
+
 def _materialized(spark: SparkSession, sf_dir: str, name: str, build, partition_by: str | None) -> DataFrame:
+    df = build()
     if spark.conf.get(MATERIALIZE_CONF, "true").lower() != "true":
-        return build()
-    from touchline.session import checkpoint_dir
-    import hashlib
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+        return df
+    key = (spark.sparkContext.applicationId, name, _fingerprint(spark, df))
     path = _MATERIALIZED.get(key)
     if path is None or not _fs_exists(spark, f"{path}/_SUCCESS"):
-        tag = hashlib.md5(f"{sf_dir}|{name}".encode()).hexdigest()[:12]
-        path = f"{checkpoint_dir(spark)}/views/{name}-{tag}"
+        path = f"{checkpoint_dir(spark)}/views/{name}-{key[2]}"
         if not _fs_exists(spark, f"{path}/_SUCCESS"):
-            df = build()
-            w = (df.repartition(partition_by) if partition_by else
-                 df.repartition(spark.sparkContext.defaultParallelism)).write.mode("overwrite")
-            (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+            write_partitioned(df, path, partition_by)
         _MATERIALIZED[key] = path
-    schema = build().schema
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +227,7 @@ def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pair("pass_end_x", "pass_end_y").alias("pass_end_location"),
         _pair("carry_end_x", "carry_end_y").alias("carry_end_location"),
         "dribble_outcome", "shot_outcome", F.col("shot_xg").alias("shot_statsbomb_xg"),
+        "pass_height", "duration", "pass_body_part", "under_pressure", "pass_outcome",
     )
 
 
