@@ -19,11 +19,23 @@ BROADCAST_ROWS = 1_000_000
 NULL_KEY = 1 << 62
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and go on from there."""
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Write to the shared checkpoint folder and go on from there.  A ``narrow``
+    table (a few numbers a row, straight from a shuffle) is written in an eighth as
+    many files as there are shuffle partitions, at least two for each core."""
+    if narrow:
+        spark = df.sparkSession
+        shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, shuffled // 8))
     return cut_lineage(df)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Cache a table that is used again soon.  What a lost executor held is computed
+    anew from the last cut, so this suits results that are cheap to repeat."""
+    return df.persist()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet under the shared checkpoint folder and reread: compressed,
     and later readers take only the columns they need."""

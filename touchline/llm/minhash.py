@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.components import components
-from touchline.llm.frames import broadcast_if_small, cut, drop_stand_in, key_or_hash, per_batch
+from touchline.llm.frames import broadcast_if_small, cut, drop_stand_in, kept, key_or_hash, per_batch
 from touchline.llm.words import WORD_BASE, Powers, mix64, runs, seeded
 
 WIDTH = 5
@@ -237,9 +237,9 @@ def _resolve(docs: DataFrame, key: str, text: str, percent: int, width: int) ->
     """(key, n, component) per row, keys with stand-ins for nulls."""
     name = key_or_hash(docs[key], docs[text])
     signed = cut(sign(docs, name, docs[text], width))
-    classes = cut(signed.where("n > 0").groupBy("fp1", "fp2", "n")
+    classes = kept(signed.where("n > 0").groupBy("fp1", "fp2", "n")
                   .agg(F.min("key").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    found = components(cut(_links(docs, name, docs[text], classes, percent, width)))
+    found = components(_links(docs, name, docs[text], classes, percent, width))
     nodes = classes.join(found, "id", "left").select("fp1", "fp2", "n", F.coalesce("component", "id").alias("component"))
     out = signed.select("key", "n", "fp1", "fp2").join(nodes, ["fp1", "fp2", "n"], "left")
     return out.select("key", "n", F.coalesce("component", "key").alias("component"))
@@ -251,10 +251,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     smallest key (of several rows with that key, the smallest by all columns).
     Texts without words all stay, but for repeated rows.  Only the dropped and the
     repeated keys meet the rows: broadcast if their counted number allows."""
-    found = cut(_resolve(docs, key, text, percent, width))
+    found = cut(_resolve(docs, key, text, percent, width), narrow=True)
     named = docs.withColumn("__key", key_or_hash(docs[key], docs[text]))
-    gone = cut(found.where("key <> component").select(F.col("key").alias("__key")).distinct())
-    again = cut(found.where("key = component").groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("c"))
+    gone = kept(found.where("key <> component").select(F.col("key").alias("__key")).distinct())
+    again = kept(found.where("key = component").groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("c"))
                 .where("c > 1").select("__key"))
     left = named.join(broadcast_if_small(gone), "__key", "left_anti")
     again = broadcast_if_small(again)
@@ -267,26 +267,26 @@ def _links(docs: DataFrame, name: Column, text: Column, classes: DataFrame, perc
     sketches = classes.select("id", "n", "sketch")
     rows = classes.select("id", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = cut(rows.join(sizes, "bucket"))
+    rows = cut(rows.join(sizes, "bucket"), narrow=True)
     weight = rows.groupBy("id").agg(F.sum("size").alias("weight"))
     heads = rows.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("id"))).alias("h"))
     heads = heads.select("bucket", (-F.col("h.col2")).alias("head"))
     pairs = rows.join(heads, "bucket").where("id <> head").select(*_pairs_of(F.col("id"), F.col("head"))).distinct()
-    pairs = cut(close_sketches(pairs, sketches, percent, SKETCH_FLOOR))
-    wanted = cut(rows.select("id").distinct())
+    pairs = kept(close_sketches(pairs, sketches, percent, SKETCH_FLOOR))
+    wanted = kept(rows.select("id").distinct())
     sets = cut(full_sets(docs, name, text, wanted, width))
-    links = cut(confirmed(pairs, sets, percent))
+    links = cut(confirmed(pairs, sets, percent), narrow=True)
 
     found = components(links)
     rows = rows.join(found, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
     live = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rows = cut(rows.join(live.select("bucket"), "bucket"))
+    rows = kept(rows.join(live.select("bucket"), "bucket"))
     small = rows.where(F.col("size") <= SMALL_BUCKET)
     left = small.select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
     right = small.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"))
     cross = left.join(right, "bucket").where("x < y and cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
     cross = close_sketches(cross.distinct().join(pairs, ["a", "b"], "left_anti"), sketches, percent, SKETCH_FLOOR)
-    links = links.union(confirmed(cut(cross), sets, percent))
+    links = links.union(confirmed(kept(cross), sets, percent))
 
     large = rows.where(F.col("size") > SMALL_BUCKET)
     joint = large.groupBy("bucket").agg(F.min("id").alias("head"))

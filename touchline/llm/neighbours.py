@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.components import components
-from touchline.llm.frames import broadcast_if_small, cut, drop_stand_in, key_or_hash, per_batch
+from touchline.llm.frames import broadcast_if_small, cut, drop_stand_in, kept, key_or_hash, per_batch
 from touchline.session import ship_package
 
 LINK = 0.95
@@ -95,7 +95,7 @@ def leaves(nodes: DataFrame, n: int, trees: int, leaf: int, seed: int) -> DataFr
     coded = per_batch(nodes.select("node", "vector"), "node long, vector array<double>, codes array<long>", make, rows=2048)
     coded = cut(coded)
     sizes = coded.select(F.explode("codes").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("size"))
-    large = cut(sizes.where(F.col("size") > PART).select("leaf", F.ceil(F.col("size") / PART).cast("int").alias("parts")))
+    large = kept(sizes.where(F.col("size") > PART).select("leaf", F.ceil(F.col("size") / PART).cast("int").alias("parts")))
     rows = coded.select("node", "vector", F.explode("codes").alias("leaf")).join(broadcast_if_small(large), "leaf", "left")
     part = F.pmod(F.xxhash64("node", "leaf", F.lit(seed)), F.coalesce("parts", F.lit(1)))
     return rows.select("leaf", part.alias("part"), "node", "vector")
@@ -142,7 +142,7 @@ def refine(graph: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 ss.append(s[keep])
         yield {"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs)), "sim": pa.array(np.concatenate(ss))}
 
-    return cut(nearest(graph.select("u", "v", "sim").union(per_batch(lists, "u long, v long, sim double", make)), size))
+    return kept(nearest(graph.select("u", "v", "sim").union(per_batch(lists, "u long, v long, sim double", make)), size))
 
 
 def count_links(members: DataFrame, link: float) -> DataFrame:
@@ -153,7 +153,7 @@ def count_links(members: DataFrame, link: float) -> DataFrame:
     parts meet in a group of their own.  ``members``: (component, node, m, vector).
     """
     ship_package(members.sparkSession)
-    sizes = cut(members.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"))
+    sizes = kept(members.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"))
     small_rows = sizes.where(F.col("size") <= PART).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     groups = max(1, -(-small_rows // PART))
     rows = members.join(broadcast_if_small(sizes), "component")
@@ -204,11 +204,11 @@ def audit(nodes: DataFrame, found: DataFrame, link: float, size: int, seed: int)
                 keep = ids[a] != other
                 yield {"a": pa.array(ids[a][keep]), "b": pa.array(other[keep])}
 
-    links = cut(per_batch(nodes.select("node", "vector"), "a long, b long", make, rows=2048))
+    links = kept(per_batch(nodes.select("node", "vector"), "a long, b long", make, rows=2048))
     names = found.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     other = found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     marked = links.join(names, "a", "left").join(other, "b", "left")
-    missed = cut(marked.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
+    missed = kept(marked.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
     return missed, missed.count(), links.count()
 
 
@@ -243,9 +243,10 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
         dealt = leaves(nodes, n, trees, LEAF, seed + turn)
         pairs = cut(dealt.groupBy("leaf", "part").applyInArrow(lambda t: _leaf_lists(t, link, size), "u long, v long, sim double"))
         lists = pairs.where("sim <= 1.5")
-        graph = cut(nearest(lists if graph is None else lists.union(graph), size))
+        graph = kept(nearest(lists if graph is None else lists.union(graph), size))
         for _ in range(ROUNDS):
             graph = refine(graph, nodes, size)
+        graph = cut(graph, narrow=True)
         new = graph.where(F.col("sim") >= link).select(F.col("u").alias("a"), F.col("v").alias("b")).union(
             pairs.where("sim > 1.5").select("u", "v"))
         links = new if links is None else links.union(new)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.frames import BROADCAST_ROWS, broadcast_if_small, cut, per_batch, stored
+from touchline.llm.frames import BROADCAST_ROWS, broadcast_if_small, cut, kept, per_batch, stored
 from touchline.llm.words import WORD_BASE, Powers, Texts, mix64, runs, window_hashes
 
 #: A repeat has at least SPAN words; anchors are SEED_WORDS-grams, so that winnowing
@@ -83,7 +83,7 @@ def _anchors(rows: DataFrame, span: int) -> DataFrame:
 def _with_marks(rows: DataFrame, marks: DataFrame, keep_rest: bool) -> DataFrame:
     """``rows`` (row, text) with each row's list of marks.  Only rows that have
     some are shuffled when their names' counted number allows a broadcast."""
-    marks = cut(marks)
+    marks = cut(marks, narrow=True)
     names = marks.select("row")
     if names.count() > BROADCAST_ROWS:
         return rows.join(marks, "row", "left" if keep_rest else "inner")
@@ -124,15 +124,15 @@ def _covered(rows: DataFrame, span: int) -> DataFrame:
     """(row, lo, n): runs of windows whose words start elsewhere too."""
     counts = _anchors(rows, span).groupBy("seed").agg(
         F.count("*").alias("c"), F.min("content").alias("a"), F.max("content").alias("b"))
-    repeated = cut(counts.where("c > 1").select("seed", (F.col("a") < F.col("b")).alias("mixed")))
+    repeated = cut(counts.where("c > 1").select("seed", (F.col("a") < F.col("b")).alias("mixed")), narrow=True)
     found = _anchors(rows, span).join(repeated, "seed")
     found = stored(found.select("row", "lo", "n", "mixed", F.when(F.col("mixed"), F.col("seed")).alias("seed"),
                                 F.when(F.col("mixed"), F.col("content")).alias("content")), "anchors")
     mixed = found.where("mixed")
-    classes = cut(mixed.groupBy("seed", "content").agg(F.count("*").alias("c"), F.min(F.struct("row", "lo", "n")).alias("one")))
+    classes = kept(mixed.groupBy("seed", "content").agg(F.count("*").alias("c"), F.min(F.struct("row", "lo", "n")).alias("one")))
     ones = classes.select("one.row", "one.lo", "one.n", "seed")
     windows = stored(_extend(rows, ones, span), "windows")
-    again = cut(windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window"))
+    again = kept(windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window"))
     partly = windows.join(broadcast_if_small(again), "window").select("row", F.col("at").alias("lo"), F.lit(1).alias("n"))
     several = broadcast_if_small(classes.where("c > 1").select("seed", "content"))
     whole = mixed.join(several, ["seed", "content"], "left_semi")
