@@ -27,7 +27,7 @@ HEADLINE = [
     "groupby_then_rank", "combine", "transductive_features", "describe_numeric", "mutual_info_binned",
     "stratified_folds", "roc_auc", "roc_curve", "classification_metrics", "calibration_curve",
     "metric_by_experiment", "generalisation_error", "avg_position_lineup", "possession_points",
-    "kde_grid", "gmm_pdf_grid", "stage1_scores", "candidate_features", "inference_frame",
+    "kde_grid", "gmm_pdf_grid", "stage1_scores", "candidate_features", "inference_frame", "fold_assignment", "gbt_fit_predict",
 ]
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scalar as S
 from touchline.operators.ordinal import prefix_sum, row_number0
+from touchline.session import cut_lineage
 
 # Operator vocabulary of the formula language.
 ALL_OPERATORS = ["freq"]
@@ -205,8 +206,8 @@ def grouped_median(df: DataFrame, key: str, val: str, out: str) -> DataFrame:
 
     Counts per (key, value) → exclusive prefix counts (two-level, see ordinal) →
     keep the one or two (key, value) rows that cover the middle positions."""
-    cnt = (df.where(F.col(key).isNotNull() & F.col(val).isNotNull())
-           .groupBy(key, val).agg(F.count(F.lit(1)).alias("__c")))
+    cnt = cut_lineage(df.where(F.col(key).isNotNull() & F.col(val).isNotNull())
+                      .groupBy(key, val).agg(F.count(F.lit(1)).alias("__c")))
     pre = prefix_sum(cnt, [key], [val], {"__less": F.col("__c")})
     tot = cnt.groupBy(key).agg(F.sum("__c").alias("__n"))
     pre = pre.join(tot, key)
@@ -222,8 +223,8 @@ def grouped_median(df: DataFrame, key: str, val: str, out: str) -> DataFrame:
 
 def grouped_rank(df: DataFrame, key: str, val: str, out: str) -> DataFrame:
     """Average-tie percentile rank of each (key, value): (less + (equal+1)/2) / n."""
-    cnt = (df.where(F.col(key).isNotNull() & F.col(val).isNotNull())
-           .groupBy(key, val).agg(F.count(F.lit(1)).alias("__c")))
+    cnt = cut_lineage(df.where(F.col(key).isNotNull() & F.col(val).isNotNull())
+                      .groupBy(key, val).agg(F.count(F.lit(1)).alias("__c")))
     pre = prefix_sum(cnt, [key], [val], {"__less": F.col("__c")})
     tot = cnt.groupBy(key).agg(F.sum("__c").alias("__n"))
     return pre.join(tot, key).select(

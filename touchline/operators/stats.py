@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.ordinal import prefix_sum
+from touchline.session import cut_lineage
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -39,8 +40,8 @@ def grouped_quantiles(df: DataFrame, key: str, val: str, qs: list[float], linear
     no join of rows with targets.  ``weight`` names a row-count column when the
     input is already aggregated."""
     w = F.sum(weight) if weight else F.count(F.lit(1))
-    cnt = (df.where(F.col(key).isNotNull() & F.col(val).isNotNull())
-           .groupBy(key, val).agg(w.alias("__c")))
+    cnt = cut_lineage(df.where(F.col(key).isNotNull() & F.col(val).isNotNull())
+                      .groupBy(key, val).agg(w.alias("__c")))     # read for cut points, totals and ranks
     pre = prefix_sum(cnt, [key], [val], {"__less": F.col("__c")})
     tot = cnt.groupBy(key).agg(F.sum("__c").alias("__n"))
     pre = pre.join(tot, key)                          # one row per key on the right
@@ -165,7 +166,7 @@ def mutual_info_binned(df: DataFrame, features: list[str], label: str, n_bins: i
     are binned."""
     long = melt(df.select(*features, label).where(F.col(label).isNotNull()), features, ids=[label]) \
         .where(F.col("value").isNotNull())
-    cvy = long.groupBy("column", "value", label).agg(F.count(F.lit(1)).alias("c"))
+    cvy = cut_lineage(long.groupBy("column", "value", label).agg(F.count(F.lit(1)).alias("c")))  # for edges and bins
     edges = grouped_quantiles(cvy, "column", "value", [k / n_bins for k in range(1, n_bins)], linear=False,
                               weight="c")
     e = edges.groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("__edges"))

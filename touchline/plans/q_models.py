@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline.operators import metrics as MT
 from touchline.operators import modeling as ML
 from touchline.operators.passes import pass_geometry, preprocess_passes
+from touchline.plans.q_autofe import S1, S1_SQL, pre, with_split
 from touchline.plans.q_stats import FOLD_ROWS_SQL
 from touchline.plans.registry import register
 from touchline.sources.io import scratch
@@ -188,12 +189,12 @@ def q_bundle_roundtrip(spark, sf):
     return ML.batch_score(model, fr, ["pass_id"], "gbt")
 
 
-@register("load_scored_formulas")
+@register("load_scored_formulas", S1_SQL.replace("END AS feature, score FROM s", "END AS formula, score FROM s"),
+          views=("passes",), dbl=("score",))
 def q_load_scored_formulas(spark, sf):
     """FE17: stage-1 scores written as text lines, read back and parsed (bad lines skipped)."""
     from touchline.operators.autofe import stage1_scores
     from touchline.operators.inference import parse_scored_formulas
-    from touchline.plans.q_autofe import S1, pre, with_split
     s = stage1_scores(with_split(pre(spark, sf)), S1, "outcome", "split")
     lines = s.select(F.concat_ws(" ", "feature", F.col("score").cast("string")).alias("value"))
     lines = lines.unionByName(spark.createDataFrame([("not-a-formula 1.0",), ("",)], "value string"))

@@ -128,6 +128,16 @@ def q_feature_aliases(spark, sf):
     return PS.feature_aliases(df, fs).select("pass_id", *[f"`{f}`" for f in fs], "autoFE_f_0", "autoFE_f_1")
 
 
+@register("renamed_columns", "SELECT start_x + end_x AS \"autoFE-0\", abs(start_y - end_y) AS \"autoFE-1\" FROM passes",
+          views=("passes",))
+def q_renamed_columns(spark, sf):
+    """FLT14: all columns of a formula frame take numbered names."""
+    from touchline.operators.formula import rowwise_features
+    fs = ["(start_x+end_x)", "abs((start_y-end_y))"]
+    df = rowwise_features(V.passes(spark, sf).select("start_x", "end_x", "start_y", "end_y"), fs)
+    return PS.rename_all(df.select(*[f"`{f}`" for f in fs]))
+
+
 @register("validate_requests", views=("passes",), oracle="""
 SELECT pass_id, reject_reason, reject_reason IS NULL AS is_valid FROM (
 SELECT pass_id, CASE WHEN start_x IS NULL THEN 'missing start_x' WHEN start_y IS NULL THEN 'missing start_y'
