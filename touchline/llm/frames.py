@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,9 @@ from touchline.session import cut_lineage, scratch_path, ship_package
 #: rows are counted first, and a larger side takes a shuffle join.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1024
+
 #: Stand-in keys for null ids lie above every real id.
 NULL_KEY = 1 << 62
 
@@ -61,6 +65,36 @@ def drop_stand_in(key: Column) -> Column:
     return F.when(key < F.lit(NULL_KEY), key)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: an idle worker keeps what it once used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def small_batches(spark) -> None:
+    """Texts are long rows: where the session has Spark's default of 10,000 rows in
+    an Arrow batch, take BATCH_ROWS, in the executors' JVM and in the workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def in_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with the package on the executors, small batches, and memory
+    handed back at the end of each task."""
+    ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
+
+    def task(batches):
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(task, schema)
+
+
 def per_batch(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], Iterator[dict]],
               rows: int = 512) -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows: ``make`` gets a record
@@ -73,5 +107,4 @@ def per_batch(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], Itera
                 for columns in make(batch.slice(at, rows)):
                     yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)

@@ -9,12 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.session import ship_package
+from touchline.llm.frames import in_batches
+from touchline.llm.words import Texts, runs
 
 LENGTH = 2048
 END_ID = 1
@@ -25,8 +25,8 @@ BLOCK_TOKENS = 1 << 20
 #: Sequences looked at, cheapest first, before a piece is cut.
 LOOK = 8
 #: Words whose ids a task remembers before it starts afresh.
-REMEMBERED = 500_000
-SPLIT_BYTES = 4 << 20
+REMEMBERED = 2_000_000
+SPLIT_BYTES = 2 << 20
 #: Signs, each a token of its own, that may stand between words.
 SIGNS = "\x01\x02\x03\x04\x05\x06\x07"
 _LOADED: dict = {}
@@ -43,7 +43,8 @@ def word_ids(path: str) -> "WordIds":
 class WordIds:
     """Token ids of words.  The tokenizer drops white space and never joins across
     it, so a text's ids are its words' ids in a row; each new word is encoded once,
-    many at a time with a sign between them that occurs in none."""
+    many at a time with a sign between them that occurs in none.  Words are kept as
+    64-bit hashes, sorted, with the place of their ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,54 +53,56 @@ class WordIds:
         self.clear()
 
     def clear(self):
-        self.index: dict[str, int] = {}
+        self.known, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.at, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
     def code(self, texts: list[str]) -> np.ndarray:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return np.array([i for f in found for i in f.ids], dtype=np.uint32)
+        return np.concatenate([np.asarray(f.ids, dtype=np.uint32) for f in found])
 
-    def learn(self, words: list[str]) -> None:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word)."""
         joined = "".join(words)
         sign = next((c for c in SIGNS if c not in joined), None)
         if sign is None:  # every sign occurs: one word at a time
             parts = [self.code([w]) for w in words]
-            ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
-        else:
-            mark = self.code([sign])
-            ids = self.code([f" {sign} ".join([*words[i:i + 256], ""]) for i in range(0, len(words), 256)])
-            at = np.flatnonzero(ids == mark[0])
-            sizes = np.diff(np.append(-1, at)) - 1
-            ids = np.delete(ids, at)
-        for word in words:
-            self.index[word] = len(self.index)
-        self.ids = np.concatenate([self.ids, ids])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes, dtype=np.int64)])
-
-    def places(self, words: list[str]) -> np.ndarray:
-        """Index of each word in ``at``."""
-        new = [w for w in words if w not in self.index]
-        if len(self.index) + len(new) > REMEMBERED and self.index:
+            return np.concatenate(parts), np.array([len(p) for p in parts])
+        mark = self.code([sign])[0]
+        ids = self.code([f" {sign} ".join([*words[i:i + 256], ""]) for i in range(0, len(words), 256)])
+        ends = np.flatnonzero(ids == mark)
+        return np.delete(ids, ends), np.diff(np.append(-1, ends)) - 1
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        for i in range(0, len(words), 16384):
+            ids, sizes = self.encode_words(words[i:i + 16384])
+            self.ids = np.concatenate([self.ids, ids])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes, dtype=np.int64)])
+        place = np.arange(len(self.at) - 1 - len(words), len(self.at) - 1)
+        known, place = np.concatenate([self.known, hashes]), np.concatenate([self.place, place])
+        order = np.argsort(known, kind="stable")
+        self.known, self.place = known[order], place[order]
+
+    def places(self, texts: Texts) -> np.ndarray:
+        """Index in ``at`` of every word of the run."""
+        hashes, first, inverse = np.unique(texts.word_hashes(), return_index=True, return_inverse=True)
+        if len(self.known) + len(hashes) > REMEMBERED:
             self.clear()
-            new = words
-        for i in range(0, len(new), 16384):
-            self.learn(new[i:i + 16384])
-        return np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        spot = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), dtype=bool)
+        inside = spot < len(self.known)
+        new[inside] = self.known[spot[inside]] != hashes[inside]
+        if new.any():
+            raw, at = texts.data.tobytes(), first[new]
+            self.learn(hashes[new], [raw[a:b].decode() for a, b in zip(texts.starts[at].tolist(), texts.ends[at].tolist())])
+            spot = np.searchsorted(self.known, hashes)
+        return self.place[spot][inverse] if len(hashes) else np.zeros(0, dtype=np.int64)
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of the texts), each text closed by END_ID."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # the tokenizer lower-cases
-        words = pc.list_flatten(split)
-        if isinstance(words, pa.ChunkedArray):
-            words = words.combine_chunks()
-        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = words.dictionary_encode()
-        places = self.places(coded.dictionary.to_pylist())
-        word = places[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, dtype=np.int64)
-        ends = np.cumsum(counts)
-        starts, lengths = self.at[word], self.at[word + 1] - self.at[word]
-        starts = np.insert(starts, ends, -1)
-        lengths = np.insert(lengths, ends, 1)
+        word = self.places(texts)
+        ends = texts.word_at[1:]
+        starts = np.insert(self.at[word], ends, -1)
+        lengths = np.insert(self.at[word + 1] - self.at[word], ends, 1)
         before = np.append(0, np.cumsum(lengths))
         pick = np.arange(before[-1]) + np.repeat(starts - before[:-1], lengths)
         close = before[1:][starts < 0] - 1
@@ -172,7 +175,7 @@ class Packer:
 
     def row(self, doc_id, start, ids, total, sequence, offset):
         return (doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, sequence, offset,
-                *([ids.astype(np.int64)] if self.with_ids else []))
+                *([ids] if self.with_ids else []))
 
     def flush(self, last: bool) -> Iterator[tuple]:
         full, rest = divmod(self.tokens, self.length)
@@ -209,14 +212,16 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, key: str = "do
         import public_tokenizers
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     kind = dict(docs.dtypes)[key]
-    schema = PIECE.format(key=kind) + (", ids array<long>" if with_ids else "")
+    schema = PIECE.format(key=kind) + (", ids array<int>" if with_ids else "")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def out(rows: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
         columns = list(zip(*rows))
         arrays = [pa.array(columns[0], type=doc_type), *(pa.array(c, type=pa.int64()) for c in columns[1:7])]
         if with_ids:
-            arrays.append(pa.array(columns[7], type=pa.list_(pa.int64())))
+            ends = np.cumsum(columns[2], dtype=np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)),
+                                                   pa.array(np.concatenate(columns[7]).astype(np.int32))))
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def run(batches):
@@ -224,24 +229,18 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, key: str = "do
         packer = Packer(TaskContext.get().partitionId() << 40, length, with_ids)
         rows: list[tuple] = []
         for batch in batches:
-            texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
             doc_type = batch.column(0).type
-            sizes = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
-            row = 0
-            while row < len(texts):
-                stop = max(row + 1, int(np.searchsorted(sizes, sizes[row] + SPLIT_BYTES, side="right")) - 1)
-                ids, at = words.encode(texts.slice(row, stop - row))
-                for i, doc_id in enumerate(batch.column(0).slice(row, stop - row).to_pylist()):
+            for texts in runs(batch.column(1), lower=True, limit=SPLIT_BYTES):  # the tokenizer lower-cases
+                ids, at = words.encode(texts)
+                for i, doc_id in enumerate(batch.column(0).slice(texts.row0, texts.n).to_pylist()):
                     rows.extend(packer.add(doc_id, ids[at[i]:at[i + 1]]))
                     if packer.tokens >= block_tokens:
                         rows.extend(packer.flush(last=False))
                 if rows:
                     yield out(rows, doc_type)
                     rows = []
-                row = stop
         rows.extend(packer.flush(last=True))
         if rows:
             yield out(rows, doc_type)
 
-    ship_package(docs.sparkSession)
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return in_batches(docs.select(F.col(key), F.col(text)), run, schema)

@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.frames import broadcast_if_small, cut, per_batch
+from touchline.llm.frames import broadcast_if_small, cut, in_batches, per_batch
 from touchline.llm.words import BASE, BYTE_VALUES, IS_SPACE, LOWER, Texts, mix64, runs, span_hashes, window_hashes
-from touchline.session import ship_package
 
 #: Hash buckets of the two multinomials (unigrams and bigrams share them), and
 #: the count added to each.  The model is two numbers a bucket at any input size.
@@ -134,8 +133,7 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, raw[some], target[some])], names=["bucket", "raw", "target"])
 
-    ship_package(docs.sparkSession)
-    counts = rows.mapInArrow(run, "bucket long, raw long, target long")
+    counts = in_batches(rows, run, "bucket long, raw long, target long")
     return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 

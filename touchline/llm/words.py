@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 #: ASCII white space: \x20 and \x09-\x0D (fixed values).
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _LOW = 12
 _U = np.uint64
 
