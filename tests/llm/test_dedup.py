@@ -182,3 +182,22 @@ def test_vectors_audit_counts_every_link(spark):
     m = np.array(data)
     m /= np.linalg.norm(m, axis=1)[:, None]
     assert near_vectors(frame).agg(F.sum("n_links")).first()[0] == int((m @ m.T >= 0.95).sum() - len(data))
+
+
+@pytest.fixture
+def no_broadcast(monkeypatch):
+    """As if every counted side were too large to broadcast."""
+    from touchline.llm import minhash, neighbours, substrings
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", -1)
+    for module in (minhash, neighbours, substrings):
+        monkeypatch.setattr(module, "broadcast_if_small", lambda df, *a, **k: df)
+
+
+def test_results_do_not_depend_on_broadcasts(spark, no_broadcast):
+    texts = near_texts(7)
+    _, component = expected_near(texts)
+    frame = docs_frame(spark, texts)
+    assert {r.doc_id: r.component_id for r in near_duplicates(frame).collect()} == component
+    assert {r.doc_id for r in drop_near_duplicates(frame).collect()} == set(component.values())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(frame).collect()}
+    assert got == dict(enumerate(expected_cut(texts)))

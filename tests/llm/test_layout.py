@@ -19,7 +19,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 def pack_texts():
     rng = random.Random(1)
-    texts = [None, "", "  ", "Hello, World! It's", "\x01 \x02 sign  x", "Ünïcödé straße", "a" * 5000]
+    texts = [None, "", "  ", "Hello, World! It's", "we'll.'s a.b,c=\u0338 x.\u0301 3.14 _a_b_ \u201cq\u201d. don't! #tag's", "1-2 a'.", "\x01 \x02 sign  x", "Ünïcödé straße", "a" * 5000]
     return texts + [" ".join(prose(rng, rng.randrange(1, 900))) for _ in range(40)] + [" ".join(prose(rng, 9000))] + ["same text"] * 3
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.frames import in_batches
-from touchline.llm.words import Texts, runs
+from touchline.llm.words import BASE, BYTE_VALUES, Texts, runs, span_hashes
 
 LENGTH = 2048
 END_ID = 1
@@ -26,9 +26,11 @@ BLOCK_TOKENS = 1 << 20
 LOOK = 8
 #: Words whose ids a task remembers before it starts afresh.
 REMEMBERED = 2_000_000
-SPLIT_BYTES = 2 << 20
+SPLIT_BYTES = 1 << 20
 #: Signs, each a token of its own, that may stand between words.
 SIGNS = "\x01\x02\x03\x04\x05\x06\x07"
+IS_ALNUM = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)])
+IS_SIGN = np.isin(np.arange(256), [x for x in range(33, 127) if x != 39]) & ~IS_ALNUM
 _LOADED: dict = {}
 
 
@@ -40,11 +42,22 @@ def word_ids(path: str) -> "WordIds":
     return _LOADED[path]
 
 
+def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of a run, cut where an ASCII sign other than an
+    apostrophe (contractions are tokens) follows an ASCII letter or digit."""
+    cut = np.zeros(len(texts.data), dtype=bool)
+    cut[1:] = IS_SIGN[texts.data[1:]] & IS_ALNUM[texts.data[:-1]]
+    cut[texts.text_at[:-1][texts.text_at[:-1] < len(cut)]] = False
+    at = np.flatnonzero(cut)
+    return (np.sort(np.concatenate([texts.starts, at])), np.sort(np.concatenate([texts.ends, at])))
+
+
 class WordIds:
-    """Token ids of words.  The tokenizer drops white space and never joins across
-    it, so a text's ids are its words' ids in a row; each new word is encoded once,
-    many at a time with a sign between them that occurs in none.  Words are kept as
-    64-bit hashes, sorted, with the place of their ids."""
+    """Token ids of words.  The tokenizer drops white space and joins neither across
+    it nor from a letter or digit to the sign behind it, so a text's ids are those
+    of such pieces in a row; each new piece is encoded once, many at a time with a
+    sign between them that occurs in none.  Pieces are kept as 64-bit hashes,
+    sorted, with the place of their ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -73,18 +86,21 @@ class WordIds:
         return np.delete(ids, ends), np.diff(np.append(-1, ends)) - 1
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """``hashes`` are sorted and new."""
         for i in range(0, len(words), 16384):
             ids, sizes = self.encode_words(words[i:i + 16384])
             self.ids = np.concatenate([self.ids, ids])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes, dtype=np.int64)])
         place = np.arange(len(self.at) - 1 - len(words), len(self.at) - 1)
-        known, place = np.concatenate([self.known, hashes]), np.concatenate([self.place, place])
-        order = np.argsort(known, kind="stable")
-        self.known, self.place = known[order], place[order]
-
-    def places(self, texts: Texts) -> np.ndarray:
-        """Index in ``at`` of every word of the run."""
-        hashes, first, inverse = np.unique(texts.word_hashes(), return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.known, hashes)
+        self.known, self.place = np.insert(self.known, spot, hashes), np.insert(self.place, spot, place)
+
+    def places(self, texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Index in ``at`` of every piece of the run."""
+        values = BYTE_VALUES[texts.data]
+        values[texts.space] = 0
+        hashes, first, inverse = np.unique(span_hashes(values, starts, ends - starts, BASE),
+                                           return_index=True, return_inverse=True)
         if len(self.known) + len(hashes) > REMEMBERED:
             self.clear()
         spot = np.searchsorted(self.known, hashes)
@@ -93,14 +109,15 @@ class WordIds:
         new[inside] = self.known[spot[inside]] != hashes[inside]
         if new.any():
             raw, at = texts.data.tobytes(), first[new]
-            self.learn(hashes[new], [raw[a:b].decode() for a, b in zip(texts.starts[at].tolist(), texts.ends[at].tolist())])
+            self.learn(hashes[new], [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
             spot = np.searchsorted(self.known, hashes)
         return self.place[spot][inverse] if len(hashes) else np.zeros(0, dtype=np.int64)
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of the texts), each text closed by END_ID."""
-        word = self.places(texts)
-        ends = texts.word_at[1:]
+        opens, closes = pieces(texts)
+        word = self.places(texts, opens, closes)
+        ends = np.searchsorted(opens, texts.text_at[1:])
         starts = np.insert(self.at[word], ends, -1)
         lengths = np.insert(self.at[word + 1] - self.at[word], ends, 1)
         before = np.append(0, np.cumsum(lengths))
