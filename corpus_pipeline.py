@@ -23,6 +23,8 @@ from touchline.session import scratch_path
 from touchline.sources.tables import read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Copies share 80 % of their runs of five words (``op6_minhash`` links from 85 % on).
+COPY_PERCENT = 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return drop_near_duplicates(docs).select(*COLUMNS)
+    return drop_near_duplicates(docs, percent=COPY_PERCENT).select(*COLUMNS)
 
 
 def hide_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

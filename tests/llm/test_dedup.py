@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import Counter
 from itertools import combinations
@@ -7,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.helpers import LOWER, docs_frame, prose, union_find, words
 from touchline.llm.components import components
-from touchline.llm.minhash import BLOCK, drop_near_duplicates, near_duplicates
+from touchline.llm.minhash import BLOCK, banding, drop_near_duplicates, near_duplicates, sketch_floor
 from touchline.llm.neighbours import near_vectors
 from touchline.llm.substrings import remove_repeats, rightmost_minimum
 
@@ -201,3 +203,40 @@ def test_results_do_not_depend_on_broadcasts(spark, no_broadcast):
     assert {r.doc_id for r in drop_near_duplicates(frame).collect()} == set(component.values())
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(frame).collect()}
     assert got == dict(enumerate(expected_cut(texts)))
+
+
+@pytest.mark.parametrize("percent, bands, rows, floor", [(85, 32, 6, 135), (80, 38, 5, 121)])
+def test_bands_and_sketch_floor_follow_the_threshold(percent, bands, rows, floor):
+    assert banding(percent) == (bands, rows) and sketch_floor(percent, bands * rows) == floor
+
+
+@pytest.mark.parametrize("percent", [1, 10, 50, 70, 80, 85, 90, 95, 99, 100])
+def test_true_pairs_are_rarely_missed_at_any_threshold(percent):
+    same = min(percent, 99) / 100
+    bands, rows = banding(percent)
+    n = bands * rows
+    floor = sketch_floor(percent, n)
+    assert (1 - same ** rows) ** bands <= 3.0001e-7
+    assert sum(math.comb(n, k) * same ** k * (1 - same) ** (n - k) for k in range(floor)) <= 1e-7
+
+
+def test_pipeline_drops_copies_from_080_on(spark):
+    """Planted pairs between 0.80 and 0.85, below 0.80 and above 0.85."""
+    rng = random.Random(12)
+    texts = []
+    for changes in [4] * 40 + [3, 5, 6] * 20:
+        base = prose(rng, 204, 10 ** 6)
+        copy = list(base)
+        for at in range(changes):
+            copy[20 + 40 * at if changes < 5 else 20 + 30 * at] = f"z{rng.randrange(10 ** 6)}"
+        texts += [" ".join(base), " ".join(copy)]
+    sets = [shingles(t) for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    between = [2 * i + 1 for i, j in enumerate(alike) if 0.8 <= j < 0.85]
+    assert len(between) >= 40 and min(alike) < 0.8 and max(alike) >= 0.85
+    links = [(a, b) for a, b in combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    stays = set(union_find(range(len(sets)), links).values())
+    frame = docs_frame(spark, texts)
+    got = {r.doc_id for r in corpus_pipeline.drop_copies(spark, frame, "").collect()}
+    assert got == stays and not got & set(between)
+    assert set(between) <= {r.doc_id for r in drop_near_duplicates(frame).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,11 @@ from touchline.llm.words import WORD_BASE, Powers, mix64, runs, seeded
 WIDTH = 5
 #: Links have 100 * |A and B| >= LINK_PERCENT * |A or B|.
 LINK_PERCENT = 85
-#: 32 bands of 6 coordinates: a pair at the threshold shares no band with
-#: probability (1 - 0.85**6)**32 < 3e-7.
-BANDS, ROWS = 32, 6
-#: Of the 192 coordinates a pair at the threshold agrees on 163 on average, with
-#: deviation under 5; fewer than SKETCH_FLOOR agreeing is beyond 5.6 deviations.
-SKETCH_FLOOR = 135
+#: Coordinates of a signature, unless single ones make too few bands.
+COORDINATES = 192
+#: Largest probabilities that a pair at the threshold shares no band, and that
+#: fewer coordinates than the sketch floor agree.
+BAND_MISS, SKETCH_MISS = 3e-7, 1e-7
 #: The universe of the two permutations.
 UNIVERSE = 1 << 20
 #: Buckets up to this many classes compare pairs; larger ones go block by block.
@@ -30,6 +30,28 @@ BLOCK = 256
 _MEMO: dict = {}
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands that, as many as BAND_MISS asks for, fit in
+    COORDINATES.  85: 32 bands of 6; 80: 38 of 5."""
+    same = min(percent, 99) / 100
+
+    def needed(rows: int) -> int:
+        return math.ceil(math.log(BAND_MISS) / math.log1p(-same ** rows))
+    rows = max((r for r in range(1, COORDINATES + 1) if same ** r > 1e-9 and r * needed(r) <= COORDINATES), default=1)
+    return needed(rows), rows
+
+
+def sketch_floor(percent: int, coordinates: int) -> int:
+    """The largest floor that a pair at the threshold stays below with probability
+    SKETCH_MISS at most (binomial tail).  85 of 192: 135; 80 of 190: 121."""
+    same, below = min(percent, 99) / 100, 0.0
+    for floor in range(coordinates):
+        below += math.comb(coordinates, floor) * same ** floor * (1 - same) ** (coordinates - floor)
+        if below > SKETCH_MISS:
+            return floor
+    return coordinates
+
+
 def circulant(width: int, universe: int = UNIVERSE) -> tuple[np.ndarray, np.ndarray]:
     """(sigma, windows): the first permutation, and for every position p the values
     of the second at p, p+1, ..., p+width-1 (circularly): row p holds what element
@@ -69,7 +91,7 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
 SIGNED = "key long, n long, fp1 long, fp2 long, bands array<long>, sketch binary"
 
 
-def sign(docs: DataFrame, key: Column, text: Column, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sign(docs: DataFrame, key: Column, text: Column, bands: int, rows: int, width: int = WIDTH) -> DataFrame:
     """Per document: set size, two fingerprints of the whole set, the hash of each
     band of its signature, and the low byte of each coordinate."""
     salt = seeded(303, bands)
@@ -236,7 +258,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 def _resolve(docs: DataFrame, key: str, text: str, percent: int, width: int) -> DataFrame:
     """(key, n, component) per row, keys with stand-ins for nulls."""
     name = key_or_hash(docs[key], docs[text])
-    signed = cut(sign(docs, name, docs[text], width))
+    signed = cut(sign(docs, name, docs[text], *banding(percent), width))
     classes = kept(signed.where("n > 0").groupBy("fp1", "fp2", "n")
                   .agg(F.min("key").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     found = components(_links(docs, name, docs[text], classes, percent, width))
@@ -265,6 +287,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
 def _links(docs: DataFrame, name: Column, text: Column, classes: DataFrame, percent: int, width: int) -> DataFrame:
     sketches = classes.select("id", "n", "sketch")
+    floor = sketch_floor(percent, math.prod(banding(percent)))
     rows = classes.select("id", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     rows = cut(rows.join(sizes, "bucket"), narrow=True)
@@ -272,7 +295,7 @@ def _links(docs: DataFrame, name: Column, text: Column, classes: DataFrame, perc
     heads = rows.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("id"))).alias("h"))
     heads = heads.select("bucket", (-F.col("h.col2")).alias("head"))
     pairs = rows.join(heads, "bucket").where("id <> head").select(*_pairs_of(F.col("id"), F.col("head"))).distinct()
-    pairs = kept(close_sketches(pairs, sketches, percent, SKETCH_FLOOR))
+    pairs = kept(close_sketches(pairs, sketches, percent, floor))
     wanted = kept(rows.select("id").distinct())
     sets = cut(full_sets(docs, name, text, wanted, width))
     links = cut(confirmed(pairs, sets, percent), narrow=True)
@@ -285,7 +308,7 @@ def _links(docs: DataFrame, name: Column, text: Column, classes: DataFrame, perc
     left = small.select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
     right = small.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"))
     cross = left.join(right, "bucket").where("x < y and cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    cross = close_sketches(cross.distinct().join(pairs, ["a", "b"], "left_anti"), sketches, percent, SKETCH_FLOOR)
+    cross = close_sketches(cross.distinct().join(pairs, ["a", "b"], "left_anti"), sketches, percent, floor)
     links = links.union(confirmed(kept(cross), sets, percent))
 
     large = rows.where(F.col("size") > SMALL_BUCKET)
