@@ -246,3 +246,13 @@ def test_page_edges(spark):
 
 def test_patterns_compile_alone():
     assert set(PATTERNS) >= {"email", "card", "date", "phone", "ip"}
+
+
+def test_addresses_at_the_end_of_a_sentence(spark):
+    address = "john.d@mail.example.com"
+    texts = [f"mail {address}{end}" for end in (".", ". Next", "...", ".\nNext", ". 5 more", "!", "", ".)", ". Or x@y.org.")]
+    for r in pseudonymise(docs_frame(spark, texts), found="found").collect():
+        end = texts[r.doc_id][5 + len(address):]
+        assert r.found == [address] + ["x@y.org"] * ("x@y.org" in end)
+        assert re.fullmatch("mail u[0-9a-f]{15}@example\\.invalid" + re.escape(end).replace(
+            re.escape("x@y.org"), "u[0-9a-f]{15}@example\\.invalid"), r.text)
