@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -256,3 +257,25 @@ def test_addresses_at_the_end_of_a_sentence(spark):
         assert r.found == [address] + ["x@y.org"] * ("x@y.org" in end)
         assert re.fullmatch("mail u[0-9a-f]{15}@example\\.invalid" + re.escape(end).replace(
             re.escape("x@y.org"), "u[0-9a-f]{15}@example\\.invalid"), r.text)
+
+
+@pytest.mark.parametrize("width, sign", [(72, ""), (30, " * "), (72, "rem "), (1, "")])
+def test_wrapped_notices_are_found(spark, width, sign):
+    """Every template, wrapped after words of prose of any number."""
+    rng = random.Random(8)
+    texts, labels = [], []
+    for label, template in TEMPLATES:
+        for before in (0, 3, 25, 26, 27, 40, 53, 54, 55, 200):
+            lines = textwrap.wrap(" ".join(prose(rng, before) + [template] + prose(rng, 60)), width, break_long_words=False)
+            texts.append("\n".join(sign + x for x in lines))
+            labels.append(label)
+    got = {r.doc_id: r for r in scan_licenses(docs_frame(spark, texts)).collect()}
+    for i, label in enumerate(labels):
+        assert label in got[i].labels.split(",") and got[i].score == 1.0, texts[i]
+
+
+def test_words_far_apart_are_no_wrapped_notice(spark):
+    rng = random.Random(8)
+    parts = [w for x in TEMPLATES[3][1].split() for w in [x] + prose(rng, 20) + ["\n"]]
+    row = scan_licenses(docs_frame(spark, [" ".join(parts)])).first()
+    assert (row.labels, row.score) == ("", 0.0)

@@ -127,21 +127,35 @@ def find_templates(blocks: DataFrame, templates: Sequence[tuple[str, tuple[str,
     return best.groupBy("row", "label").agg(F.max("score").alias("score"))
 
 
+def run_reach(templates: Sequence[tuple[str, str]]) -> int:
+    """Words in which a wrapped copy of any template must lie: the longest one's and
+    a quarter more, for words that start each line of a comment."""
+    return math.ceil(1.25 * max(len(_WORD.findall(text.lower())) for _, text in templates))
+
+
+def word_runs(words: Column, reach: int) -> Column:
+    """Runs of 2 * ``reach`` words, one starting every ``reach`` words: any ``reach``
+    words in a row lie inside one of them."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(reach))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(2 * reach)), " "))
+
+
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text",
                   templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row per row of ``docs``: its key, words, phrase places and labels.
 
     ``n_words``; ``n_base`` (all places of the base phrases), ``first_word`` and
     ``last_word`` (smallest and largest start, null without one), ``base_labels``;
-    ``labels`` (with those of the templates that some line of the text contains)
-    and ``score`` (best share of a template's words found in a line, 0 without a
-    template).  Labels are distinct, sorted and comma-joined, empty without any.
+    ``labels`` (with those of the templates that some block of the text contains)
+    and ``score`` (best share of a template's words found in a block, 0 without a
+    template).  Blocks are the lines and, where there are several, also runs of
+    words across their ends (see ``run_reach``), as notices wrap.  Labels are distinct, sorted and comma-joined, empty without any.
 
     Null text counts as empty.  Repeated rows are scanned each; a null key stays
     null; an empty table gives no rows; other columns are not carried.  Two scans:
     one counts the template words over the corpus, one finds phrases and candidate
-    lines.  Lines meet a template index of fixed size, so nothing is keyed by a
-    word or line of the corpus, and results go back by row number.
+    blocks.  Blocks meet a template index of fixed size, so nothing is keyed by a
+    word or block of the corpus, and results go back by row number.
     """
     parts = template_words(templates)
     order = word_order(docs, text, sorted({w for _, words in parts for w in words}))
@@ -154,17 +168,19 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text",
     places, none = {}, F.array().cast("array<int>")
     for phrase, label in PHRASES.items():
         places[label] = F.when(F.col("low").rlike(_gapped(phrase.split())), phrase_starts(F.col("words"), phrase)).otherwise(none)
-    lines = F.when(F.col("low").rlike(maybe), F.filter(F.split("low", "\n"), lambda b: b.rlike(maybe))).otherwise(
+    text_blocks = F.when(F.col("low").contains("\n"), F.concat(
+        F.split("low", "\n"), word_runs(F.col("words"), run_reach(templates)))).otherwise(F.array("low"))
+    text_blocks = F.when(F.col("low").rlike(maybe), F.filter(text_blocks, lambda b: b.rlike(maybe))).otherwise(
         F.array().cast("array<string>"))
     found = low.select(key, F.size("words").cast("long").alias("n_words"), F.monotonically_increasing_id().alias("row"),
-                       *[c.alias(f"at_{i}") for i, c in enumerate(places.values())], lines.alias("lines"))
+                       *[c.alias(f"at_{i}") for i, c in enumerate(places.values())], text_blocks.alias("blocks"))
     found = cut(found)
     every = F.concat(*[F.col(f"at_{i}") for i in range(len(places))])
     base = F.array_compact(F.array(*[F.when(F.size(f"at_{i}") > 0, F.lit(label)) for i, label in enumerate(places)]))
     rows = found.select("row", key, "n_words", F.size(every).cast("long").alias("n_base"),
                         F.array_min(every).cast("long").alias("first_word"),
                         F.array_max(every).cast("long").alias("last_word"), base.alias("base"))
-    blocks = found.where(F.size("lines") > 0).select("row", F.explode("lines").alias("block"))
+    blocks = found.where(F.size("blocks") > 0).select("row", F.explode("blocks").alias("block"))
     held = find_templates(blocks, parts, order, containment).groupBy("row").agg(
         F.collect_set("label").alias("more"), F.max("score").alias("score"))
     joined = F.array_join(F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>"))))), ",")
