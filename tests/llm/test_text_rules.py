@@ -279,3 +279,27 @@ def test_words_far_apart_are_no_wrapped_notice(spark):
     parts = [w for x in TEMPLATES[3][1].split() for w in [x] + prose(rng, 20) + ["\n"]]
     row = scan_licenses(docs_frame(spark, [" ".join(parts)])).first()
     assert (row.labels, row.score) == ("", 0.0)
+
+
+def test_values_beside_digits_and_capitals(spark):
+    values = {
+        "4111 1111 1111 1111 12/27": "4111 1111 1111 1111", "4111111111111111 123": "4111111111111111",
+        "12 4111 1111 1111 1111": "4111 1111 1111 1111", "378282246310005 1234": "378282246310005",
+        "ES9121000418450200051332 EUR 500": "ES9121000418450200051332",
+        "ES91 2100 0418 4502 0005 1332 EUR 500": "ES91 2100 0418 4502 0005 1332",
+        "DE89 3704 0044 0532 0130 00 BIC": "DE89 3704 0044 0532 0130 00", "AT611904300234573201 2024": "AT611904300234573201",
+        "PL61109010140000071219812874 ZUS": "PL61109010140000071219812874",
+        "+33 6 12 34 56 78": "+33 6 12 34 56 78", "+49 1512 3456789": "+49 1512 3456789", "+1 5551234567": "+1 5551234567",
+        "+44 (0)20 7946 0958": "+44 (0)20 7946 0958", "+442079460958": "+442079460958"}
+    texts = [f"see {t}, please" for t in values]
+    rows = {r.doc_id: r.text for r in pseudonymise(docs_frame(spark, texts)).collect()}
+    for i, (text, value) in enumerate(values.items()):
+        shape = re.sub("[0-9]", "#", texts[i])
+        assert value not in rows[i] and re.sub("[0-9]", "#", rows[i]) == shape, text
+        before, after = texts[i].split(value)
+        assert rows[i].startswith(before) and rows[i].endswith(after), text
+        new = rows[i][len(before):len(rows[i]) - len(after)].replace(" ", "")
+        if value[0].isalpha():
+            assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+        elif value[0] != "+":
+            assert luhn(new)

@@ -13,16 +13,26 @@ FIRST_DAY, DAYS = "1900-01-01", 73_049
 _LEFT, _RIGHT = 271, 270  # 271 * 270 >= DAYS; cycle-walking stays inside DAYS
 
 _EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+#: Signs of an IBAN by country.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+_KNOWN = "|".join(names.replace(" ", "|") for names in IBAN_COUNTRIES.values())
 #: What may be personal, by kind; each match is validated before it is replaced.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}[\p{L}]{2,24}",
-    "iban": _EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
+    "iban": _EDGE + "(?:" + "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}"
+                                     for n, names in IBAN_COUNTRIES.items())
+            + f"|(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)" + _END,
     "date": _EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _END,
     "ip": r"(?<![\p{L}\p{N}_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[\p{L}\p{N}_])",
     "ssn": r"(?<![\p{L}\p{N}_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[\p{L}\p{N}_])",
     "card": r"(?<![\p{L}\p{N}_-])[0-9](?:[ -]?[0-9]){12,18}(?!-?[\p{L}\p{N}_])",
     "phone": r"(?<![\p{L}\p{N}_])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}" + _END
-             + r"|(?<![\p{L}\p{N}_])\+[0-9]{8,15}" + _END,
+             + r"|(?<![\p{L}\p{N}_])\+[0-9](?:[ .-]?\(?[0-9]\)?){7,14}" + _END,
     "secret": _EDGE + r"(?:AKIA[A-Z0-9]{16}|[A-Za-z]{2,4}_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|"
               r"(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[a-f0-9]{32,}|[A-F0-9]{32,}))" + _END,
 }
@@ -88,14 +98,36 @@ def _luhn_sum(digits: Column, doubled_last: bool) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
 
 
-def _card(m: Column, key: str) -> Column:
+def _new_card(m: Column, key: str) -> Column:
     d = _digits(m)
     body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
 
     def close(b: Column) -> Column:
         return F.concat(b, ((10 - _luhn_sum(b, True) % 10) % 10).cast("string"))
     new = F.transform(F.array(body), close)[0]
-    return F.when(_luhn_sum(d, False) % 10 == 0, F.transform(F.array(new), lambda x: _refill(m, x))[0]).otherwise(m)
+    return F.transform(F.array(new), lambda x: _refill(m, x))[0]
+
+
+def _valid_card(m: Column) -> Column:
+    d = _digits(m)
+    return (F.length(d) >= 13) & (_luhn_sum(d, False) % 10 == 0)
+
+
+def _card(m: Column, key: str) -> Column:
+    """The whole candidate if it is valid, else the longest valid run of its groups
+    (of equal ones the first): other numbers may stand beside a card.  A candidate
+    has at most 19 digits, so it holds one card."""
+    at = F.sequence(F.lit(1), F.length(m))
+    firsts = F.filter(at, lambda i: (i == 1) | F.substring(m, i - 1, F.lit(1)).isin(" ", "-"))
+    lasts = F.filter(at, lambda i: (i == F.length(m)) | F.substring(m, i + 1, F.lit(1)).isin(" ", "-"))
+    spans = F.flatten(F.transform(firsts, lambda i: F.transform(lasts, lambda j: F.struct(
+        (i - j - 1).alias("order"), i.alias("first"), (j - i + 1).alias("n")))))
+    spans = F.array_sort(F.filter(spans, lambda s: s["n"] >= 13))
+    valid = F.filter(spans, lambda s: _valid_card(F.substring(m, s["first"], s["n"])))
+    part = F.transform(F.slice(valid, 1, 1), lambda s: F.concat(
+        F.substring(m, F.lit(1), s["first"] - 1), _new_card(F.substring(m, s["first"], s["n"]), key),
+        F.substring(m, s["first"] + s["n"], F.length(m))))
+    return F.when(_valid_card(m), _new_card(m, key)).otherwise(F.coalesce(F.get(part, F.lit(0)), m))
 
 
 def _mod97(text: Column) -> Column:
