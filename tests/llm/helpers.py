@@ -19,6 +19,13 @@ def words(text):
     return WORD.findall(text or "")
 
 
+def shingles(text):
+    w = [x.translate(LOWER) for x in words(text)]
+    if len(w) < 5:
+        return {tuple(w)} if w else set()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+
 def prose(rng, n, vocabulary=400):
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 

@@ -32,13 +32,6 @@ def near_texts(seed=3):
     return out
 
 
-def shingles(text):
-    w = [x.translate(LOWER) for x in words(text)]
-    if len(w) < 5:
-        return {tuple(w)} if w else set()
-    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
-
-
 def expected_near(texts):
     sets = [shingles(t) for t in texts]
     links = [(a, b) for a, b in combinations(range(len(sets)), 2)

@@ -79,8 +79,28 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.alignment import align_digest
+    return align_digest(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.language import identify_documents
+    return identify_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.collocations import collocations
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def _oracles():
+    from touchline.llm.collocations import COLLOCATION_SQL, SUPPORT, TOP
     from touchline.llm.mixing import MIX_SQL
+    ORACLES["op13_collocations"] = COLLOCATION_SQL.format(docs="documents", support=SUPPORT, top=TOP)
     ORACLES["op7_mix_sources"] = MIX_SQL.format(
         docs="documents", columns="doc_id, text, lang, source, n_chars", rate="round(rate, 6) AS rate,")
 
