@@ -21,7 +21,7 @@ from touchline.llm.words import BASE, BYTE_VALUES, LOWER, byte_view, mix64, span
 #: A phrase of 2 to LONGEST words must occur SUPPORT times in its language.
 SUPPORT, LONGEST, TOP = 100, 5, 2000
 #: A shard ends once it holds this many words; memory of a task follows it.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 8_000_000
 #: Bits of a filter for each hash it holds, and its size at most (32 MB).  Beyond
 #: that size it lets more through, which costs time; counts stay exact.
 FILTER_BITS, MOST_FILTER_BITS = 16, 28
@@ -38,55 +38,55 @@ _IS_GAP = np.isin(np.arange(256), list(GAPS)) | _IS_END
 
 
 class Words:
-    """Words of the texts of one language: hashes, byte spans, and how many words
-    from each one on lie in its piece."""
+    """Words of the texts of one language: a hash of each word and the language, and
+    how many words from each one on lie in its piece (counted up to LONGEST + 1)."""
 
-    def __init__(self, data: np.ndarray, text_at: np.ndarray):
-        self.data = LOWER[data]
-        gap = _IS_GAP[self.data]
+    def __init__(self, data: np.ndarray, text_at: np.ndarray, seed: np.uint64, spans: bool = False):
+        data = LOWER[data]
+        gap = _IS_GAP[data]
         first = np.zeros(len(data) + 1, dtype=bool)
         first[text_at] = True
-        start = ~gap
+        start, stop = ~gap, ~gap
         start[1:] &= gap[:-1] | first[1:-1]
-        stop = ~gap
         stop[:-1] &= gap[1:] | first[1:-1]
-        self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
-        values = BYTE_VALUES[self.data]
+        starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        values = BYTE_VALUES[data]
         values[gap] = 0
-        self.hashes = span_hashes(values, self.starts, self.ends - self.starts, BASE)
-        # a word opens a piece if a piece's end or a text's border lies before it
-        ends = np.cumsum(_IS_END[self.data] | first[:-1])
-        piece = ends[self.starts] if len(self.starts) else np.zeros(0, dtype=np.int64)
+        self.hashes = mix64(span_hashes(values, starts, ends - starts, BASE) + seed)
+        # a piece begins behind a piece's end or a text's border
+        piece = np.cumsum(_IS_END[data] | first[:-1])[starts] if len(starts) else np.zeros(0, dtype=np.int64)
         self.room = room_left(piece)
+        if spans:
+            self.data, self.starts, self.ends = data, starts, ends
 
     def phrase(self, at: int, n: int) -> str:
-        raw = self.data
-        return " ".join(raw[a:b].tobytes().decode("utf-8", "replace")
+        return " ".join(self.data[a:b].tobytes().decode("utf-8", "replace")
                         for a, b in zip(self.starts[at:at + n], self.ends[at:at + n]))
 
 
 def room_left(piece: np.ndarray) -> np.ndarray:
-    """Words from each position to the end of its piece, itself included."""
+    """Words from each position to the end of its piece, itself included, up to
+    LONGEST + 1."""
     if not len(piece):
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int8)
     last = np.flatnonzero(np.append(piece[1:] != piece[:-1], True))
-    return last[np.searchsorted(last, np.arange(len(piece)))] + 1 - np.arange(len(piece))
+    left = np.repeat(last + 1, np.diff(np.append(-1, last))) - np.arange(len(piece))
+    return np.minimum(left, LONGEST + 1).astype(np.int8)
 
 
 def lang_seed(lang: str) -> np.uint64:
-    return mix64(span_hashes(BYTE_VALUES[np.frombuffer(lang.encode() + b"\x01", dtype=np.uint8)],
-                             np.array([0]), np.array([len(lang.encode()) + 1]), BASE))[0]
+    raw = lang.encode() + b"\x01"
+    return span_hashes(BYTE_VALUES[np.frombuffer(raw, dtype=np.uint8)], np.array([0]), np.array([len(raw)]), BASE)[0]
 
 
-def phrase_hashes(words: np.ndarray, room: np.ndarray, n: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of each run of ``n`` words inside a piece, for one language."""
+def phrase_hashes(words: np.ndarray, room: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of each run of ``n`` words inside a piece: a polynomial in the
+    words' hashes, so that taking the last word off gives the hash of the rest."""
     at = np.flatnonzero(room >= n)
-    if not len(at):
-        return at, np.zeros(0, dtype=np.uint64)
-    h = words[at] + seed
+    h = words[at]
     for j in range(1, n):
         h = h * _STEP + words[at + j]
-    return at, mix64(h + np.uint64(n))
+    return at, h
 
 
 class Filter:
@@ -106,7 +106,7 @@ def make_filter(rows: DataFrame) -> Filter:
     n = rows.count()
     n_bits = min(max((FILTER_BITS * max(n, 1) - 1).bit_length(), 16), MOST_FILTER_BITS)
     slot = F.shiftrightunsigned("hash", 64 - n_bits)
-    # position p of bucket b (counted from 1) is the value 32768 * (b - 1) + p
+    # position p of bucket b (counted from 1) is the value 32768 * (b - 1) + p + 1
     pieces = rows.select((slot + 1).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("b")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
     bits = np.zeros(1 << (n_bits - 3), dtype=np.uint8)
@@ -117,41 +117,47 @@ def make_filter(rows: DataFrame) -> Filter:
     return Filter(rows.sparkSession.sparkContext.broadcast(bits), n_bits)
 
 
-def _shards(batches, shard_words: int) -> Iterator[dict[str, list[Words]]]:
-    """A task's documents in shards of whole texts: for each language, its runs."""
-    shard: dict[str, list[Words]] = {}
-    held = 0
+def _runs(batches, spans: bool = False) -> Iterator[tuple[str, Words]]:
+    """The words of a task's documents, a language and some whole texts at a time."""
+    seeds: dict[str, np.uint64] = {}
     for batch in batches:
         langs = np.array(batch.column(1).fill_null(NO_LANG).to_pylist(), dtype=object)
         raw, offsets = byte_view(batch.column(0))
+        sizes = np.diff(offsets)
         for lang in dict.fromkeys(langs):
+            seed = seeds.setdefault(lang, lang_seed(lang))
             rows = np.flatnonzero(langs == lang)
-            sizes = offsets[rows + 1] - offsets[rows]
-            part = np.cumsum(sizes) // _RUN_BYTES
-            for p in np.unique(part):
-                mine = rows[part == p]
-                at = np.append(0, np.cumsum(offsets[mine + 1] - offsets[mine]))
+            part = np.cumsum(sizes[rows]) // _RUN_BYTES
+            for mine in np.split(rows, np.flatnonzero(np.diff(part)) + 1):
                 data = np.concatenate([raw[offsets[r]:offsets[r + 1]] for r in mine])
-                words = Words(data, at)
-                shard.setdefault(lang, []).append(words)
-                held += len(words.starts)
-                if held >= shard_words:
-                    yield shard
-                    shard, held = {}, 0
+                yield lang, Words(data, np.append(0, np.cumsum(sizes[mine])), seed, spans)
+
+
+def _shards(batches, shard_words: int) -> Iterator[dict[str, list[Words]]]:
+    """A task's documents in shards of whole texts: for each language, its runs."""
+    shard: dict[str, list[Words]] = {}
+    held = 0
+    for lang, words in _runs(batches):
+        shard.setdefault(lang, []).append(words)
+        held += len(words.hashes)
+        if held >= shard_words:
+            yield shard
+            shard, held = {}, 0
     if shard:
         yield shard
 
 
 def _counted(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64), return_counts=True)
-
-
-def _count_batch(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["hash", "n"])
+    """(different hashes in order, occurrences)."""
+    every = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
+    every.sort()
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[:len(every)])
+    return every[first], np.diff(np.append(first, len(every)))
 
 
-def _merged(df: DataFrame) -> DataFrame:
-    return df.groupBy("hash").agg(F.sum("n").alias("n"))
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if getattr(c, "dtype", None) == np.uint64 else c)
+                                       for c in columns.values()], names=list(columns))
 
 
 def word_counts(rows: DataFrame, shard_words: int) -> DataFrame:
@@ -160,125 +166,147 @@ def word_counts(rows: DataFrame, shard_words: int) -> DataFrame:
     def run(batches):
         for shard in _shards(batches, shard_words):
             for lang, parts in shard.items():
-                seed = lang_seed(lang)
-                hashes, counts = _counted([phrase_hashes(w.hashes, w.room, 1, seed)[1] for w in parts])
-                names = pa.array([lang] + [None] * len(hashes), pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(np.append(np.int64(0), hashes.view(np.int64))),
-                     pa.array(np.append(counts.sum(), counts).astype(np.int64))], names=["lang", "hash", "n"])
+                hashes, counts = _counted([w.hashes for w in parts])
+                yield _batch(lang=pa.array([lang] + [None] * len(hashes), pa.string()),
+                             hash=np.append(np.uint64(0), hashes), n=np.append(counts.sum(), counts))
 
     return in_batches(rows, run, "lang string, hash long, n long").groupBy("lang", "hash").agg(F.sum("n").alias("n"))
 
 
-def _open_runs(w: Words, seed: np.uint64, words: Filter, pairs: Filter | None) -> np.ndarray:
+def _open_runs(w: Words, words: Filter, pairs: Filter | None) -> np.ndarray:
     """Room of each word when pieces are also cut at words, and at pairs, that are
     not frequent: no frequent phrase reaches across such a place."""
-    usable = words(phrase_hashes(w.hashes, np.ones_like(w.room), 1, seed)[1]) if len(w.hashes) else np.zeros(0, dtype=bool)
+    if not len(w.hashes):
+        return w.room
+    usable = words(w.hashes)
     joined = np.zeros(len(usable), dtype=bool)
-    at, pair = phrase_hashes(w.hashes, w.room, 2, seed)
+    at, pair = phrase_hashes(w.hashes, w.room, 2)
     joined[at] = (usable[at] & usable[at + 1]) if pairs is None else pairs(pair)
-    return room_left(np.append(0, np.cumsum(~joined[:-1]))) * usable if len(usable) else w.room
+    return room_left(np.append(0, np.cumsum(~joined[:-1]))) * usable
 
 
 def mine(rows: DataFrame, sizes: tuple[int, ...], total: dict[str, int], words: Filter, pairs: Filter | None,
          support: int, shard_words: int) -> DataFrame:
-    """Hashes of the phrases of the given sizes that are frequent in some shard at
-    its share of the support: a language with a share s of its words in the shard
-    needs ``ceil(support * s)`` occurrences there.  Whoever reaches ``support`` in
-    all reaches that in one shard at least.  Larger sizes extend locally frequent
-    smaller ones only."""
+    """Hashes of the phrases that may be frequent, from shards mined one by one.
+
+    A shard with a share s of a language's words mines the phrases that occur
+    ``least = ceil(support * s)`` times in it; whoever reaches ``support`` in all
+    reaches that in one shard at least.  Larger sizes extend locally frequent
+    smaller ones only.  A shard that does not report a phrase holds it ``least - 1``
+    times at most, so the reported counts and those bounds add up to an upper bound
+    of the phrase's count; what stays below the support is dropped.
+    """
+    codes = {lang: i for i, lang in enumerate(sorted(total))}
+
     def run(batches):
         for shard in _shards(batches, shard_words):
             for lang, parts in shard.items():
                 if lang not in total:
                     continue
-                seed, n = lang_seed(lang), sum(len(w.starts) for w in parts)
-                least = -(-support * n // total[lang])
-                rooms = [_open_runs(w, seed, words, pairs) for w in parts]
+                n = sum(len(w.hashes) for w in parts)
+                least = max(-(-support * n // total[lang]), 1)
+                yield _batch(code=[codes[lang]], hash=pa.array([None], pa.int64()), n=[least - 1])
+                rooms = [_open_runs(w, words, pairs) for w in parts]
                 for size in sizes:
-                    found = [phrase_hashes(w.hashes, room, size, seed) for w, room in zip(parts, rooms)]
-                    hashes, counts = _counted([h for _, h in found])
+                    hashes, counts = _counted([phrase_hashes(w.hashes, room, size)[1] for w, room in zip(parts, rooms)])
                     keep = counts >= least
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64))], names=["hash"])
+                    hashes, counts = hashes[keep], counts[keep]
+                    yield _batch(code=np.full(len(hashes), codes[lang]), hash=hashes, n=counts - (least - 1))
                     if least > 1 and size < sizes[-1]:  # longer ones start and end with a frequent one
-                        for i, (at, h) in enumerate(found):
+                        for i, w in enumerate(parts):
+                            at, h = phrase_hashes(w.hashes, rooms[i], size)
+                            spot = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
                             good = np.zeros(len(rooms[i]) + 1, dtype=bool)
-                            good[at[keep[np.searchsorted(hashes, h)]]] = True
+                            good[at] = hashes[spot] == h if len(hashes) else False
                             rooms[i] = np.where(good[:-1] & good[1:], rooms[i], np.minimum(rooms[i], size))
 
-    return in_batches(rows, run, "hash long").distinct()
+    found = cut(in_batches(rows, run, "code long, hash long, n long").groupBy("code", "hash").agg(F.sum("n").alias("n")), narrow=True)
+    unseen = found.where("hash is null").select("code", F.col("n").alias("unseen"))
+    return found.where("hash is not null").join(F.broadcast(unseen), "code").where(F.col("n") + F.col("unseen") >= support).select("hash")
+
 
+def count(rows: DataFrame, sizes: tuple[int, ...], total: dict[str, int], words: Filter, pairs: Filter | None,
+          candidates: Filter, shard_words: int) -> DataFrame:
+    """(hash, code, size, last, n): occurrences in all documents of the phrases that
+    pass the filter, with the language's number and the last word's hash."""
+    codes = {lang: i for i, lang in enumerate(sorted(total))}
 
-def count(rows: DataFrame, sizes: tuple[int, ...], words: Filter, pairs: Filter | None, candidates: Filter,
-          shard_words: int) -> DataFrame:
-    """(hash, n): occurrences in all documents of the phrases that pass the filter."""
     def run(batches):
         for shard in _shards(batches, shard_words):
             for lang, parts in shard.items():
-                seed = lang_seed(lang)
-                rooms = [_open_runs(w, seed, words, pairs) for w in parts]
+                if lang not in total:
+                    continue
+                rooms = [_open_runs(w, words, pairs) for w in parts]
                 for size in sizes:
-                    found = [phrase_hashes(w.hashes, room, size, seed)[1] for w, room in zip(parts, rooms)]
-                    hashes, counts = _counted([h[candidates(h)] for h in found])
-                    yield _count_batch(hashes, counts)
+                    found = []
+                    for w, room in zip(parts, rooms):
+                        at, h = phrase_hashes(w.hashes, room, size)
+                        some = candidates(h)
+                        found.append((h[some], w.hashes[at[some] + size - 1]))
+                    every, last = (np.concatenate(x) for x in zip(*found))
+                    hashes, one, n = np.unique(every, return_index=True, return_counts=True)
+                    yield _batch(hash=hashes, code=np.full(len(n), codes[lang]), size=np.full(len(n), size), last=last[one], n=n)
 
-    return _merged(in_batches(rows, run, "hash long, n long"))
+    return in_batches(rows, run, "hash long, code long, size long, last long, n long").groupBy("hash").agg(
+        *(F.min(c).alias(c) for c in ("code", "size", "last")), F.sum("n").alias("n"))
 
 
-def spell(rows: DataFrame, frequent: Filter, pairs: Filter, words: Filter, shard_words: int) -> DataFrame:
-    """(hash, lang, size, phrase) of what passes the filter; each once in a shard."""
+def spell(rows: DataFrame, wanted: DataFrame, words: Filter, pairs: Filter) -> DataFrame:
+    """(hash, phrase) of the hashes wanted; a task tells each one once."""
+    wanted_filter = make_filter(wanted)
+
     def run(batches):
-        for shard in _shards(batches, shard_words):
-            out: list[tuple] = []
-            for lang, parts in shard.items():
-                seed, seen = lang_seed(lang), set()
-                rooms = [_open_runs(w, seed, words, pairs) for w in parts]
-                for size in range(1, LONGEST + 1):
-                    for w, room in zip(parts, rooms):
-                        at, hashes = phrase_hashes(w.hashes, room, size, seed)
-                        some = np.flatnonzero(frequent(hashes))
-                        new, first = np.unique(hashes[some], return_index=True)
-                        for h, i in zip(new.view(np.int64).tolist(), at[some[first]].tolist()):
-                            if h not in seen:
-                                seen.add(h)
-                                out.append((h, lang, size, w.phrase(i, size)))
+        seen: set[int] = set()
+        for _, w in _runs(batches, spans=True):
+            room = _open_runs(w, words, pairs)
+            out: list[tuple[int, str]] = []
+            for size in range(2, LONGEST + 1):
+                at, hashes = phrase_hashes(w.hashes, room, size)
+                some = np.flatnonzero(wanted_filter(hashes))
+                new, first = np.unique(hashes[some], return_index=True)
+                out += [(h, w.phrase(i, size)) for h, i in zip(new.view(np.int64).tolist(), at[some[first]].tolist()) if h not in seen]
+            seen.update(h for h, _ in out)
             if out:
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()),
-                     pa.array(columns[3], pa.string())], names=["hash", "lang", "size", "phrase"])
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([p for _, p in out], pa.string())],
+                                                 names=["hash", "phrase"])
 
-    spelled = in_batches(rows, run, "hash long, lang string, size int, phrase string")
-    return spelled.groupBy("hash").agg(*(F.min(c).alias(c) for c in ("lang", "size", "phrase")))
+    spelled = in_batches(rows, run, "hash long, phrase string").join(broadcast_if_small(wanted), "hash")
+    return spelled.groupBy("hash").agg(F.min("phrase").alias("phrase"))
 
 
-def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT,
-                  shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(totals, phrases): ``totals`` is (lang, n), ``phrases`` (lang, size, phrase, a)
-    holds every word and every phrase of 2 to LONGEST words with a >= support.
+def _with_prefix(found: DataFrame) -> DataFrame:
+    """``prefix``: the hash of a phrase without its last word."""
+    back = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
-    1. Words are counted; words below the support cut pieces in two.
-    2. Pairs: mined shard by shard, their union counted over all shards.
-    3. Three to five words: the same, in the stretches of frequent pairs.
-    """
-    rows = docs.select(F.col(text).alias("__text"), F.col(lang).cast("string").alias("__lang"))
-    single = cut(word_counts(rows, shard_words).where(F.col("lang").isNotNull() | (F.col("n") >= support)), narrow=True)
-    totals = single.where("lang is not null").select("lang", "n")
-    words = single.where("lang is null").select("hash", "n")
-    word_filter = make_filter(words)
-    # a language with fewer words than the support has no phrases
-    total = {r["lang"]: r["n"] for r in totals.where(F.col("n") >= support).collect()}
-    counted, pair_filter = [words], None
-    for sizes in ((2,), tuple(range(3, LONGEST + 1))):
-        local = make_filter(cut(mine(rows, sizes, total, word_filter, pair_filter, support, shard_words), narrow=True))
-        found = cut(count(rows, sizes, word_filter, pair_filter, local, shard_words).where(F.col("n") >= support), narrow=True)
-        counted.append(found)
-        if pair_filter is None:
-            pair_filter = make_filter(found)
-    frequent = counted[0].unionByName(counted[1]).unionByName(counted[2])
-    names = spell(rows, make_filter(frequent), pair_filter, word_filter, shard_words)
-    phrases = names.join(frequent, "hash").select("lang", "size", "phrase", F.col("n").alias("a"))
-    return totals, cut(phrases, narrow=True)
+    def run(batches):
+        for batch in batches:
+            hashes, last = (batch.column(batch.schema.get_field_index(c)).to_numpy().view(np.uint64) for c in ("hash", "last"))
+            yield batch.append_column("prefix", pa.array(((hashes - last) * back).view(np.int64)))
+
+    return in_batches(found, run, "hash long, code long, size long, last long, n long, prefix long")
+
+
+def _cuts(phrases: DataFrame) -> DataFrame:
+    """One row for each place between two words: hashes of the two parts."""
+    def run(batches):
+        for batch in batches:
+            sizes = batch.column(3).to_numpy()
+            for size in np.unique(sizes):
+                part = batch.filter(pa.array(sizes == size))
+                words = part.column(4).flatten().to_numpy().view(np.uint64).reshape(-1, size)
+                for k in range(1, size):
+                    left, right = words[:, 0], words[:, k]
+                    for j in range(1, k):
+                        left = left * _STEP + words[:, j]
+                    for j in range(k + 1, size):
+                        right = right * _STEP + words[:, j]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(i) for i in range(4)), pa.array(np.full(len(words), k)),
+                         pa.array(left.view(np.int64)), pa.array(right.view(np.int64))],
+                        names=["hash", "code", "a", "size", "k", "left", "right"])
+
+    return in_batches(phrases.select("hash", "code", F.col("n").alias("a"), "size", "words"), run,
+                      "hash long, code long, a long, size long, k long, left long, right long")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, top: int = TOP,
@@ -294,37 +322,57 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", suppor
     phrase between the two occurs as often too.  Order: score, a, then the phrase
     in byte order.
 
+    1. Words are counted; words below the support cut pieces in two.
+    2. Pairs: mined shard by shard, their union counted over all shards.
+    3. Three to five words: the same, in the stretches of frequent pairs.
+    4. Parts are found by hash; only phrases that may be among the first are spelled.
+
     Null text is empty, null lang is ``und``.  Repeated rows count each.  An empty
     table, and a language below the support, give no rows.  Other columns, whatever
     their names, are not carried.  Phrases are told apart by 64-bit hashes.
     """
-    totals, phrases = phrase_counts(docs, text, lang, support, shard_words)
-    known = phrases.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
-    n_known = known.count()
-    long = phrases.where("size > 1")
-    words = F.split("phrase", " ")
-    cuts = long.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
-    cuts = cuts.withColumn("left", F.concat_ws(" ", F.slice(words, F.lit(1), F.col("k"))))
-    cuts = cuts.withColumn("right", F.concat_ws(" ", F.slice(words, F.col("k") + 1, F.col("size") - F.col("k"))))
+    rows = docs.select(F.col(text).alias("__text"), F.col(lang).cast("string").alias("__lang"))
+    single = cut(word_counts(rows, shard_words).where(F.col("lang").isNotNull() | (F.col("n") >= support)), narrow=True)
+    words = single.where("lang is null").select("hash", "n")
+    # a language with fewer words than the support has no phrases
+    total = {r["lang"]: r["n"] for r in single.where(F.col("lang").isNotNull() & (F.col("n") >= support)).collect()}
+    word_filter, pair_filter, levels = make_filter(words), None, []
+    for sizes in ((2,), tuple(range(3, LONGEST + 1))):
+        local = make_filter(cut(mine(rows, sizes, total, word_filter, pair_filter, support, shard_words), narrow=True))
+        levels.append(cut(count(rows, sizes, total, word_filter, pair_filter, local, shard_words).where(F.col("n") >= support), narrow=True))
+        pair_filter = pair_filter or make_filter(levels[0])
+    found = levels[0].unionByName(levels[1])
+    prefixed = _with_prefix(found)
+    known = prefixed.where("size = 2").select("hash", "code", "n", "size", F.array("prefix", "last").alias("words"))
+    phrases = known
+    for size in range(3, LONGEST + 1):  # the words of a phrase: those of its prefix and the last one
+        known = prefixed.where(F.col("size") == size).join(
+            known.select(F.col("hash").alias("prefix"), F.col("words").alias("before")), "prefix").select(
+            "hash", "code", "n", "size", F.concat("before", F.array("last")).alias("words"))
+        phrases = phrases.unionByName(known)
+    cuts = cut(_cuts(phrases), narrow=True)
+    counts = words.unionByName(found.select("hash", "n"))
+    n_counts = counts.count()
+    parted = cuts
     for side, name in (("left", "l"), ("right", "r")):
-        side_counts = known.select("lang", F.col("part").alias(side), F.col("f").alias(name))
-        cuts = cuts.join(broadcast_if_small(side_counts, rows=n_known), ["lang", side])
-    cuts = cuts.join(broadcast_if_small(totals), "lang")
+        parted = parted.join(broadcast_if_small(counts.toDF(side, name), rows=n_counts), side)
+    langs = docs.sparkSession.createDataFrame([(i, x, total[x]) for i, x in enumerate(sorted(total))], "code long, lang string, n long")
+    parted = parted.join(F.broadcast(langs), "code")
     score = F.expr("cast((cast(1000 as decimal(38,0)) * a * n) div (cast(l as decimal(38,0)) * r) as long)")
-    cuts = cuts.withColumn("score", score)
-    best = cuts.groupBy("lang", "phrase", "size", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
+    best = parted.withColumn("score", score).groupBy("lang", "hash", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
     # the two phrases one word shorter inside each longer one
-    inner = long.where("size > 2").select("lang", F.col("a").alias("whole"), F.explode(F.array(
-        F.concat_ws(" ", F.slice(words, F.lit(1), F.col("size") - 1)),
-        F.concat_ws(" ", F.slice(words, F.lit(2), F.col("size") - 1)))).alias("phrase"))
-    covered = inner.groupBy("lang", "phrase").agg(F.max("whole").alias("whole"))
-    left = best.join(covered, ["lang", "phrase"], "left").where("whole is null or whole < a")
-    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
-    rows = left.select("lang", "phrase", "a", "b.l", "b.r", "n", "b.score", (F.xxhash64("phrase") % SLICES).alias("slice"))
-    for keys in (["lang", "slice"], ["lang"]):  # the best of each slice, then of those
-        ranked = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
-        rows = rows.withColumn("rank", ranked).where(F.col("rank") <= top)
-    return rows.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    inner = cuts.where("size > 2 and k = 1").select(F.col("right").alias("hash"), "a").union(
+        cuts.where("size > 2 and k = size - 1").select("left", "a"))
+    covered = inner.groupBy("hash").agg(F.max("a").alias("whole"))
+    left = best.join(covered, "hash", "left").where("whole is null or whole < a").select(
+        "lang", "hash", "a", "b.l", "b.r", "n", "b.score", (F.xxhash64("hash") % SLICES).alias("slice"))
+    order = [F.desc("score"), F.desc("a")]
+    for keys in (["lang", "slice"], ["lang"]):  # the best of each slice, then of those; ties stay
+        left = left.withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
+    left = cut(left.drop("rank", "slice"), narrow=True)
+    ranked = left.join(spell(rows, left.select("hash"), word_filter, pair_filter), "hash").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase")).cast("long"))
+    return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 #: DuckDB SQL of ``collocations`` over ``{docs}``.
