@@ -20,7 +20,9 @@ from touchline.llm.words import BASE, BYTE_VALUES, LOWER, byte_view, mix64, span
 
 #: A phrase of 2 to LONGEST words must occur SUPPORT times in its language.
 SUPPORT, LONGEST, TOP = 100, 5, 2000
-#: A shard ends once it holds this many words; memory of a task follows it.
+#: A shard ends once it holds this many words; memory of a task follows it.  Small
+#: input partitions are read together up to it, as long as every core has two: the
+#: larger a shard, the higher its support and the fewer phrases it reports.
 SHARD_WORDS = 8_000_000
 #: Bits of a filter for each hash it holds, and its size at most (32 MB).  Beyond
 #: that size it lets more through, which costs time; counts stay exact.
@@ -336,6 +338,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", suppor
     words = single.where("lang is null").select("hash", "n")
     # a language with fewer words than the support has no phrases
     total = {r["lang"]: r["n"] for r in single.where(F.col("lang").isNotNull() & (F.col("n") >= support)).collect()}
+    n_words = sum(total.values())
+    rows = rows.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-n_words // shard_words)))
     word_filter, pair_filter, levels = make_filter(words), None, []
     for sizes in ((2,), tuple(range(3, LONGEST + 1))):
         local = make_filter(cut(mine(rows, sizes, total, word_filter, pair_filter, support, shard_words), narrow=True))
