@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.ordinal import row_number0
+from touchline.operators.ordinal import prefix_sum
 from touchline.operators.stats import attach_scalars
 
 
@@ -21,9 +21,11 @@ def seeded_order(row_id, seed: int):
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def hash_rank(df: DataFrame, row_id: str, label: str | None, seed: int) -> DataFrame:
+def hash_rank(df: DataFrame, row_id: str, label: str | None, seed: int, size: str | None = None) -> DataFrame:
+    """``__rank`` in the seeded order of the label's rows and, as ``size``, their number."""
     d = df.withColumn("__h", seeded_order(F.col(row_id), seed))
-    return row_number0(d, [label] if label else [], ["__h", row_id], out="__rank", method="hash").drop("__h")
+    return prefix_sum(d, [label] if label else [], ["__h", row_id], {"__rank": F.lit(1)}, method="hash",
+                      totals={size: "__rank"} if size else None).drop("__h")
 
 
 def stratified_folds(df: DataFrame, row_id: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -33,13 +35,17 @@ def stratified_folds(df: DataFrame, row_id: str, label: str, k: int = 5, seed: i
         .drop("__rank")
 
 
-def stratified_split(df: DataFrame, row_id: str, label: str, test_fraction_tenths: int = 2,
+def plain_folds(df: DataFrame, row_id: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """Folds for a label that is a number: rank of all rows in the seeded order mod k."""
+    return hash_rank(df, row_id, None, seed).withColumn("fold", (F.col("__rank") % k).cast("int")).drop("__rank")
+
+
+def stratified_split(df: DataFrame, row_id: str, label: str | None, test_fraction_tenths: int = 2,
                      seed: int = 42) -> DataFrame:
     """WIN6: per label, the first ceil(n·f) rows of the hash order are the test side.
-    Rows without a label are a stratum of their own."""
-    r = hash_rank(df, row_id, label, seed)
-    sizes = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
-    r = r.join(sizes, r[label].eqNullSafe(sizes["__label"])).drop("__label")
+    Rows without a label are a stratum of their own; without a label column all rows
+    are one.  A label's size comes with the ranks' bucket totals: the rows move once."""
+    r = hash_rank(df, row_id, label, seed, size="__n")
     n_test = F.ceil(F.col("__n") * test_fraction_tenths / 10)
     return r.withColumn("split", F.when(F.col("__rank") < n_test, "test").otherwise("train")).drop("__rank", "__n")
 

@@ -208,9 +208,7 @@ def grouped_median(df: DataFrame, key: str, val: str, out: str) -> DataFrame:
     keep the one or two (key, value) rows that cover the middle positions."""
     cnt = cut_lineage(df.where(F.col(key).isNotNull() & F.col(val).isNotNull())
                       .groupBy(key, val).agg(F.count(F.lit(1)).alias("__c")))
-    pre = prefix_sum(cnt, [key], [val], {"__less": F.col("__c")})
-    tot = cnt.groupBy(key).agg(F.sum("__c").alias("__n"))
-    pre = pre.join(tot, key)
+    pre = prefix_sum(cnt, [key], [val], {"__less": F.col("__c")}, totals={"__n": "__less"})
     i1 = F.floor((F.col("__n") - 1) / 2)
     i2 = F.ceil((F.col("__n") - 1) / 2)
     hit1 = (F.col("__less") <= i1) & (i1 < F.col("__less") + F.col("__c"))
@@ -225,9 +223,8 @@ def grouped_rank(df: DataFrame, key: str, val: str, out: str) -> DataFrame:
     """Average-tie percentile rank of each (key, value): (less + (equal+1)/2) / n."""
     cnt = cut_lineage(df.where(F.col(key).isNotNull() & F.col(val).isNotNull())
                       .groupBy(key, val).agg(F.count(F.lit(1)).alias("__c")))
-    pre = prefix_sum(cnt, [key], [val], {"__less": F.col("__c")})
-    tot = cnt.groupBy(key).agg(F.sum("__c").alias("__n"))
-    return pre.join(tot, key).select(
+    pre = prefix_sum(cnt, [key], [val], {"__less": F.col("__c")}, totals={"__n": "__less"})
+    return pre.select(
         key, val, ((F.col("__less") + (F.col("__c") + 1) / 2.0) / F.col("__n")).alias(out))
 
 

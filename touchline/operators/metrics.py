@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.ordinal import prefix_sum
+from touchline.session import cut_lineage
 
 EPS = 2.220446049250313e-16          # float64 machine epsilon, the probability clip
 # Inner bin edges of a 10-bin uniform calibration curve, as i * 0.1 in float64.
@@ -74,15 +75,10 @@ def roc_points(df: DataFrame, by: list[str] = (), y: str = "y", p: str = "p") ->
     false positives → tpr, fpr.  Every distinct threshold is kept (no collinear-point
     thinning)."""
     by = list(by)
-    sc = score_counts(df, by, y, p)
-    cum = prefix_sum(sc, by, [p], {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True, inclusive=True)
-    tot = sc.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    if by:
-        j = cum.join(tot, by)
-    else:
-        from touchline.operators.stats import attach_scalars
-        j = attach_scalars(cum, tot)                                     # one-row totals
-    return j.select(*by, F.col(p).alias("threshold"), "tp", "fp",
+    sc = cut_lineage(score_counts(df, by, y, p))                         # for cut points, totals and sums
+    cum = prefix_sum(sc, by, [p], {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True, inclusive=True,
+                     totals={"n_pos": "tp", "n_neg": "fp"})
+    return cum.select(*by, F.col(p).alias("threshold"), "tp", "fp",
                     F.try_divide(F.col("tp"), F.col("n_pos")).cast("double").alias("tpr"),
                     F.try_divide(F.col("fp"), F.col("n_neg")).cast("double").alias("fpr"), "pos", "neg", "n_pos", "n_neg")
 

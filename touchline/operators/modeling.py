@@ -2,10 +2,12 @@
 cross-validation with out-of-fold rows, seeded random search, recursive
 elimination, forward selection, permutation importance, batch scoring.
 
-One learner (``GBTClassifier``) stands in for the three external boosting
-libraries; wrapper parameters map to ``maxIter``, ``maxDepth``, ``stepSize``,
-``subsamplingRate``, ``featureSubsetStrategy``.  Categoricals are indexed by
-sorted level (unknown → extra index) so trees split on them natively.
+MLlib's boosted trees stand in for the three external boosting libraries:
+``GBTClassifier`` for two classes, ``GBTRegressor`` for numbers, and softmax boosting
+over MLlib trees (``boosting``) for more classes.  Wrapper parameters map to
+``maxIter``, ``maxDepth``, ``stepSize``, ``subsamplingRate``,
+``featureSubsetStrategy``.  Categoricals are indexed by sorted level (unknown → extra
+index) so trees split on them natively.
 Training data never leaves the cluster; the driver only holds parameter and
 score tables of a few rows.
 """
@@ -14,17 +16,19 @@ from __future__ import annotations
 
 import random
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators import boosting as B
 from touchline.operators import metrics as MT
-from touchline.operators.folds import stratified_folds, stratified_split
+from touchline.operators.folds import plain_folds, stratified_folds, stratified_split
 from touchline.session import cut_lineage
 
 SEED = 165
@@ -40,11 +44,17 @@ class ModelSpec:
     categorical: list = field(default_factory=list)
     label: str = "label"
     params: dict = field(default_factory=lambda: dict(DEFAULT_PARAMS))
+    task: str = "binary"          # or multiclass (labels 0, 1, ..., classes - 1), regression
+    classes: int = 2
 
     def features(self) -> list:
         return list(self.numeric) + list(self.categorical)
 
-    def pipeline(self, validation_col: str | None = None) -> Pipeline:
+    def objective(self):
+        return B.objective(self.task, self.classes)
+
+    def assembler(self) -> Pipeline:
+        """Stages that put the features into one vector."""
         stages = []
         idx_cols = []
         for c in self.categorical:
@@ -58,46 +68,101 @@ class ModelSpec:
                              for c in self.numeric)
             stages.append(SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__"))
         stages.append(VectorAssembler(inputCols=filled + idx_cols, outputCol="features", handleInvalid="keep"))
-        extra = {"validationIndicatorCol": validation_col, "validationTol": 0.0} if validation_col else {}
-        gbt = GBTClassifier(labelCol=self.label, featuresCol="features", seed=SEED, maxBins=64,
-                            **{k: v for k, v in self.params.items()}, **extra)
-        stages.append(gbt)
         return Pipeline(stages=stages)
 
+    def pipeline(self, validation_col: str | None = None) -> Pipeline:
+        extra = {"validationIndicatorCol": validation_col, "validationTol": 0.0} if validation_col else {}
+        learner = GBTRegressor if self.task == "regression" else GBTClassifier
+        gbt = learner(labelCol=self.label, featuresCol="features", seed=SEED, maxBins=64,
+                      **{k: v for k, v in self.params.items()}, **extra)
+        return Pipeline(stages=[*self.assembler().getStages(), gbt])
+
     def with_params(self, **kw) -> "ModelSpec":
-        return ModelSpec(list(self.numeric), list(self.categorical), self.label, {**self.params, **kw})
+        return replace(self, params={**self.params, **kw})
 
     def with_features(self, feats: list) -> "ModelSpec":
-        return ModelSpec([f for f in self.numeric if f in feats], [f for f in self.categorical if f in feats],
-                         self.label, dict(self.params))
+        return replace(self, numeric=[f for f in self.numeric if f in feats],
+                       categorical=[f for f in self.categorical if f in feats], params=dict(self.params))
+
+
+@dataclass
+class SoftmaxModel:
+    """Feature stages and softmax boosting: ``transform`` adds ``margins``,
+    ``probabilities`` and ``prediction`` (ties: the lower class)."""
+    stages: PipelineModel
+    boosted: B.Boosted
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.boosted.transform(self.stages.transform(df))
+        shares = B.margin_columns(self.boosted.objective)
+        out = out.withColumn("probabilities", F.array(*self.boosted.objective.probabilities(shares)))
+        best = F.array_position("probabilities", F.array_max("probabilities")) - 1
+        return out.withColumn("prediction", best.cast("double"))
 
 
 def positive_probability(scored: DataFrame, out: str = "p") -> DataFrame:
     return scored.withColumn(out, vector_to_array("probability")[1])
 
 
-def fit(spec: ModelSpec, train: DataFrame, validation_col: str | None = None) -> PipelineModel:
+#: Rounds without a better validation loss after which softmax boosting stops.
+PATIENCE = 3
+
+
+def fit(spec: ModelSpec, train: DataFrame, validation_col: str | None = None):
+    """A fitted ``PipelineModel`` (two classes, regression) or ``SoftmaxModel``."""
     cols = spec.features() + [spec.label] + ([validation_col] if validation_col else [])
-    return spec.pipeline(validation_col).fit(train.select(*cols))
+    if spec.task != "multiclass":
+        return spec.pipeline(validation_col).fit(train.select(*cols))
+    stages = spec.assembler().fit(train.select(*cols))
+    p = spec.params
+    boosted = B.boost(stages.transform(train.select(*cols)), spec.objective(), spec.label, p.get("maxIter", 20), p.get("maxDepth", 4),
+                      p.get("stepSize", 0.1), valid=validation_col, patience=PATIENCE if validation_col else 0)
+    return SoftmaxModel(stages, boosted)
+
+
+def predicted(spec: ModelSpec, model, test: DataFrame, keep: list) -> DataFrame:
+    """Scores of ``test``: keep, label and p with prediction (p ≥ 0.5); for more classes
+    probabilities and prediction; for regression prediction."""
+    out = model.transform(test.select(*keep, *spec.features(), spec.label))
+    if spec.task == "regression":
+        return out.select(*keep, spec.label, "prediction")
+    if spec.task == "multiclass":
+        return out.select(*keep, spec.label, "probabilities", F.col("prediction").cast("int").alias("prediction"))
+    out = positive_probability(out)
+    return out.select(*keep, spec.label, "p", (F.col("p") >= 0.5).cast("int").alias("prediction"))
 
 
 def fit_predict(spec: ModelSpec, train: DataFrame, test: DataFrame, keep: list) -> DataFrame:
-    """ML1: fit on train, score test → keep + p + prediction (p ≥ 0.5)."""
-    model = fit(spec, train)
-    out = positive_probability(model.transform(test.select(*keep, *spec.features(), spec.label)))
-    return out.select(*keep, spec.label, "p", (F.col("p") >= 0.5).cast("int").alias("prediction"))
+    """ML1: fit on train, score test (see ``predicted``)."""
+    return predicted(spec, fit(spec, train), test, keep)
 
 
 def gbt_model(model: PipelineModel):
     return model.stages[-1]
 
 
+def rounds_used(model) -> int:
+    return len(model.boosted.rounds) if isinstance(model, SoftmaxModel) else gbt_model(model).getNumTrees
+
+
+def fold_rows(spec: ModelSpec, df: DataFrame, row_id: str, k: int, seed: int) -> DataFrame:
+    """Seeded folds, balanced by label unless the label is a number to predict."""
+    if spec.task == "regression":
+        return plain_folds(df, row_id, k, seed)
+    return stratified_folds(df, row_id, spec.label, k, seed)
+
+
+def hold_out(spec: ModelSpec, df: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
+    """A 20 % test side, balanced by label unless the label is a number to predict."""
+    return stratified_split(df, row_id, None if spec.task == "regression" else spec.label, 2, seed)
+
+
 def early_stopped(spec: ModelSpec, df: DataFrame, row_id: str, seed: int = 42):
     """ML2: hold out 20 % (stratified) as validation; boosting stops when the
     validation loss stops improving; returns the model and rounds used."""
-    s = stratified_split(df, row_id, spec.label, 2, seed).withColumn("is_val", F.col("split") == "test")
+    s = hold_out(spec, df, row_id, seed).withColumn("is_val", F.col("split") == "test")
     model = fit(spec, s, "is_val")
-    return model, gbt_model(model).getNumTrees, s
+    return model, rounds_used(model), s
 
 
 def loss_curve(spec: ModelSpec, df: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
@@ -119,7 +184,7 @@ def cross_val_oof(spec: ModelSpec, df: DataFrame, row_id: str, k: int = 3, seed:
     """Seeded stratified folds; each fold scored by a model fitted on the others;
     the out-of-fold rows cover every row exactly once.  The fold table is cut in
     the shared folder, so nothing stays cached after the call."""
-    f = cut_lineage(stratified_folds(df, row_id, spec.label, k, seed).select(row_id, "fold", *spec.features(), spec.label))
+    f = cut_lineage(fold_rows(spec, df, row_id, k, seed).select(row_id, "fold", *spec.features(), spec.label))
 
     def one(i):
         return fit_predict(spec, f.where(F.col("fold") != i), f.where(F.col("fold") == i), [row_id, "fold"])
@@ -136,13 +201,25 @@ def cross_val_oof(spec: ModelSpec, df: DataFrame, row_id: str, k: int = 3, seed:
 def score_table(scored: DataFrame, label: str, metric: str) -> float:
     """A metric of scored rows (``p``, ``prediction``); higher is better."""
     rows = scored.withColumnRenamed(label, "y")
+    if metric == "log_loss" and "probabilities" in rows.columns:
+        p = F.get("probabilities", F.col("y").cast("int"))
+        return -rows.agg(F.avg(-F.ln(F.greatest(p, F.lit(B.EPS))))).first()[0]
     if metric == "log_loss":
         return -MT.log_loss(rows).first()["log_loss"]
     if metric == "auc":
         return MT.roc_auc(rows).first()["roc_auc"]
     if metric == "accuracy":
-        return MT.classification_metrics(rows).first()["accuracy"]
-    raise ValueError(f"metric {metric!r}: choose log_loss, auc or accuracy")
+        return rows.agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
+    if metric == "r2":
+        return MT.r2_score(rows, "y", "prediction").first()["r2"]
+    if metric == "rmse":
+        return -MT.rmse(rows, "y", "prediction").first()["rmse"]
+    raise ValueError(f"metric {metric!r}: choose log_loss, auc, accuracy, r2 or rmse")
+
+
+def loss_metric(spec: ModelSpec) -> str:
+    """The metric that a search minimises."""
+    return "rmse" if spec.task == "regression" else "log_loss"
 
 
 def refit(spec: ModelSpec, df: DataFrame, row_id: str, seed: int = 42) -> tuple[PipelineModel, int]:
@@ -158,7 +235,7 @@ def nested_evaluation(spec: ModelSpec, df: DataFrame, row_id: str, path: str, ou
     eliminate features down to ``n_features``, refit with early stopping, and score
     the fold.  Each fold's rows are written under ``path`` as they are made (SNK2) and
     read back: (out-of-fold rows, one row of choices a fold)."""
-    folds = cut_lineage(stratified_folds(df, row_id, spec.label, outer, seed).select(row_id, "fold", *spec.features(), spec.label))
+    folds = cut_lineage(fold_rows(spec, df, row_id, outer, seed).select(row_id, "fold", *spec.features(), spec.label))
     choices = []
     for i in range(outer):
         train = folds.where(F.col("fold") != i).drop("fold")
@@ -168,12 +245,13 @@ def nested_evaluation(spec: ModelSpec, df: DataFrame, row_id: str, path: str, ou
             dropped = {r["dropped"] for r in rfe(chosen, train, n_features).collect()}
             chosen = chosen.with_features([f for f in chosen.features() if f not in dropped])
         model, rounds = refit(chosen, train, row_id, seed + i)
-        out = positive_probability(model.transform(folds.where(F.col("fold") == i))).select(
-            row_id, spec.label, "p", (F.col("p") >= 0.5).cast("int").alias("prediction"))
+        out = predicted(chosen, model, folds.where(F.col("fold") == i), [row_id])
         out.write.mode("overwrite").parquet(f"{path}/fold={i}")
         choices.append((i, ",".join(chosen.features()), rounds, best["maxDepth"], best["stepSize"], best["subsamplingRate"]))
     spark = df.sparkSession
-    kinds = f"{row_id} {dict(df.dtypes)[row_id]}, {spec.label} {dict(df.dtypes)[spec.label]}, p double, prediction int, fold int"
+    score = {"binary": "p double, prediction int", "regression": "prediction double",
+             "multiclass": "probabilities array<double>, prediction int"}[spec.task]
+    kinds = f"{row_id} {dict(df.dtypes)[row_id]}, {spec.label} {dict(df.dtypes)[spec.label]}, {score}, fold int"
     return (spark.read.schema(kinds).parquet(path),
             spark.createDataFrame(choices, "fold int, features string, rounds int, maxDepth int, stepSize double, "
                                            "subsamplingRate double"))
@@ -196,26 +274,28 @@ def sample_params(n: int, seed: int = 42, space: dict = SEARCH_SPACE) -> list[di
 
 def param_search(spec: ModelSpec, df: DataFrame, row_id: str, n_trials: int = 3, k: int = 2,
                  seed: int = 42) -> DataFrame:
-    """ML5: each trial = mean inner-fold log loss of one sampled parameter set."""
+    """ML5: each trial = loss over the inner folds of one sampled parameter set: log
+    loss, for regression the root of the mean squared error (column ``loss``)."""
     rows = []
     for t, params in enumerate(sample_params(n_trials, seed)):
         oof = cross_val_oof(spec.with_params(**params), df, row_id, k, seed)
-        loss = MT.log_loss(oof.withColumnRenamed(spec.label, "y")).first()["log_loss"]
+        loss = -score_table(oof, spec.label, loss_metric(spec))
         rows.append((t, params["maxIter"], params["maxDepth"], params["stepSize"], params["subsamplingRate"],
                      float(loss)))
     return df.sparkSession.createDataFrame(
-        rows, "trial int, maxIter int, maxDepth int, stepSize double, subsamplingRate double, log_loss double")
+        rows, "trial int, maxIter int, maxDepth int, stepSize double, subsamplingRate double, "
+              f"{'loss' if spec.task == 'regression' else 'log_loss'} double")
 
 
 def best_params(trials: DataFrame) -> dict:
     """TOP7 on a trial table: minimum loss (ties → first trial)."""
-    r = trials.orderBy("log_loss", "trial").first()
+    r = trials.orderBy(trials.columns[-1], "trial").first()
     return {"maxIter": int(r["maxIter"]), "maxDepth": int(r["maxDepth"]), "stepSize": float(r["stepSize"]),
             "subsamplingRate": float(r["subsamplingRate"])}
 
 
 def importances(spec: ModelSpec, model: PipelineModel) -> list[tuple[str, float]]:
-    imp = gbt_model(model).featureImportances.toArray()
+    imp = model.boosted.importances() if isinstance(model, SoftmaxModel) else gbt_model(model).featureImportances.toArray()
     names = list(spec.numeric) + list(spec.categorical)
     return sorted(zip(names, [float(v) for v in imp]), key=lambda t: (-t[1], t[0]))
 
@@ -252,35 +332,46 @@ def forward_selection(spec: ModelSpec, df: DataFrame, row_id: str, threshold: fl
         oof = cut_lineage(cross_val_oof(spec.with_features(chosen + new), df, row_id, k, seed))
         score = sum(score_table(oof.where(F.col("fold") == i), spec.label, metric) for i in range(k)) / k
         keep = score - best >= threshold
-        rows.extend((f, float(-score if metric == "log_loss" else score), keep) for f in new)
+        rows.extend((f, float(-score if metric in ("log_loss", "rmse") else score), keep) for f in new)
         if not keep:
             break
         chosen, best = chosen + new, score
     return df.sparkSession.createDataFrame(rows, f"feature string, cv_{metric} double, kept boolean")
 
 
-def permutation_importance(model: PipelineModel, spec: ModelSpec, df: DataFrame, row_id: str,
-                           seed: int = 7, n_repeats: int = 1) -> DataFrame:
-    """ML12: mean loss increase over ``n_repeats`` permutations of each column.  The permutation pairs each
-    row's rank under one hash with the row holding the same rank under another
-    hash: an equi-join on the rank, so no row moves through the driver."""
-    from touchline.operators.ordinal import row_number0
-    base = df.select(row_id, *spec.features(), spec.label)
-    # one ranking a permutation, not one a feature
-    ra, *others = [cut_lineage(row_number0(base.withColumn("__h", F.xxhash64(row_id, F.lit(seed + i))), [], ["__h", row_id],
-                                           "__r", method="hash")) for i in range(n_repeats + 1)]
-    ref = MT.log_loss(positive_probability(model.transform(base)).withColumnRenamed(spec.label, "y")) \
-        .first()["log_loss"]
-    rows = []
-    for f in spec.features():
-        losses = []
-        for rb in others:
-            donor = rb.select("__r", F.col(f).alias("__v"))
-            perm = ra.drop("__h").join(donor, "__r").drop(f).withColumnRenamed("__v", f)
-            losses.append(MT.log_loss(positive_probability(model.transform(perm)).withColumnRenamed(spec.label, "y"))
-                          .first()["log_loss"])
-        rows.append((f, float(sum(losses) / len(losses) - ref)))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double")
+def oof_margins(spec: ModelSpec, df: DataFrame, row_id: str, k: int = 5, seed: int = 42, out: str = "margin") -> DataFrame:
+    """FE15: (row_id, fold, ``out``): each row's margin from a base model fitted on the
+    other folds: log odds, for regression the prediction, for more classes an array.
+    A later model starts from it (``boosting``) without having seen the row's label."""
+    f = cut_lineage(fold_rows(spec, df, row_id, k, seed).select(row_id, "fold", *spec.features(), spec.label))
+    parts = None
+    for i in range(k):
+        scored = fit(spec, f.where(F.col("fold") != i)).transform(f.where(F.col("fold") == i))
+        # MLlib's raw score of two classes is half their log odds
+        margin = {"binary": lambda: 2.0 * vector_to_array("rawPrediction")[1], "regression": lambda: F.col("prediction"),
+                  "multiclass": lambda: F.col("margins")}[spec.task]()
+        part = scored.select(row_id, "fold", margin.alias(out))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def permutation_importance(model, spec: ModelSpec, df: DataFrame, row_id: str, seed: int = 7, n_repeats: int = 1) -> DataFrame:
+    """ML12: mean loss increase over ``n_repeats`` permutations of each column.  All
+    columns and repeats are scored in one scan (``boosting.permutation_losses``)."""
+    obj = spec.objective()
+    if isinstance(model, SoftmaxModel):
+        stages, score = model.stages, model.boosted.transform
+    else:
+        stages, gbt = PipelineModel(model.stages[:-1]), gbt_model(model)
+
+        def score(rows):
+            raw = gbt.transform(rows)
+            return raw.withColumn("margins", F.array(F.col("prediction") if spec.task == "regression" else 2.0 * vector_to_array("rawPrediction")[1]))
+    rows = stages.transform(df.select(row_id, *spec.features(), spec.label)).select(row_id, spec.label, "features")
+    losses = B.permutation_losses(rows, score, obj, spec.label, row_id, len(spec.features()), n_repeats, seed)
+    means = {r["feature"]: r["loss"] for r in losses.groupBy("feature").agg(F.avg("loss").alias("loss")).collect()}
+    return df.sparkSession.createDataFrame([(f, float(means[i] - means[-1])) for i, f in enumerate(spec.features())],
+                                           "feature string, importance double")
 
 
 def batch_score(model: PipelineModel, df: DataFrame, keep: list, model_name: str) -> DataFrame:

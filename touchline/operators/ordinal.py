@@ -86,14 +86,16 @@ def log_bucket(c: Column, sub: int = 64) -> Column:
 def prefix_sum(df: DataFrame, partition_cols: list[str], order_cols: list[str],
                weights: dict[str, Column | str] | None = None, descending: bool = False,
                n_buckets: int | None = DEFAULT_BUCKETS, inclusive: bool = False,
-               method: str = "quantile") -> DataFrame:
+               method: str = "quantile", totals: dict[str, str] | None = None) -> DataFrame:
     """Add, for every row, the sum of each weight over the rows of its partition
     that come before it in ``order_cols`` order (exclusive unless ``inclusive``).
 
     ``order_cols[0]`` must be numeric; the full ``order_cols`` must order rows of a
     partition uniquely (pre-aggregate ties).  ``weights`` maps output column →
     weight expression; without weights the output ``rank0`` is the 0-based row
-    number.  Null order values sort last; null partition keys are kept.
+    number.  Null order values sort last; null partition keys are kept.  ``totals``
+    maps further output columns to weights: the weight's sum over the whole
+    partition, taken from the bucket totals (no join on the bare key).
     """
     weights = dict(weights or {"rank0": F.lit(1)})
     n_buckets = n_buckets or bucket_count(df.sparkSession)
@@ -108,11 +110,13 @@ def prefix_sum(df: DataFrame, partition_cols: list[str], order_cols: list[str],
     else:
         raise ValueError(f"unknown method {method!r}")
     part = list(partition_cols)
-    totals = tmp.groupBy(*part, "__b").agg(*[F.sum(c).alias(c) for c in wcols.values()])
+    sums = tmp.groupBy(*part, "__b").agg(*[F.sum(c).alias(c) for c in wcols.values()])
+    whole = {out: wcols[name] for out, name in (totals or {}).items()}
     wb = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    offsets = sums.select(
         *[F.col(c).alias(f"__p{i}") for i, c in enumerate(part)], F.col("__b").alias("__ob"),
-        *[F.coalesce(F.sum(c).over(wb), F.lit(0)).alias(f"{c}_off") for c in wcols.values()])
+        *[F.coalesce(F.sum(c).over(wb), F.lit(0)).alias(f"{c}_off") for c in wcols.values()],
+        *[F.sum(c).over(Window.partitionBy(*part)).alias(f"__total_{out}") for out, c in whole.items()])
     same = F.col("__b") == F.col("__ob")
     for i, c in enumerate(part):
         same = same & F.col(c).eqNullSafe(F.col(f"__p{i}"))
@@ -121,7 +125,8 @@ def prefix_sum(df: DataFrame, partition_cols: list[str], order_cols: list[str],
     end = Window.currentRow if inclusive else -1
     wi = Window.partitionBy(*part, "__b").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, end)
     return joined.select(*df.columns, *[
-        (F.col(f"{wc}_off") + F.coalesce(F.sum(wc).over(wi), F.lit(0))).alias(name) for name, wc in wcols.items()])
+        (F.col(f"{wc}_off") + F.coalesce(F.sum(wc).over(wi), F.lit(0))).alias(name) for name, wc in wcols.items()],
+        *[F.col(f"__total_{out}").alias(out) for out in whole])
 
 
 def row_number0(df: DataFrame, partition_cols: list[str], order_cols: list[str], out: str = "rank0",

@@ -9,12 +9,15 @@ Quantiles are exact and skew-safe (prefix counts over distinct values, see
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.ordinal import prefix_sum
 from touchline.session import cut_lineage
 
+#: A lookup of at most this many narrow rows, counted first, is broadcast.
+BROADCAST_ROWS = 200_000
+
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row, as scalar subqueries: no
@@ -23,6 +26,11 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
 
 
+def broadcast_if_counted(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``table`` with a broadcast hint once its counted rows are few."""
+    return F.broadcast(table) if table.count() <= limit else table
+
+
 def melt(df: DataFrame, cols: list[str], ids: list[str] = (), value_type: str = "double") -> DataFrame:
     return df.select(*ids, *[F.col(c).cast(value_type).alias(c) for c in cols]) \
         .unpivot(list(ids), cols, "column", "value")
@@ -42,9 +50,7 @@ def grouped_quantiles(df: DataFrame, key: str, val: str, qs: list[float], linear
     w = F.sum(weight) if weight else F.count(F.lit(1))
     cnt = cut_lineage(df.where(F.col(key).isNotNull() & F.col(val).isNotNull())
                       .groupBy(key, val).agg(w.alias("__c")))     # read for cut points, totals and ranks
-    pre = prefix_sum(cnt, [key], [val], {"__less": F.col("__c")})
-    tot = cnt.groupBy(key).agg(F.sum("__c").alias("__n"))
-    pre = pre.join(tot, key)                          # one row per key on the right
+    pre = prefix_sum(cnt, [key], [val], {"__less": F.col("__c")}, totals={"__n": "__less"})
     qarr = F.array(*[F.lit(float(q)) for q in qs])
     lo, hi = F.col("__less"), F.col("__less") + F.col("__c") - 1
 
@@ -72,12 +78,18 @@ def value_shares(df: DataFrame, col: str) -> DataFrame:
 
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """AGG15: count, null count, mean, std, min, quartiles (linear), max per column."""
-    long = melt(df, cols)
-    base = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.sum(F.col("value").isNull().cast("long")).alias("null_count"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = grouped_quantiles(long, "column", "value", [0.25, 0.5, 0.75])
+    # rows are read once: everything else comes from the counts of the distinct values
+    counts = cut_lineage(melt(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c")))
+    real = F.when(F.col("value").isNotNull(), F.col("c"))
+    base = counts.groupBy("column").agg(
+        F.coalesce(F.sum(real), F.lit(0)).alias("count"),
+        F.sum(F.when(F.col("value").isNull(), F.col("c")).otherwise(0)).alias("null_count"),
+        F.try_divide(F.sum(real * F.col("value")), F.sum(real)).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    centred = counts.join(F.broadcast(base.select("column", "mean", "count")), "column")     # a row per listed column
+    spread = centred.groupBy("column").agg(F.sqrt(F.try_divide(
+        F.sum(F.col("c") * F.pow(F.col("value") - F.col("mean"), 2)), F.nullif(F.first("count") - 1, F.lit(0)))).alias("std"))
+    base = base.join(F.broadcast(spread), "column").select("column", "count", "null_count", "mean", "std", "min", "max")
+    q = grouped_quantiles(counts, "column", "value", [0.25, 0.5, 0.75], weight="c")
     qw = q.groupBy("column").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value"))
     qw = qw.toDF("column", "q25", "q50", "q75")
     return base.join(qw, "column", "left")
@@ -150,10 +162,11 @@ def mutual_info_discrete(df: DataFrame, features: list[str], label: str) -> Data
 
 
 def _mi_from_counts(xy: DataFrame, label: str) -> DataFrame:
+    xy = cut_lineage(xy)
     x = xy.groupBy("column", "value").agg(F.sum("nxy").alias("nx"))
     y = xy.groupBy("column", label).agg(F.sum("nxy").alias("ny"))
-    n = xy.groupBy("column").agg(F.sum("nxy").alias("n"))
-    j = xy.join(x, ["column", "value"]).join(y, ["column", label]).join(n, "column")
+    n = xy.groupBy("column").agg(F.sum("nxy").alias("n"))     # a row per listed column
+    j = xy.join(x, ["column", "value"]).join(broadcast_if_counted(y), ["column", label]).join(F.broadcast(n), "column")
     term = (F.col("nxy") / F.col("n")) * F.ln(
         F.col("nxy").cast("double") * F.col("n") / (F.col("nx").cast("double") * F.col("ny")))
     return j.groupBy("column").agg(F.sum(term).alias("mutual_info"))
@@ -195,9 +208,18 @@ def profile_columns(df: DataFrame, cols: list[str], label: str | None = None,
     return out
 
 
-def init_scores(df: DataFrame, label: str, by: list[str] = ()) -> DataFrame:
-    """AGG33 binary: logit of the positive rate (the boosting start margin)."""
+def init_scores(df: DataFrame, label: str, by: list[str] = (), task: str = "binary") -> DataFrame:
+    """AGG33, where boosting starts: the logit of the positive rate; for regression the
+    mean; for more classes one row a class with its share and the log of it."""
     m = F.avg(F.col(label).cast("double"))
+    if task == "regression":
+        return df.groupBy(*by).agg(m.alias("mean_label"), m.alias("init_score"))
+    if task == "multiclass":
+        counts = df.where(F.col(label).isNotNull()).groupBy(*by, F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+        whole = F.sum("n").over(Window.partitionBy(*by))      # over the few class counts
+        return counts.select(*by, "class", (F.col("n") / whole).alias("prior"), F.ln(F.col("n") / whole).alias("init_score"))
+    if task != "binary":
+        raise ValueError(f"task {task!r}: choose binary, multiclass or regression")
     return df.groupBy(*by).agg(m.alias("mean_label"), F.ln(m / (F.lit(1.0) - m)).alias("init_score"))
 
 
@@ -246,7 +268,7 @@ def mutual_info_knn(df: DataFrame, feature: str, label: str, k: int = 3, row_id:
                      *( [F.col(row_id)] if row_id else [F.monotonically_increasing_id().alias("__rid")]))
     base = base.where(F.col("x").isNotNull() & F.col("lab").isNotNull())
     nl = base.groupBy("lab").agg(F.count(F.lit(1)).alias("n_lab"))
-    base = base.join(F.broadcast(nl.where(F.col("n_lab") > 1)), "lab")     # one row per label value
+    base = base.join(broadcast_if_counted(nl.where(F.col("n_lab") > 1)), "lab")
     ranked = row_number0(base, ["lab"], ["x", rid], out="r")
     offs = F.array(*[F.lit(o) for o in range(-k, k + 1) if o != 0])
     look = ranked.select(rid, "lab", "x", "r", "n_lab", F.explode(offs).alias("o")) \
