@@ -355,6 +355,26 @@ def oof_margins(spec: ModelSpec, df: DataFrame, row_id: str, k: int = 5, seed: i
     return parts
 
 
+def oof_group_margins(df: DataFrame, row_id: str, key: str, label: str, k: int = 5, seed: int = 42, smoothing: float = 1.0,
+                      out: str = "margin") -> DataFrame:
+    """FE15 with the simplest base model: ``df`` with its ``fold`` and the log odds of the
+    row's ``key`` among the other folds' labels, ``smoothing`` rows added to each side.
+    A null key is a group of its own; a key of one fold only starts from even odds.
+    One count table of keys and folds is joined, broadcast if it is counted small."""
+    from pyspark.sql import Window
+
+    from touchline.operators.stats import broadcast_if_counted
+    rows = stratified_folds(df, row_id, label, k, seed)
+    y = F.col(label).cast("double")
+    sums = rows.groupBy(F.col(key).alias("__key"), F.col("fold").alias("__fold")).agg(F.coalesce(F.sum(y), F.lit(0.0)).alias("__pos"),
+                                                                                     F.count(y).alias("__n"))
+    group = Window.partitionBy("__key")       # at most k rows a key
+    pos, n = F.sum("__pos").over(group) - F.col("__pos"), F.sum("__n").over(group) - F.col("__n")
+    table = cut_lineage(sums.select("__key", "__fold", F.ln((pos + smoothing) / (n - pos + smoothing)).alias(out)))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("fold") == F.col("__fold"))
+    return rows.join(broadcast_if_counted(table), same, "left").drop("__key", "__fold")
+
+
 def permutation_importance(model, spec: ModelSpec, df: DataFrame, row_id: str, seed: int = 7, n_repeats: int = 1) -> DataFrame:
     """ML12: mean loss increase over ``n_repeats`` permutations of each column.  All
     columns and repeats are scored in one scan (``boosting.permutation_losses``)."""

@@ -159,19 +159,7 @@ def q_oof_margin_rows(spark, sf):
 @register("oof_margin")
 def q_oof_margin(spark, sf):
     """FE15: out-of-fold raw margins of a base model (the boosting start score for generated features)."""
-    from pyspark.ml.functions import vector_to_array
     from touchline.operators import modeling as ML
-    from touchline.operators.folds import stratified_folds
-    from touchline.session import cut_lineage
     df = pass_geometry(preprocess_passes(V.passes(spark, sf))).withColumn("outcome", F.col("outcome").cast("double"))
     spec = ML.ModelSpec(BASE_NUM, ["height"], "outcome", {"maxIter": 10, "maxDepth": 3, "stepSize": 0.2})
-    f = cut_lineage(stratified_folds(df, "pass_id", "outcome", 5, seed=42))
-    parts = []
-    for i in range(5):
-        m = ML.fit(spec, f.where(F.col("fold") != i))
-        parts.append(m.transform(f.where(F.col("fold") == i).select("pass_id", "fold", *spec.features(), "outcome"))
-                     .select("pass_id", "fold", vector_to_array("rawPrediction")[1].alias("margin")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return ML.oof_margins(spec, df, "pass_id", k=5, seed=42)

@@ -48,4 +48,4 @@ def register(name: str, oracle: str | None = None, views: tuple = (), dbl: tuple
 def load_all() -> None:
     """Import every plan module so their registrations run."""
     from touchline.plans import (  # noqa: F401
-        q_events, q_passes, q_formula, q_stats, q_runs, q_metrics, q_models, q_density, q_io, q_autofe)
+        q_events, q_passes, q_formula, q_stats, q_runs, q_metrics, q_models, q_density, q_io, q_autofe, q_boosting)
