@@ -78,10 +78,9 @@ class Softmax:
         return [math.log(max(s or 0.0, EPS)) for s in shares]
 
     def probabilities(self, m: list[Column]) -> list[Column]:
-        top = F.greatest(*m)
-        powers = [F.exp(x - top) for x in m]
-        total = sum(powers[1:], powers[0])
-        return [p / total for p in powers]
+        """1 / sum(exp(m_j - m_k)): every margin is named once a class, and no power of a
+        high margin overflows into a wrong share (its inverse is then 0)."""
+        return [1.0 / sum((F.exp(F.least(x - y, F.lit(700.0))) for j, x in enumerate(m) if j != k), F.lit(1.0)) for k, y in enumerate(m)]
 
     def steps(self, y: Column, m: list[Column]) -> list[tuple[Column, Column]]:
         return [((y == k).cast("double") - p, p * (1.0 - p)) for k, p in enumerate(self.probabilities(m))]
@@ -138,18 +137,21 @@ class Boosted:
     rounds: list = field(default_factory=list)
     losses: list = field(default_factory=list)      # (train, validation) after each round
 
-    def add_round(self, df: DataFrame, trees: list, margins: str = "margins") -> DataFrame:
-        for k, tree in enumerate(trees):
-            df = tree.setPredictionCol(f"__t{k}").transform(df)
-        return df.withColumn(margins, F.array(*[F.col(margins)[k] + self.step * F.col(f"__t{k}") for k in range(len(trees))])) \
-            .drop(*[f"__t{k}" for k in range(len(trees))])
+    def add_rounds(self, df: DataFrame, rounds: list, margins: str = "margins") -> DataFrame:
+        """All trees predict side by side and one column adds them up, so the plan stays
+        flat; ``zip_with`` keeps the optimizer from repeating the sums at every use."""
+        names = [[f"__t{r}_{k}" for k in range(len(trees))] for r, trees in enumerate(rounds)]
+        for trees, columns in zip(rounds, names):
+            for tree, c in zip(trees, columns):
+                df = tree.setPredictionCol(c).transform(df)
+        if not rounds:
+            return df
+        sums = F.array(*[sum((F.col(c) for c in column[1:]), F.col(column[0])) for column in zip(*names)])
+        return df.withColumn(margins, F.zip_with(margins, sums, lambda m, t: m + self.step * t)).drop(*[c for n in names for c in n])
 
     def transform(self, df: DataFrame, margins: str = "margins") -> DataFrame:
         """``df`` (with ``features``) and its margins."""
-        out = with_start(df, self.objective, self.start, self.priors, margins)
-        for trees in self.rounds:
-            out = self.add_round(out, trees, margins)
-        return out
+        return self.add_rounds(with_start(df, self.objective, self.start, self.priors, margins), self.rounds, margins)
 
     def importances(self) -> list[float]:
         """Mean over the trees of each feature's share of the tree's gain."""
@@ -175,18 +177,20 @@ def boost(df: DataFrame, obj, label: str, rounds: int = 20, depth: int = 4, step
     y, best = F.col("__y"), (math.inf, 0)
     if not state.where("not __valid").limit(1).count():
         return model
+    held = []       # cached states: a lost block is computed anew from the last cut
     for r in range(rounds):
         steps = obj.steps(y, margin_columns(obj))
         hessians = [F.greatest(h, F.lit(LEAST_HESSIAN)) for _, h in steps]
         train = state.where("not __valid").select(
-            "features", *[c for k, ((g, _), h) in enumerate(zip(steps, hessians)) for c in ((g / h).alias(f"__r{k}"), h.alias(f"__h{k}"))]).persist()
+            "features", *[c for k, ((g, _), h) in enumerate(zip(steps, hessians)) for c in ((g / h).alias(f"__r{k}"), h.alias(f"__h{k}"))])
         trees = [DecisionTreeRegressor(featuresCol="features", labelCol=f"__r{k}", weightCol=f"__h{k}", maxDepth=depth,
                                        maxBins=MAX_BINS, seed=seed, minInfoGain=least_gain).fit(train) for k in range(obj.width)]
-        train.unpersist()
         model.rounds.append(trees)
-        state = model.add_round(state, trees)
-        if (r + 1) % CUT_EVERY == 0:
-            state = cut_lineage(state)
+        while len(held) > 1:
+            held.pop(0).unpersist()
+        state = model.add_rounds(state, [trees])
+        state = cut_lineage(state) if (r + 1) % CUT_EVERY == 0 else state.persist()
+        held.append(state)
         if patience:
             means = {x["__valid"]: x["loss"] for x in
                      state.groupBy("__valid").agg(F.avg(obj.loss(y, margin_columns(obj))).alias("loss")).collect()}
@@ -196,6 +200,8 @@ def boost(df: DataFrame, obj, label: str, rounds: int = 20, depth: int = 4, step
                 best = (loss, r + 1)
             elif r + 1 - best[1] >= patience:
                 break
+    for h in held:
+        h.unpersist()
     if patience and model.rounds:
         model.rounds = model.rounds[:best[1]]
     return model

@@ -352,7 +352,7 @@ def oof_margins(spec: ModelSpec, df: DataFrame, row_id: str, k: int = 5, seed: i
                   "multiclass": lambda: F.col("margins")}[spec.task]()
         part = scored.select(row_id, "fold", margin.alias(out))
         parts = part if parts is None else parts.unionByName(part)
-    return parts
+    return cut_lineage(parts)       # read many times by what starts from it
 
 
 def oof_group_margins(df: DataFrame, row_id: str, key: str, label: str, k: int = 5, seed: int = 42, smoothing: float = 1.0,
