@@ -58,3 +58,25 @@ def test_formula_text_roundtrip():
         assert parse_formula(t).text() == t
     n = parse_formula("GroupByThenMean((a*b),k)")
     assert n.is_stateful() and n.children[0].is_rowwise()
+
+
+def test_nested_formulas_are_fitted_level_by_level(spark, tmp_path):
+    from touchline.operators.formula import FittedFormulas, fold_features
+    train = spark.createDataFrame([(0, "A", "x", 2.0), (1, "B", "x", 4.0), (2, "A", "y", 6.0), (3, None, "y", 8.0)],
+                                  "rid int, a string, b string, v double")
+    test = spark.createDataFrame([(0, "B", "x", 1.0), (1, "Q", "y", 1.0), (2, "A", "z", 1.0)], "rid int, a string, b string, v double")
+    nested = ["GroupByThenMean(freq(a),b)", "(GroupByThenMean(freq(a),b)-freq(a))", "(v+v)", "GroupByThenMax((v*freq(a)),b)"]
+    for materialize in (False, True):
+        model = FormulaEncoder(nested).fit(train, materialize)
+        rows = model.transform(test).orderBy("rid").collect()
+        # x: counts 2 and 1; y: 2 (the row without a has none)
+        assert [r[nested[0]] for r in rows] == [1.5, 2.0, None]
+        assert [r[nested[1]] for r in rows] == [0.5, None, None]
+        assert [r[nested[2]] for r in rows] == [2.0, 2.0, 2.0]
+        assert [r[nested[3]] for r in rows] == [4.0, 12.0, None]
+    model.save(str(tmp_path / "m"))
+    again = FittedFormulas.load(spark, str(tmp_path / "m")).transform(test).orderBy("rid").collect()
+    assert again == rows
+    folds = train.withColumn("fold", F.col("rid") % 2)
+    out = fold_features(folds, ["freq(a)"], "rid", 2, keep=["v"]).orderBy("rid").collect()
+    assert [(r.rid, r["freq(a)"], r.v) for r in out] == [(0, None, 2.0), (1, None, 4.0), (2, None, 6.0), (3, None, 8.0)]

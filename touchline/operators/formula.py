@@ -343,40 +343,77 @@ def _lookup_join(left: DataFrame, table: DataFrame, on: list[str], n_rows: int |
 
 # ---- fitted form (train → apply) -------------------------------------------------------
 
+def stateful_nodes(formulas) -> list[Node]:
+    """The stateful nodes of all formulas, each once, inner ones before those that use them."""
+    found: dict[str, Node] = {}
+    for f in formulas:
+        _walk(as_node(f), found)
+    return sorted((n for n in found.values() if n.op in STATEFUL_OPERATORS), key=_depth)
+
+
+def _fit_node(n: Node, base: DataFrame, order_col: str | None) -> tuple[list[str], DataFrame]:
+    """(key columns, lookup table with ``value``) of a stateful node whose arguments are
+    the columns ``__k0`` and ``__k1``."""
+    both = F.col("__k0").isNotNull() & F.col("__k1").isNotNull() if len(n.children) > 1 else None
+    if n.op == "freq":
+        keys, rows, value = ["__k0"], base.where(F.col("__k0").isNotNull()), F.count(F.lit(1))
+    elif n.op == "CombineThenFreq":
+        keys, rows, value = ["__k0", "__k1"], base.where(both), F.count(F.lit(1))
+    elif n.op == "GroupByThenFreq":
+        keys, rows, value = ["__k1", "__k0"], base.where(both), F.count(F.lit(1))
+    elif n.op == "Combine":
+        if not order_col:
+            raise ValueError("Combine needs an explicit row order column")
+        return ["__k0", "__k1"], combine_ids(base, "__k0", "__k1", order_col, "value")
+    elif n.op == "GroupByThenMedian":
+        return ["__k1"], grouped_median(base, "__k1", "__k0", "value")
+    elif n.op == "GroupByThenRank":
+        raise ValueError("GroupByThenRank has no fitted form; use derive_features")
+    else:
+        fn = {"GroupByThenMin": F.min, "GroupByThenMax": F.max, "GroupByThenMean": F.avg,
+              "GroupByThenStd": F.stddev_samp, "GroupByThenNUnique": F.count_distinct}[n.op]
+        keys, rows, value = ["__k1"], base.where(F.col("__k1").isNotNull()), fn(F.col("__k0"))
+    return keys, rows.groupBy(*keys).agg(value.cast("double").alias("value"))
+
+
 @dataclass
 class FittedFormulas:
-    """State learned by ``FormulaEncoder.fit``: one lookup table per stateful formula."""
+    """State learned by ``FormulaEncoder.fit``: one lookup table per stateful node, in
+    the order in which they are applied."""
     formulas: list
-    tables: dict = field(default_factory=dict)      # formula text → DataFrame
-    keys: dict = field(default_factory=dict)        # formula text → key columns
-    sizes: dict = field(default_factory=dict)       # formula text → row count
+    tables: dict = field(default_factory=dict)      # node text → DataFrame
+    keys: dict = field(default_factory=dict)        # node text → key columns
+    sizes: dict = field(default_factory=dict)       # node text → row count
     names: dict = field(default_factory=dict)
 
+    def resolve(self, n: Node):
+        """The column that holds an applied node."""
+        place = list(self.tables).index(n.text()) if n.text() in self.tables else None
+        return None if place is None else F.col(f"__s{place}")
+
+    def apply_node(self, df: DataFrame, n: Node) -> DataFrame:
+        """``df`` with the node's lookup column."""
+        t = n.text()
+        out = f"__s{list(self.tables).index(t)}"
+        kids = [f"__k{i}" for i in range(len(n.children))]
+        cur = df.select("*", *[rowwise_column(c, self.resolve).alias(k) for c, k in zip(n.children, kids)])
+        cur = _lookup_join(cur, self.tables[t].withColumnRenamed("value", out), self.keys[t], self.sizes.get(t))
+        if n.op == "Combine":
+            cur = cur.withColumn(out, F.coalesce(F.col(out), F.lit(-1.0)))
+        return cur.drop(*kids)
+
     def transform(self, df: DataFrame) -> DataFrame:
         cur = df
-        row_cols = []
-        for f in self.formulas:
-            n = as_node(f)
-            t = n.text()
-            name = self.names.get(t, t)
-            if n.op not in STATEFUL_OPERATORS:
-                row_cols.append(S.finite_or_null(rowwise_column(n)).alias(name))
-                continue
-            kids = [f"__k{i}" for i in range(len(n.children))]
-            cur = cur.select("*", *[rowwise_column(c).alias(k) for c, k in zip(n.children, kids)])
-            keys = self.keys[t]
-            tab = self.tables[t].withColumnRenamed("value", name)
-            cur = _lookup_join(cur, tab, keys, self.sizes.get(t))
-            if n.op == "Combine":
-                cur = cur.withColumn(name, F.coalesce(F.col(f"`{name}`"), F.lit(-1.0)))
-            cur = cur.drop(*kids)
-        return cur.select("*", *row_cols) if row_cols else cur
+        for n in stateful_nodes(self.formulas):
+            cur = self.apply_node(cur, n)
+        roots = [as_node(f) for f in self.formulas]
+        values = [self.resolve(n) if n.op in STATEFUL_OPERATORS else S.finite_or_null(rowwise_column(n, self.resolve)) for n in roots]
+        return cur.select(*[F.col(f"`{c}`") for c in df.columns],
+                          *[v.alias(self.names.get(n.text(), n.text())) for n, v in zip(roots, values)])
 
     def save(self, path: str) -> None:
-        for i, f in enumerate(self.formulas):
-            t = as_node(f).text()
-            if t in self.tables:
-                self.tables[t].write.mode("overwrite").parquet(os.path.join(path, f"t{i}"))
+        for i, t in enumerate(self.tables):
+            self.tables[t].write.mode("overwrite").parquet(os.path.join(path, f"t{i}"))
         spark = next(iter(self.tables.values())).sparkSession if self.tables else None
         meta = {"formulas": [as_node(f).text() for f in self.formulas], "keys": self.keys,
                 "sizes": self.sizes, "names": self.names}
@@ -387,10 +424,7 @@ class FittedFormulas:
     @staticmethod
     def load(spark: SparkSession, path: str) -> "FittedFormulas":
         meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
-        tables = {}
-        for i, t in enumerate(meta["formulas"]):
-            if t in meta["keys"]:
-                tables[t] = spark.read.parquet(os.path.join(path, f"t{i}"))
+        tables = {t: spark.read.parquet(os.path.join(path, f"t{i}")) for i, t in enumerate(meta["keys"])}
         return FittedFormulas(meta["formulas"], tables, meta["keys"], meta["sizes"], meta["names"])
 
 
@@ -398,63 +432,51 @@ class FittedFormulas:
 class FormulaEncoder:
     """FE4: learn the state of stateful formulas on training rows.
 
-    Children of a stateful root must be row-wise (as in the reference's fitted
-    transformer).  ``order_col`` orders rows for ``Combine`` ids.
+    Nested formulas are a graph of lookup tables: an inner stateful node is fitted
+    first, its table applied to the training rows, and the next table learned from
+    the result; ``transform`` applies the tables in the same order, so inner values
+    of new rows come from the training rows too.  ``order_col`` orders rows for
+    ``Combine`` ids.
     """
     formulas: list
     order_col: str | None = None
     names: dict = field(default_factory=dict)
 
-    def fit(self, train: DataFrame) -> FittedFormulas:
+    def fit(self, train: DataFrame, materialize: bool = False) -> FittedFormulas:
+        """With ``materialize`` each table is written to the shared folder and counted,
+        so that applying it can broadcast it behind a known size."""
         fitted = FittedFormulas(list(self.formulas), names=dict(self.names))
-        for f in self.formulas:
-            n = as_node(f)
-            if n.op not in STATEFUL_OPERATORS:
-                continue
-            if any(c.is_stateful() for c in n.children):
-                raise ValueError(f"fitted form needs row-wise children: {n.text()}")
+        nodes = stateful_nodes(self.formulas)
+        used = {c.text() for n in nodes for c in n.children if c.is_stateful()}
+        inner = {t for n in nodes for t in [n.text()] if any(t in u for u in used)}
+        cur = train
+        for n in nodes:
             kids = [f"__k{i}" for i in range(len(n.children))]
             extra = [self.order_col] if (n.op == "Combine" and self.order_col) else []
-            base = train.select(*[rowwise_column(c).alias(k) for c, k in zip(n.children, kids)],
-                                *extra)
-            if n.op == "freq":
-                keys = ["__k0"]
-                tab = base.where(F.col("__k0").isNotNull()).groupBy("__k0") \
-                    .agg(F.count(F.lit(1)).cast("double").alias("value"))
-            elif n.op == "CombineThenFreq":
-                keys = ["__k0", "__k1"]
-                tab = base.where(F.col("__k0").isNotNull() & F.col("__k1").isNotNull()) \
-                    .groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("value"))
-            elif n.op == "Combine":
-                if not self.order_col:
-                    raise ValueError("Combine needs an explicit row order column")
-                keys = ["__k0", "__k1"]
-                tab = combine_ids(base, "__k0", "__k1", self.order_col, "value")
-            elif n.op == "GroupByThenMedian":
-                keys = ["__k1"]
-                tab = grouped_median(base, "__k1", "__k0", "value")
-            elif n.op == "GroupByThenRank":
-                raise ValueError("GroupByThenRank has no fitted form; use derive_features")
-            elif n.op == "GroupByThenFreq":
-                keys = ["__k1", "__k0"]
-                tab = base.where(F.col("__k0").isNotNull() & F.col("__k1").isNotNull()) \
-                    .groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("value"))
-            else:
-                keys = ["__k1"]
-                fn = {"GroupByThenMin": F.min, "GroupByThenMax": F.max, "GroupByThenMean": F.avg,
-                      "GroupByThenStd": F.stddev_samp, "GroupByThenNUnique": F.count_distinct}[n.op]
-                tab = base.where(F.col("__k1").isNotNull()).groupBy("__k1") \
-                    .agg(fn(F.col("__k0")).cast("double").alias("value"))
-            fitted.tables[n.text()] = tab
-            fitted.keys[n.text()] = keys
+            base = cur.select(*[rowwise_column(c, fitted.resolve).alias(k) for c, k in zip(n.children, kids)], *extra)
+            keys, table = _fit_node(n, base, self.order_col)
+            if materialize or n.text() in inner:
+                table = cut_lineage(table)
+                fitted.sizes[n.text()] = table.count()
+            fitted.tables[n.text()], fitted.keys[n.text()] = table, keys
+            if n.text() in inner:
+                cur = fitted.apply_node(cur, n)
         return fitted
 
     def fit_materialized(self, train: DataFrame) -> FittedFormulas:
-        """Fit and pin the lookup tables (cache + row count), so transform can
-        broadcast them behind a known size."""
-        fitted = self.fit(train)
-        for t, tab in list(fitted.tables.items()):
-            tab = tab.cache()
-            fitted.sizes[t] = tab.count()
-            fitted.tables[t] = tab
-        return fitted
+        return self.fit(train, materialize=True)
+
+
+def fold_features(folds: DataFrame, formulas, row_id: str, k: int, order_col: str | None = None,
+                  names: dict | None = None, keep: list[str] = ()) -> DataFrame:
+    """FE13 inside cross-validation: (``row_id``, fold, ``keep``, one column a formula), where
+    each fold's rows get the state learned on the other folds' rows, so that no
+    feature has seen the rows that it is judged on.  ``folds`` has a ``fold`` column."""
+    out = None
+    for i in range(k):
+        fitted = FormulaEncoder(list(formulas), order_col, dict(names or {})).fit(folds.where(F.col("fold") != i), materialize=True)
+        part = fitted.transform(folds.where(F.col("fold") == i))
+        wanted = [(names or {}).get(as_node(f).text(), as_node(f).text()) for f in formulas]
+        part = part.select(*[F.col(f"`{c}`") for c in (row_id, "fold", *keep, *wanted)])
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -54,6 +54,22 @@ UNION ALL SELECT 'GroupByThenNUnique(' || a.name || ',' || b.name || ')', 'Group
   WHERE a.name <> b.name"""
 
 
+#: Two rounds: results of the first are arguments of the second, ``Combine`` ids as categories and all others as numbers.
+_PAIRS = ["+", "-", "*", "/", "min", "max"]
+CAND_SECOND_SQL = f"""WITH one AS ({CAND_SQL}),
+s AS (SELECT count(*) FILTER (operator = 'abs') AS a, count(*) FILTER (operator = 'freq') AS f, count(*) AS k,
+  count(*) FILTER (operator = 'Combine') AS m,
+  CAST(round((1 + sqrt(1 + 4 * count(*) FILTER (operator = 'GroupByThenNUnique'))) / 2) AS BIGINT) AS c FROM one),
+p AS (SELECT a + k - m AS nn, c + m AS nc, f + k AS na, a + c - f AS both_kinds FROM s)
+SELECT operator, CAST(n AS BIGINT) AS n FROM (
+  SELECT 'freq' AS operator, na AS n FROM p
+  UNION ALL SELECT o, nn FROM p, (VALUES {', '.join(f"('{o}')" for o in _UN)}) t(o)
+  UNION ALL SELECT o, nn * (nn - 1) // 2 FROM p, (VALUES {', '.join(f"('{o}')" for o in _PAIRS)}) t(o)
+  UNION ALL SELECT o, nn * nc - both_kinds FROM p, (VALUES {', '.join(f"('{o}')" for o in _CN)}) t(o)
+  UNION ALL SELECT o, nc * (nc - 1) // 2 FROM p, (VALUES ('Combine'), ('CombineThenFreq')) t(o)
+  UNION ALL SELECT 'GroupByThenNUnique', nc * (nc - 1) FROM p) q"""
+
+
 def candidates(spark, sf):
     return AF.enumerate_candidates(*AF.profile_kinds(pre(spark, sf), PROFILE, CATS))
 
@@ -163,3 +179,27 @@ def q_oof_margin(spark, sf):
     df = pass_geometry(preprocess_passes(V.passes(spark, sf))).withColumn("outcome", F.col("outcome").cast("double"))
     spec = ML.ModelSpec(BASE_NUM, ["height"], "outcome", {"maxIter": 10, "maxDepth": 3, "stepSize": 0.2})
     return ML.oof_margins(spec, df, "pass_id", k=5, seed=42)
+
+
+@register("fold_features", f"""WITH f AS (SELECT *, CAST((row_number() OVER (PARTITION BY outcome ORDER BY h, pass_id) - 1) % 3 AS INTEGER) AS fold
+    FROM (SELECT *, CAST('0x' || substr(md5('42:' || pass_id), 1, 15) AS BIGINT) AS h FROM ({PRE_SQL}) p0) p1),
+  k AS (SELECT DISTINCT fold FROM f),
+  m AS (SELECT k.fold, f.height, avg(f.length) AS v FROM f, k WHERE f.fold <> k.fold AND f.height IS NOT NULL GROUP BY 1, 2),
+  c AS (SELECT k.fold, f.body_part, CAST(count(*) AS DOUBLE) AS v FROM f, k WHERE f.fold <> k.fold AND f.body_part IS NOT NULL GROUP BY 1, 2)
+  SELECT f.pass_id, f.fold, m.v AS mean_length, c.v AS n_body_part, f.length / m.v AS ratio FROM f LEFT JOIN m ON m.fold = f.fold AND m.height = f.height
+    LEFT JOIN c ON c.fold = f.fold AND c.body_part = f.body_part""", views=("passes",), dbl=("mean_length", "ratio"))
+def q_fold_features(spark, sf):
+    """FE13/ML4: features of each fold's rows from state that was learned on the other folds only."""
+    from touchline.operators.folds import stratified_folds
+    from touchline.operators.formula import fold_features
+    names = {"GroupByThenMean(length,height)": "mean_length", "freq(body_part)": "n_body_part", "(length/GroupByThenMean(length,height))": "ratio"}
+    folds = stratified_folds(pre(spark, sf), "pass_id", "outcome", k=3, seed=42)
+    return fold_features(folds, list(names), "pass_id", 3, names=names)
+
+
+@register("candidate_features_second", CAND_SECOND_SQL, views=("passes",))
+def q_candidate_features_second(spark, sf):
+    """FE9, order 2: how many formulas of each operator two rounds of enumeration give over the six profiled columns."""
+    nodes = AF.enumerate_candidates(*AF.profile_kinds(pre(spark, sf), PROFILE, CATS), order=2)
+    frame = spark.createDataFrame([(n.op, n.text()) for n in nodes], "operator string, formula string")
+    return frame.groupBy("operator").agg(F.count_distinct("formula").alias("n"))

@@ -256,3 +256,15 @@ def q_transductive(spark, sf):
     train, test = holdout_split(p)
     both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
     return derive_features(both, list(TRANSDUCTIVE), names=TRANSDUCTIVE, keep=["pass_id", "split"])
+
+
+@register("fitted_nested_mean", f"""WITH li AS ({LI_SQL}),
+f AS (SELECT l_linestatus, count(*) AS c FROM li WHERE match_id <> 7 AND l_linestatus IS NOT NULL GROUP BY 1),
+m AS (SELECT l_returnflag, avg(CAST(f.c AS DOUBLE)) AS v FROM li LEFT JOIN f ON li.l_linestatus = f.l_linestatus
+  WHERE match_id <> 7 AND l_returnflag IS NOT NULL GROUP BY 1)
+SELECT row_id, m.v - f.c AS feature FROM li LEFT JOIN m ON li.l_returnflag = m.l_returnflag
+  LEFT JOIN f ON li.l_linestatus = f.l_linestatus""", dbl=("feature",))
+def q_fitted_nested_mean(spark, sf):
+    """FE4 nested: counts, and means of those counts, both learned on the training matches and applied in that order
+    (inner values of new rows come from the training rows, not from the new table)."""
+    return fitted(spark, sf, "(GroupByThenMean(freq(l_linestatus),l_returnflag)-freq(l_linestatus))", "feature")
