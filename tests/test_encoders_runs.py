@@ -57,3 +57,26 @@ def test_metric_dispatch_and_init_score_check(spark):
         warnings.simplefilter("always")
         assert check_init_scores(spark.createDataFrame([(0.2,), (0.9,)], "s double"), "s")
         assert w
+
+
+def test_fifty_thousand_levels(spark, tmp_path):
+    """Levels beyond the list limit: codes, mapping and one-hot vectors by lookup table."""
+    from touchline.operators.encoders import OneHotModel
+    names = sorted({f"{'é' if i % 3 else 'z'}{i * 7919 % 100_003}" for i in range(50_000)}, key=str.encode)
+    train = spark.range(50_000).select(F.concat(F.when(F.col("id") % 3 != 0, "é").otherwise("z"),
+                                                (F.col("id") * 7919 % 100_003).cast("string")).alias("name"), F.lit(1).alias("code"))
+    codes = CategoryCodes.fit(train, ["name"])
+    assert codes.levels == {} and codes.sizes == {"name": len(names)}
+    place = {v: i for i, v in enumerate(names)}
+    some = spark.createDataFrame([(v, 5) for v in [*names[::997], "unknown", None]], "name string, code int")
+    rows = codes.codes(some).collect()
+    assert all(r.name_code == place.get(r.name, -1) for r in rows) and len(rows) == some.count()
+    assert {r.name for r in codes.apply(some).collect()} == {*names[::997], None}
+    codes.save(str(tmp_path))
+    assert CategoryCodes().load_tables(spark, str(tmp_path), ["name"]).codes(some).collect() == rows
+    vectors = {r.name: r.name_levels for r in OneHotModel(codes.levels, codes.tables, codes.sizes).transform(
+        some.withColumn("keep", F.col("name")).withColumnRenamed("keep", "x")).withColumnRenamed("x", "name").collect()}
+    for v, vec in vectors.items():
+        assert vec.size == len(names) and list(vec.indices) == ([place[v]] if v in place else [])
+    with pytest.raises(ValueError):
+        codes.to_json()

@@ -230,22 +230,37 @@ def refit(spec: ModelSpec, df: DataFrame, row_id: str, seed: int = 42) -> tuple[
 
 
 def nested_evaluation(spec: ModelSpec, df: DataFrame, row_id: str, path: str, outer: int = 5, inner: int = 5,
-                      n_trials: int = 10, n_features: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+                      n_trials: int = 10, n_features: float = 1.0, seed: int = 42, formulas=None, columns: list[str] = (),
+                      order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """ML4: per outer fold, search parameters on inner folds of the other folds,
     eliminate features down to ``n_features``, refit with early stopping, and score
     the fold.  Each fold's rows are written under ``path`` as they are made (SNK2) and
-    read back: (out-of-fold rows, one row of choices a fold)."""
-    folds = cut_lineage(fold_rows(spec, df, row_id, outer, seed).select(row_id, "fold", *spec.features(), spec.label))
+    read back: (out-of-fold rows, one row of choices a fold).
+
+    ``formulas``: features made inside each outer fold, a list of formulas or a function
+    from the fold's training rows to one (automatic selection); what they learn comes
+    from those rows alone and is applied to the held-out rows.  ``columns``: further
+    columns that the formulas read."""
+    from touchline.operators.formula import FormulaEncoder, as_node
+    source, base = df, spec
+    wanted = dict.fromkeys([row_id, "fold", *spec.features(), *columns, *([order_col] if order_col else []), spec.label])
+    folds = cut_lineage(fold_rows(spec, source, row_id, outer, seed).select(*wanted))
     choices = []
     for i in range(outer):
-        train = folds.where(F.col("fold") != i).drop("fold")
+        train, held = folds.where(F.col("fold") != i).drop("fold"), folds.where(F.col("fold") == i)
+        if formulas:
+            chosen_formulas = formulas(train) if callable(formulas) else list(formulas)
+            names = {as_node(f).text(): f"autoFE_f_{j}" for j, f in enumerate(chosen_formulas)}
+            fitted = FormulaEncoder(chosen_formulas, order_col, names).fit(train, materialize=True)
+            train, held = cut_lineage(fitted.transform(train)), fitted.transform(held)
+            spec = replace(base, numeric=[*base.numeric, *names.values()])
         best = best_params(param_search(spec, train, row_id, n_trials, inner, seed + i))
         chosen = spec.with_params(**best)
         if n_features < 1:
             dropped = {r["dropped"] for r in rfe(chosen, train, n_features).collect()}
             chosen = chosen.with_features([f for f in chosen.features() if f not in dropped])
         model, rounds = refit(chosen, train, row_id, seed + i)
-        out = predicted(chosen, model, folds.where(F.col("fold") == i), [row_id])
+        out = predicted(chosen, model, held, [row_id])
         out.write.mode("overwrite").parquet(f"{path}/fold={i}")
         choices.append((i, ",".join(chosen.features()), rounds, best["maxDepth"], best["stepSize"], best["subsamplingRate"]))
     spark = df.sparkSession

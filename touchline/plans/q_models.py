@@ -61,14 +61,29 @@ def q_nested_cv(spark, sf):
 def q_nested_cv_rows(spark, sf):
     """ML4/SNK2: the nested evaluation (inner search and early-stopped refit per outer fold), its out-of-fold rows
     written and read back: every row once, in its own fold."""
-    rows, _ = ML.nested_evaluation(spec(), frame(spark, sf), "pass_id", scratch(spark, "oof"), outer=3, inner=2, n_trials=1)
+    rows, _ = ML.nested_evaluation(spec(), frame(spark, sf), "pass_id", scratch(spark, "oof"), outer=3, inner=2, n_trials=2)
     return rows.select("pass_id", "label", "fold")
 
 
+@register("nested_cv_auto")
+def q_nested_cv_auto(spark, sf):
+    """ML4/FE13: nested evaluation whose automatic features are chosen and fitted inside each outer fold; loss of the
+    out-of-fold rows by fold."""
+    from touchline.operators.autofe import choose_formulas
+    df = frame(spark, sf).where(F.col("match_id") != 7)
+    small = ML.ModelSpec(["length", "angle", "duration"], ["height"], "label", {**SMALL, "maxIter": 5})
+
+    def pick(train):
+        return choose_formulas(train, ["length", "duration"], ["height"], "label", "pass_id", n=3, min_features=6)
+
+    rows, _ = ML.nested_evaluation(small, df, "pass_id", scratch(spark, "oof"), outer=2, inner=2, n_trials=2, formulas=pick, order_col="pass_id")
+    return ML.fold_losses(rows, "label")
+
+
 @register("param_search")
 def q_param_search(spark, sf):
     """ML5: seeded random search, mean inner-fold log loss per trial."""
-    return ML.param_search(spec(), frame(spark, sf).where(F.col("match_id") != 7), "pass_id", n_trials=2, k=2)
+    return ML.param_search(spec(), frame(spark, sf).where(F.col("match_id") != 7), "pass_id", n_trials=4, k=2)
 
 
 @register("tune_and_train")

@@ -281,3 +281,15 @@ def q_mutual_info_knn(spark, sf):
     a = ST.mutual_info_knn(df, "length", "y", 3, row_id="pass_id")
     b = ST.mutual_info_knn(df, "end_y", "y", 3, row_id="pass_id")
     return a.unionByName(b)
+
+
+@register("category_codes_large", """WITH o AS (SELECT l_orderkey, l_linenumber, l_orderkey % 64 AS match_id, 'order ' || l_orderkey AS name FROM lineitem),
+  levels AS (SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT name FROM o WHERE match_id <> 7) d)
+  SELECT l_orderkey, l_linenumber, coalesce(code, -1) AS name_code FROM o LEFT JOIN levels USING (name)""")
+def q_category_codes_large(spark, sf):
+    """FE7, a column with more levels than a list takes: codes by sorted training level from a lookup table."""
+    from touchline.sources.tables import read_table
+    rows = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 64).alias("match_id"),
+                                                    F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("name"))
+    codes = EN.CategoryCodes.fit(rows.where(F.col("match_id") != 7), ["name"])
+    return codes.codes(rows).select("l_orderkey", "l_linenumber", "name_code")
