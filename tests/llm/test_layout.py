@@ -21,13 +21,14 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 def pack_texts():
     rng = random.Random(1)
     texts = [None, "", "  ", "Hello, World! It's", "we'll.'s a.b,c=\u0338 x.\u0301 3.14 _a_b_ \u201cq\u201d. don't! #tag's", "1-2 a'.", "\x01 \x02 sign  x", "Ünïcödé straße", "a" * 5000]
+    texts += ["end <|endoftext|> next", "<|ENDOFTEXT|>x <|startoftext|>", "a<|endoftext|>b<|endoftext|>", " <|startoftext|> ", "<|endoftext"]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|startoftext|>", " ", "word", "A.b", "<|", "|>", "\n"]) for _ in range(8)) for _ in range(100)]
     return texts + [" ".join(prose(rng, rng.randrange(1, 900))) for _ in range(40)] + [" ".join(prose(rng, 9000))] + ["same text"] * 3
 
 
 def test_packing_is_an_exact_round_trip(spark):
     texts = pack_texts()
     tok = Tokenizer.from_file(TOKENIZER)
-    tok.encode_special_tokens = True
     rows = pack_documents(docs_frame(spark, texts), with_ids=True, block_tokens=4096).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import textwrap
 from collections import Counter
 
@@ -237,6 +238,22 @@ def test_broken_pages(page):
     assert isinstance(main_text(page), str)
 
 
+def test_quotes_inside_unquoted_values():
+    """A quote inside an unquoted value is part of it; only one behind = opens a quoted value."""
+    p = "<p>Some longer paragraph of the article with enough words to be kept, number {}.</p>"
+    page = "<html><body><article>" + p.format(1) + "<p>Before <a href=x title=it's>middle words that matter</a> after it, which go on for a while.</p>" \
+        + p.format(2) + "<p title = \"a > b\">A value may hold a closing sign and what follows stays whole, it's so.</p></article></body></html>"
+    text = main_text(page)
+    assert "Before middle words that matter after it" in text and "number 2" in text and "A value may hold" in text and "b\"" not in text
+
+
+@pytest.mark.parametrize("piece,end", [("<a \"", ""), ("<a \"", ">"), ("<a b=\"", ""), ("<a b=\"", ">"), ("<", ""), ("<a =", ">"), ("<!-", "")])
+def test_unclosed_tags_take_linear_time(piece, end):
+    t0 = time.process_time()
+    main_text("<p>A paragraph.</p>" + piece * 20_000 + end)
+    assert time.process_time() - t0 < 10
+
+
 def test_page_edges(spark):
     frame = spark.createDataFrame([(1, "u", None, 3), (1, "u", None, 4), (None, None, "<article><p>A&nbsp; b.</p></article>", 5)],
                                   "page_id long, url string, html string, text int")

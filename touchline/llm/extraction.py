@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.frames import per_batch
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>))|[^>=])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
                     re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -130,18 +130,18 @@ def parse_blocks(page: str) -> list[Block]:
             skip -= weight == _GONE
             articles -= tag in ("article", "main")
 
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">") + 1      # no tag ends beyond ``last``
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, last) if at < last else None
         if m is None:
-            parts.append(page[at:])
+            parts.append(page[at:].split("<!--", 1)[0])
             break
         if m.start() > at:
             piece = page[at:m.start()]
             parts.append(piece)
             if in_link:
                 linked += len(piece.strip())
-        at = m.end()
+        at = n if m.group().startswith("<!--") and not m.group().endswith("-->") else m.end()
         closing, tag, attributes = (m.group(1), m.group(2), m.group(3)) if m.group(2) else (m.group(4), m.group(5), m.group(6))
         if not tag:
             continue

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,8 @@ class WordIds:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: Strings that the plain call takes as one id: texts that hold one are encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self):
@@ -95,6 +98,19 @@ class WordIds:
         spot = np.searchsorted(self.known, hashes)
         self.known, self.place = np.insert(self.known, spot, hashes), np.insert(self.place, spot, place)
 
+    def has_added(self, column: pa.Array) -> np.ndarray:
+        """Which texts hold an added token, whatever its case."""
+        found = np.zeros(len(column), dtype=bool)
+        for token in self.added:
+            found |= pc.fill_null(pc.match_substring(column, token, ignore_case=True), False).to_numpy(zero_copy_only=False)
+        return found
+
+    def encode_whole(self, text: str) -> np.ndarray:
+        self.tokenizer.encode_special_tokens = False
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.tokenizer.encode_special_tokens = True
+        return np.array([*ids, END_ID], dtype=np.uint32)
+
     def places(self, texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Index in ``at`` of every piece of the run."""
         values = BYTE_VALUES[texts.data]
@@ -247,10 +263,12 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, key: str = "do
         rows: list[tuple] = []
         for batch in batches:
             doc_type = batch.column(0).type
+            special = words.has_added(batch.column(1))
             for texts in runs(batch.column(1), lower=True, limit=SPLIT_BYTES):  # the tokenizer lower-cases
                 ids, at = words.encode(texts)
                 for i, doc_id in enumerate(batch.column(0).slice(texts.row0, texts.n).to_pylist()):
-                    rows.extend(packer.add(doc_id, ids[at[i]:at[i + 1]]))
+                    whole = special[texts.row0 + i]
+                    rows.extend(packer.add(doc_id, words.encode_whole(batch.column(1)[texts.row0 + i].as_py()) if whole else ids[at[i]:at[i + 1]]))
                     if packer.tokens >= block_tokens:
                         rows.extend(packer.flush(last=False))
                 if rows:
