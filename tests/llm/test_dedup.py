@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.helpers import LOWER, docs_frame, prose, union_find, words
+from tests.llm.helpers import docs_frame, prose, shingles, union_find, words
 from touchline.llm.components import components
 from touchline.llm.minhash import BLOCK, banding, drop_near_duplicates, near_duplicates, sketch_floor
 from touchline.llm.neighbours import near_vectors
