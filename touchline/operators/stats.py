@@ -250,52 +250,3 @@ def digamma(x):
     series = (F.ln(z) - 1.0 / (2 * z) - 1.0 / (12 * z * z) + 1.0 / (120 * F.pow(z, 4))
               - 1.0 / (252 * F.pow(z, 6)) + 1.0 / (240 * F.pow(z, 8)))
     return series - sum(1.0 / (x + float(j)) for j in range(6))
-
-
-def mutual_info_knn(df: DataFrame, feature: str, label: str, k: int = 3, row_id: str | None = None) -> DataFrame:
-    """AGG21 exact mode: k-NN estimator of I(X; Y) for continuous X, discrete Y.
-
-    Within each label the k-th neighbour in 1-D is among the k rows either side in
-    value order: exact ranks (``ordinal``) and an equi-join on rank + offset
-    (2k+1 lookups per row, no pair enumeration).  m_i, the count of all points
-    strictly within that radius, is a difference of two prefix counts over the
-    union of points and interval end points ordered once globally.
-    MI = ψ(N) + ⟨ψ(k_i)⟩ − ⟨ψ(n_label)⟩ − ⟨ψ(m_i)⟩, floored at 0; labels with one
-    row are ignored."""
-    from touchline.operators.ordinal import prefix_sum, row_number0
-    rid = row_id or "__rid"
-    base = df.select(F.col(feature).cast("double").alias("x"), F.col(label).alias("lab"),
-                     *( [F.col(row_id)] if row_id else [F.monotonically_increasing_id().alias("__rid")]))
-    base = base.where(F.col("x").isNotNull() & F.col("lab").isNotNull())
-    nl = base.groupBy("lab").agg(F.count(F.lit(1)).alias("n_lab"))
-    base = base.join(broadcast_if_counted(nl.where(F.col("n_lab") > 1)), "lab")
-    ranked = row_number0(base, ["lab"], ["x", rid], out="r")
-    offs = F.array(*[F.lit(o) for o in range(-k, k + 1) if o != 0])
-    look = ranked.select(rid, "lab", "x", "r", "n_lab", F.explode(offs).alias("o")) \
-        .withColumn("r2", F.col("r") + F.col("o"))
-    nb = ranked.select("lab", F.col("r").alias("r2"), F.col("x").alias("x2"))
-    pairs = look.join(nb, ["lab", "r2"])
-    kk = F.least(F.lit(k), F.col("n_lab") - 1)
-    d = pairs.groupBy(rid, "lab", "x", "n_lab").agg(
-        F.sort_array(F.collect_list(F.abs(F.col("x2") - F.col("x")))).alias("ds"))   # ≤ 2k entries
-    d = d.withColumn("k_i", kk).withColumn("radius", F.element_at("ds", F.col("k_i").cast("int")))
-    # counts of all points with |x_j - x_i| < radius
-    pts = d.select(F.col("x").alias("v"), F.lit(1).alias("tie"), F.col(rid).cast("string").alias("id"),
-                   F.lit(1).alias("w"), F.lit(None).cast("string").alias("q"))
-    # radius 0 (tied values) counts the equal values instead, as a zero-width closed ball does
-    zero = F.col("radius") == 0
-    hi = d.select((F.col("x") + F.col("radius")).alias("v"), F.when(zero, 2).otherwise(0).alias("tie"),
-                  F.col(rid).cast("string").alias("id"), F.lit(0).alias("w"), F.lit("hi").alias("q"))
-    lo = d.select((F.col("x") - F.col("radius")).alias("v"), F.when(zero, 0).otherwise(2).alias("tie"),
-                  F.col(rid).cast("string").alias("id"), F.lit(0).alias("w"), F.lit("lo").alias("q"))
-    ev = prefix_sum(pts.unionByName(hi).unionByName(lo), [], ["v", "tie", "id", "q"], {"before": F.col("w")})
-    q = ev.where(F.col("q").isNotNull()).groupBy("id").agg(
-        (F.max(F.when(F.col("q") == "hi", F.col("before"))) - F.max(F.when(F.col("q") == "lo", F.col("before"))))
-        .alias("m_i"))
-    j = d.withColumn("id", F.col(rid).cast("string")).join(q, "id")
-    agg = j.agg(F.count(F.lit(1)).alias("n"), F.avg(digamma(F.col("k_i").cast("double"))).alias("a"),
-                F.avg(digamma(F.col("n_lab").cast("double"))).alias("b"),
-                F.avg(digamma(F.col("m_i").cast("double"))).alias("c"))
-    mi = digamma(F.col("n").cast("double")) + F.col("a") - F.col("b") - F.col("c")
-    return agg.select(F.lit(feature).alias("feature"), F.greatest(mi, F.lit(0.0)).alias("mutual_info"),
-                      F.col("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import encoders as EN
 from touchline.operators import folds as FO
+from touchline.operators import information as IN
 from touchline.operators import stats as ST
 from touchline.operators.formula import derive_features
 from touchline.operators.passes import preprocess_passes
@@ -274,13 +275,70 @@ def q_apply_category_mapping(spark, sf):
     return EN.CategoryCodes.from_json(saved).apply(raw).select("pass_id", "height", "body_part")
 
 
-@register("mutual_info_knn")
+def _psi(v):
+    """The series of ``stats.digamma`` as SQL."""
+    z = f"({v} + 6.0)"
+    return (f"(ln{z} - 1.0/(2*{z}) - 1.0/(12*pow({z},2)) + 1.0/(120*pow({z},4)) - 1.0/(252*pow({z},6)) + 1.0/(240*pow({z},8))"
+            + "".join(f" - 1.0/({v} + {j}.0)" for j in range(6)) + ")")
+
+
+def _steps(c):
+    return f"CAST(coalesce(round(({c} - min({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0) * 1073741824.0), 0) AS BIGINT)"
+
+
+def _mi_classes_sql(feature):
+    """k-NN estimate from (label, value) counts: k-th neighbour by rank lookups, points
+    inside its radius from running counts met at both ends."""
+    return f"""SELECT '{feature}' AS feature, greatest(0.0, {_psi('sum(c)')} + sum(c * {_psi('k_i')})/sum(c) - sum(c * {_psi('n_lab')})/sum(c)
+    - sum(c * {_psi('m')})/sum(c)) AS mutual_info, CAST(sum(c) AS BIGINT) AS n FROM (
+  WITH cnt AS (SELECT lab, x, count(*) AS c FROM (SELECT CASE WHEN outcome IS NULL THEN 1 ELSE 0 END AS lab, {_steps(feature)} AS x
+      FROM passes WHERE {feature} IS NOT NULL) b GROUP BY lab, x),
+    rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lab ORDER BY x) AS r, sum(c) OVER (PARTITION BY lab) AS n_lab
+      FROM cnt) w WHERE n_lab > 1),
+    near AS (SELECT a.lab, a.x, a.c, a.n_lab, least(3, a.n_lab - 1) AS k_i, abs(b.x - a.x) AS d,
+        sum(b.c) OVER (PARTITION BY a.lab, a.x ORDER BY abs(b.x - a.x)) AS upto
+      FROM (SELECT *, r + unnest(generate_series(-3, 3)) AS r2 FROM rk) a JOIN rk b ON a.lab = b.lab AND a.r2 = b.r),
+    rad AS (SELECT lab, x, c, n_lab, k_i, min(d) AS r FROM near WHERE upto >= k_i + 1 GROUP BY ALL),
+    cum AS (SELECT x AS v, sum(sum(c)) OVER (ORDER BY x) AS upto FROM rad GROUP BY x),
+    ends AS (SELECT *, CASE WHEN r = 0 THEN x ELSE x + r - 1 END AS hi, CASE WHEN r = 0 THEN x - 1 ELSE x - r END AS lo FROM rad)
+  SELECT e.c, e.n_lab, e.k_i, h.upto - coalesce(l.upto, 0) AS m FROM ends e ASOF JOIN cum h ON e.hi >= h.v
+    ASOF LEFT JOIN cum l ON e.lo >= l.v) q"""
+
+
+@register("mutual_info_knn", _mi_classes_sql("length") + " UNION ALL " + _mi_classes_sql("end_y"), views=("passes",), dbl=("mutual_info",))
 def q_mutual_info_knn(spark, sf):
-    """AGG21 exact: k-NN (k = 3) mutual information of pass length and duration with completion."""
+    """AGG21 exact: k-NN (k = 3) mutual information of pass length and end y with completion."""
     df = labelled(spark, sf)
-    a = ST.mutual_info_knn(df, "length", "y", 3, row_id="pass_id")
-    b = ST.mutual_info_knn(df, "end_y", "y", 3, row_id="pass_id")
-    return a.unionByName(b)
+    return IN.mutual_info_classes(df, "length", "y", 3).unionByName(IN.mutual_info_classes(df, "end_y", "y", 3))
+
+
+PLAYER_SQL = ("SELECT match_id, player_id, avg(loc_x) AS mean_x, max(loc_x) AS furthest_x FROM match_events "
+              "WHERE loc_x IS NOT NULL GROUP BY match_id, player_id")
+MI_NUMBERS_SQL = f"""WITH pl AS (SELECT {_steps('mean_x')} AS x, {_steps('furthest_x')} AS y FROM ({PLAYER_SQL}) p),
+  pts AS (SELECT x, y, count(*) AS c FROM pl GROUP BY x, y),
+  near AS (SELECT a.x, a.y, a.c, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS d,
+      sum(b.c) OVER (PARTITION BY a.x, a.y ORDER BY greatest(abs(a.x - b.x), abs(a.y - b.y))) AS upto FROM pts a CROSS JOIN pts b),
+  rad AS (SELECT x, y, c, min(d) AS r FROM near WHERE upto >= 4 GROUP BY x, y, c),
+  inside AS (SELECT a.x, a.y, a.c, sum(CASE WHEN abs(a.x - b.x) < a.r OR a.x = b.x THEN b.c ELSE 0 END) AS n_x,
+      sum(CASE WHEN abs(a.y - b.y) < a.r OR a.y = b.y THEN b.c ELSE 0 END) AS n_y FROM rad a CROSS JOIN pts b GROUP BY a.x, a.y, a.c)
+  SELECT 'mean_x' AS feature, greatest(0.0, {_psi('sum(c)')} + {_psi('3')} - sum(c * {_psi('n_x')})/sum(c) - sum(c * {_psi('n_y')})/sum(c))
+    AS mutual_info, CAST(sum(c) AS BIGINT) AS n FROM inside"""
+
+
+@register("mutual_info_regression", MI_NUMBERS_SQL, views=("match_events",), dbl=("mutual_info",))
+def q_mutual_info_regression(spark, sf):
+    """AGG21 exact, regression form: what a player's mean x in a match tells of the furthest x."""
+    ev = V.match_events_flat(spark, sf).where("loc_x IS NOT NULL")
+    players = ev.groupBy("match_id", "player_id").agg(F.avg("loc_x").alias("mean_x"), F.max("loc_x").alias("furthest_x"))
+    return IN.mutual_info_numbers(players, "mean_x", "furthest_x", 3)
+
+
+@register("mutual_info_regression_passes")
+def q_mutual_info_regression_passes(spark, sf):
+    """AGG21 exact, regression form over every pass: length and end y with duration (too many
+    pairs for a SQL self join)."""
+    df = p(spark, sf)
+    return IN.mutual_info_numbers(df, "length", "duration", 3).unionByName(IN.mutual_info_numbers(df, "end_y", "duration", 3))
 
 
 @register("category_codes_large", """WITH o AS (SELECT l_orderkey, l_linenumber, l_orderkey % 64 AS match_id, 'order ' || l_orderkey AS name FROM lineitem),
