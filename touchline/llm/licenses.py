@@ -93,10 +93,13 @@ def _needed(n: int, containment: float) -> int:
 
 
 def find_templates(blocks: DataFrame, templates: Sequence[tuple[str, tuple[str, ...]]], order: dict[str, int],
-                   containment: float = CONTAINMENT) -> DataFrame:
+                   reach: Sequence[int], containment: float = CONTAINMENT) -> DataFrame:
     """(row, label, score): templates that a block of the row contains.
 
-    ``blocks`` has (row, block).  Both sides are lists of word ranks, rarest first.
+    ``blocks`` has (row, block, wrapped).  Both sides are lists of word ranks, rarest
+    first.  A wrapped block holds a template only where ``reach`` of its words in a
+    row, the template's own number, do; what passes the filters is looked at once
+    more, window by window.
     A block and a template that share enough words share one within the first
     words of each (prefix filter); the block must be long enough (length filter),
     and what follows the shared word must suffice (positional filter).  The index
@@ -107,30 +110,34 @@ def find_templates(blocks: DataFrame, templates: Sequence[tuple[str, tuple[str,
     ranked = [(i, label, sorted(order[w] for w in words)) for i, (label, words) in enumerate(templates)]
     wider = {i: [j for j, _, more in ranked if set(ranks) < set(more)] for i, _, ranks in ranked}
     index = spark.createDataFrame(
-        [(r, p, i, label, ranks, _needed(len(ranks), containment), wider[i]) for i, label, ranks in ranked
+        [(r, p, i, label, ranks, _needed(len(ranks), containment), wider[i], reach[i]) for i, label, ranks in ranked
          for p, r in enumerate(ranks[:len(ranks) - _needed(len(ranks), containment) + 1])],
-        "rank int, place int, template int, label string, ranks array<int>, need int, wider array<int>")
+        "rank int, place int, template int, label string, ranks array<int>, need int, wider array<int>, reach int")
     least = min(_needed(len(ranks), containment) for _, _, ranks in ranked)
     known = F.create_map(*[F.lit(x) for w, r in order.items() for x in (w, r)])
     ranks = F.array_sort(F.filter(F.transform(F.array_distinct(words_of(F.col("block"))), lambda w: known[w]),
                                   lambda r: r.isNotNull()))
-    sides = blocks.select("row", F.monotonically_increasing_id().alias("at"), ranks.alias("own")).where(F.size("own") >= least)
-    tokens = sides.select("row", "at", "own", F.posexplode(F.slice("own", F.lit(1), F.size("own") - (least - 1))).alias("own_place", "rank"))
+    in_row = F.when(F.col("wrapped"), F.transform(words_of(F.col("block")), lambda w: F.coalesce(known[w], F.lit(-1))))
+    sides = blocks.select("row", F.monotonically_increasing_id().alias("at"), ranks.alias("own"), in_row.alias("in_row")).where(F.size("own") >= least)
+    tokens = sides.select("row", "at", "own", "in_row", F.posexplode(F.slice("own", F.lit(1), F.size("own") - (least - 1))).alias("own_place", "rank"))
     met = tokens.join(F.broadcast(index), "rank")
     met = met.where("size(own) >= need and own_place <= size(own) - need")
     met = met.where("least(size(own) - own_place, size(ranks) - place) >= need")
-    shared = F.size(F.array_intersect("own", "ranks"))
-    held = met.where(shared >= F.col("need")).groupBy("row", "at").agg(F.collect_set(F.struct(
-        "template", "label", "wider", (shared / F.size("ranks")).alias("score"))).alias("held"))
+    met = met.withColumn("shared", F.size(F.array_intersect("own", "ranks"))).where("shared >= need")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("in_row") - F.col("reach") + 1, F.lit(1)))
+    within = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("in_row", i, F.col("reach")), "ranks"))))
+    met = met.withColumn("shared", F.when(F.col("in_row").isNull(), F.col("shared")).otherwise(within)).where("shared >= need")
+    held = met.groupBy("row", "at").agg(F.collect_set(F.struct(
+        "template", "label", "wider", (F.col("shared") / F.size("ranks")).alias("score"))).alias("held"))
     narrow = F.filter("held", lambda t: ~F.arrays_overlap(t["wider"], F.col("held.template")))
     best = held.select("row", F.explode(narrow).alias("t")).select("row", "t.label", "t.score")
     return best.groupBy("row", "label").agg(F.max("score").alias("score"))
 
 
-def run_reach(templates: Sequence[tuple[str, str]]) -> int:
-    """Words in which a wrapped copy of any template must lie: the longest one's and
-    a quarter more, for words that start each line of a comment."""
-    return math.ceil(1.25 * max(len(_WORD.findall(text.lower())) for _, text in templates))
+def run_reach(templates: Sequence[tuple[str, str]]) -> list[int]:
+    """Words in a row in which a wrapped copy of each template must lie: its own
+    number and a quarter more, for words that start each line of a comment."""
+    return [math.ceil(1.25 * len(_WORD.findall(text.lower()))) for _, text in templates]
 
 
 def word_runs(words: Column, reach: int) -> Column:
@@ -149,7 +156,9 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ``labels`` (with those of the templates that some block of the text contains)
     and ``score`` (best share of a template's words found in a block, 0 without a
     template).  Blocks are the lines and, where there are several, also runs of
-    words across their ends (see ``run_reach``), as notices wrap.  Labels are distinct, sorted and comma-joined, empty without any.
+    words across their ends, as notices wrap; there a template's words must lie
+    within its own reach (see ``run_reach``).  Labels are distinct, sorted and
+    comma-joined, empty without any.
 
     Null text counts as empty.  Repeated rows are scanned each; a null key stays
     null; an empty table gives no rows; other columns are not carried.  Two scans:
@@ -168,10 +177,13 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text",
     places, none = {}, F.array().cast("array<int>")
     for phrase, label in PHRASES.items():
         places[label] = F.when(F.col("low").rlike(_gapped(phrase.split())), phrase_starts(F.col("words"), phrase)).otherwise(none)
+    reach = run_reach(templates)
+
+    def likely(blocks: Column, wrapped: bool) -> Column:
+        return F.transform(F.filter(blocks, lambda b: b.rlike(maybe)), lambda b: F.struct(b.alias("block"), F.lit(wrapped).alias("wrapped")))
     text_blocks = F.when(F.col("low").contains("\n"), F.concat(
-        F.split("low", "\n"), word_runs(F.col("words"), run_reach(templates)))).otherwise(F.array("low"))
-    text_blocks = F.when(F.col("low").rlike(maybe), F.filter(text_blocks, lambda b: b.rlike(maybe))).otherwise(
-        F.array().cast("array<string>"))
+        likely(F.split("low", "\n"), False), likely(word_runs(F.col("words"), max(reach)), True))).otherwise(likely(F.array("low"), False))
+    text_blocks = F.when(F.col("low").rlike(maybe), text_blocks).otherwise(F.array().cast("array<struct<block:string,wrapped:boolean>>"))
     found = low.select(key, F.size("words").cast("long").alias("n_words"), F.monotonically_increasing_id().alias("row"),
                        *[c.alias(f"at_{i}") for i, c in enumerate(places.values())], text_blocks.alias("blocks"))
     found = cut(found)
@@ -180,8 +192,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = found.select("row", key, "n_words", F.size(every).cast("long").alias("n_base"),
                         F.array_min(every).cast("long").alias("first_word"),
                         F.array_max(every).cast("long").alias("last_word"), base.alias("base"))
-    blocks = found.where(F.size("blocks") > 0).select("row", F.explode("blocks").alias("block"))
-    held = find_templates(blocks, parts, order, containment).groupBy("row").agg(
+    blocks = found.where(F.size("blocks") > 0).select("row", F.inline("blocks"))
+    held = find_templates(blocks, parts, order, reach, containment).groupBy("row").agg(
         F.collect_set("label").alias("more"), F.max("score").alias("score"))
     joined = F.array_join(F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>"))))), ",")
     return rows.join(held, "row", "left").select(
