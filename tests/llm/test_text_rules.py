@@ -113,6 +113,9 @@ PERSONAL = {
     "ssn 123-45-6789 and 000-12-3456": ["123-45-6789"],
     'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"': ["04dbebab91ab85687d33eeaaf9ac699e1188f962"],
     "page 12 of 340, at 12:30": [], "": [],
+    "at 2024-01-05T10:00:00Z": ["2024-01-05"], "id 2024-01-05Test": [],
+    "tel 06 12 34 56 78, 01.40.20.50.50.": ["06 12 34 56 78", "01.40.20.50.50"],
+    "rows 01 02 03 04 05 06": [], "v 06.12.34 56.78": [],
 }
 
 
@@ -123,7 +126,7 @@ def luhn(digits):
 def test_personal_data(spark):
     texts = list(PERSONAL) * 2 + [None]
     frame = docs_frame(spark, texts)
-    rows = {r.doc_id: r for r in pseudonymise(frame, found="found").collect()}
+    rows = {r.doc_id: r for r in pseudonymise(frame, key="k", found="found").collect()}
     n = len(PERSONAL)
     for i, (text, found) in enumerate(PERSONAL.items()):
         assert rows[i].found == found
@@ -135,9 +138,11 @@ def test_personal_data(spark):
     assert luhn(card.replace(" ", "")) and [len(p) for p in card.split()] == [4] * 4
     iban = rows[6].text[:27].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
-    assert pseudonymise(frame.where("false")).count() == 0
+    assert pseudonymise(frame.where("false"), key="k").count() == 0
     other = {r.doc_id: r.text for r in pseudonymise(frame, key="another").collect()}
     assert other[1] != rows[1].text
+    with pytest.raises(ValueError):
+        pseudonymise(frame, key="")
 
 
 @pytest.mark.parametrize("width", [1, 2, 3, 4])
@@ -152,7 +157,7 @@ def test_feistel_is_a_permutation(spark, width):
 def test_dates_are_permuted_within_their_range(spark):
     frame = spark.sql("SELECT explode(sequence(date'1900-01-01', date'1930-12-31')) d").selectExpr(
         "cast(d as string) doc_id", "cast(d as string) text")
-    out = [r.text for r in pseudonymise(frame).collect()]
+    out = [r.text for r in pseudonymise(frame, key="k").collect()]
     assert len(set(out)) == len(out) and all(re.fullmatch(r"(19|20)\d\d-\d\d-\d\d", x) for x in out)
 
 
@@ -269,7 +274,7 @@ def test_patterns_compile_alone():
 def test_addresses_at_the_end_of_a_sentence(spark):
     address = "john.d@mail.example.com"
     texts = [f"mail {address}{end}" for end in (".", ". Next", "...", ".\nNext", ". 5 more", "!", "", ".)", ". Or x@y.org.")]
-    for r in pseudonymise(docs_frame(spark, texts), found="found").collect():
+    for r in pseudonymise(docs_frame(spark, texts), key="k", found="found").collect():
         end = texts[r.doc_id][5 + len(address):]
         assert r.found == [address] + ["x@y.org"] * ("x@y.org" in end)
         assert re.fullmatch("mail u[0-9a-f]{15}@example\\.invalid" + re.escape(end).replace(
@@ -291,6 +296,23 @@ def test_wrapped_notices_are_found(spark, width, sign):
         assert label in got[i].labels.split(",") and got[i].score == 1.0, texts[i]
 
 
+def test_scattered_words_of_short_templates_are_no_notice(spark):
+    """The words of each template, one or two to a line with prose between, spread
+    over one word more than its reach."""
+    rng = random.Random(9)
+    texts = ["the mit group met\nunder the old license it was released to others"]
+    for _, template in TEMPLATES:
+        words = list(dict.fromkeys(GAP_WORD.findall(template.translate(LOWER))))
+        reach = math.ceil(1.25 * len(GAP_WORD.findall(template.translate(LOWER))))
+        gap = "\n".join(prose(rng, reach + 1 - len(words)))
+        half = len(words) // 2
+        texts.append(" ".join(words[:half]) + "\n" + gap + "\n" + " ".join(words[half:]))
+    got = {r.doc_id: r for r in scan_licenses(docs_frame(spark, texts)).collect()}
+    assert got[0].labels == ""
+    for i, (label, _) in enumerate(TEMPLATES, 1):
+        assert label not in got[i].labels.split(","), texts[i]
+
+
 def test_words_far_apart_are_no_wrapped_notice(spark):
     rng = random.Random(8)
     parts = [w for x in TEMPLATES[3][1].split() for w in [x] + prose(rng, 20) + ["\n"]]
@@ -309,7 +331,7 @@ def test_values_beside_digits_and_capitals(spark):
         "+33 6 12 34 56 78": "+33 6 12 34 56 78", "+49 1512 3456789": "+49 1512 3456789", "+1 5551234567": "+1 5551234567",
         "+44 (0)20 7946 0958": "+44 (0)20 7946 0958", "+442079460958": "+442079460958"}
     texts = [f"see {t}, please" for t in values]
-    rows = {r.doc_id: r.text for r in pseudonymise(docs_frame(spark, texts)).collect()}
+    rows = {r.doc_id: r.text for r in pseudonymise(docs_frame(spark, texts), key="k").collect()}
     for i, (text, value) in enumerate(values.items()):
         shape = re.sub("[0-9]", "#", texts[i])
         assert value not in rows[i] and re.sub("[0-9]", "#", rows[i]) == shape, text

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where no key is given; a production run passes its own secret.
-DEFAULT_KEY = "pseudonym-key-1"
+#: Session setting that names the secret key of the pseudonyms.
+KEY_CONF = "touchline.pii.key"
+#: Key of the registered queries where the session names none: a public value, for
+#: reproducible trial runs only.  Whoever knows the key can undo the permutations.
+TRIAL_KEY = "pseudonym-key-1"
 ROUNDS = 10
 #: Dates from 1900-01-01 to 2099-12-31 are permuted among themselves.
 FIRST_DAY, DAYS = "1900-01-01", 73_049
@@ -27,12 +32,14 @@ PATTERNS = {
     "iban": _EDGE + "(?:" + "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}"
                                      for n, names in IBAN_COUNTRIES.items())
             + f"|(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)" + _END,
-    "date": _EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _END,
+    "date": _EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
+            + r"(?:(?![\p{L}\p{N}_])|(?=[Tt][0-9]{2}:?[0-9]{2}))",
     "ip": r"(?<![\p{L}\p{N}_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[\p{L}\p{N}_])",
     "ssn": r"(?<![\p{L}\p{N}_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[\p{L}\p{N}_])",
     "card": r"(?<![\p{L}\p{N}_-])[0-9](?:[ -]?[0-9]){12,18}(?!-?[\p{L}\p{N}_])",
     "phone": r"(?<![\p{L}\p{N}_])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}" + _END
-             + r"|(?<![\p{L}\p{N}_])\+[0-9](?:[ .-]?\(?[0-9]\)?){7,14}" + _END,
+             + r"|(?<![\p{L}\p{N}_])\+[0-9](?:[ .-]?\(?[0-9]\)?){7,14}" + _END
+             + r"|(?<![\p{L}\p{N}_.-])(?<![0-9] )0[1-9]([ .-])[0-9]{2}(?:\1[0-9]{2}){3}(?![.-]?[\p{L}\p{N}_]| [0-9])",
     "secret": _EDGE + r"(?:AKIA[A-Z0-9]{16}|[A-Za-z]{2,4}_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|"
               r"(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[a-f0-9]{32,}|[A-F0-9]{32,}))" + _END,
 }
@@ -203,12 +210,20 @@ def _letters(m: Column, key: str, kind: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    """The part before @ becomes 12 hexadecimal signs, the host a reserved one."""
+    """The part before @ becomes u and 15 hexadecimal signs, the host a reserved one."""
     short = F.lpad(F.conv(_noise(key, F.lit("email"), F.lower(m)).cast("string"), 10, 16), 15, "0")
     return F.concat(F.lit("u"), F.lower(short), F.lit("@example.invalid"))
 
 
-def pseudonym(m: Column, key: str = DEFAULT_KEY) -> Column:
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names, else the trial key with a warning."""
+    key = spark.conf.get(KEY_CONF, None)
+    if not key:
+        warnings.warn(f"{KEY_CONF} is not set: pseudonyms use a public trial key and can be undone")
+    return key or TRIAL_KEY
+
+
+def pseudonym(m: Column, key: str) -> Column:
     """The replacement of one match: by its kind, if it is valid, else itself."""
     def is_a(kind: str) -> Column:
         return m.rlike("^(?:" + PATTERNS[kind] + ")$")
@@ -222,7 +237,7 @@ def pseudonym(m: Column, key: str = DEFAULT_KEY) -> Column:
             .when(is_a("secret"), _letters(m, key, "secret")).otherwise(m))
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, found: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", *, key: str, found: str | None = None) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced; other columns unchanged.
 
     E-mail addresses, IBANs (mod 97), dates, IPv4 addresses, US social security
@@ -230,12 +245,15 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, fo
     and dates are permuted by a keyed Feistel network inside their own format: the
     same value gives the same pseudonym in every document, different values give
     different ones, separators and length stay, and checksums still hold.  Numbers
-    that fail validation are left.  ``found``: name of an array column to add
+    that fail validation are left.  ``key`` is a secret that the caller keeps; an
+    empty one is an error.  ``found``: name of an array column to add
     with the values that were replaced (a column of that name is overwritten).
 
     Null text stays null, empty stays empty; rows are never added or dropped.  Row
     by row in the executors' JVM: no shuffle, any skew is harmless.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     column = F.col(text)
     parts = F.split(column, _ANY, -1)
     matches = F.regexp_extract_all(column, F.lit(_ANY), F.lit(0))

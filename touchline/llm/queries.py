@@ -32,8 +32,8 @@ def op2_quality_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from touchline.llm.pii import pseudonymise
-    docs = pseudonymise(read_table(spark, sf_dir, "documents"), found="found")
+    from touchline.llm.pii import pseudonymise, session_key
+    docs = pseudonymise(read_table(spark, sf_dir, "documents"), key=session_key(spark), found="found")
     return docs.withColumn("n_replaced", F.size("found")).withColumn("n_chars", F.length("text").cast("long")).drop("found")
 
 
