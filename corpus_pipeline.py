@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from touchline.llm.minhash import drop_near_duplicates
 from touchline.llm.mixing import mix_sources
 from touchline.llm.packing import pack_documents
-from touchline.llm.pii import pseudonymise
+from touchline.llm.pii import pseudonymise, session_key
 from touchline.llm.quality import log_ratios, ngram_counts, score_documents, trusted_documents
 from touchline.session import scratch_path
 from touchline.sources.tables import read_table
@@ -40,8 +40,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes pseudonyms; ``n_chars`` follows the new text."""
-    return pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Personal data becomes pseudonyms under the session's key; ``n_chars`` follows the new text."""
+    return pseudonymise(docs, key=session_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
