@@ -80,3 +80,16 @@ def test_fifty_thousand_levels(spark, tmp_path):
         assert vec.size == len(names) and list(vec.indices) == ([place[v]] if v in place else [])
     with pytest.raises(ValueError):
         codes.to_json()
+
+
+def test_dummies_of_many_levels(spark):
+    """Columns beyond the list limit become a sparse vector; nulls have a place of their own."""
+    from touchline.operators.encoders import dummy_encode
+    rows = spark.range(12_002).select("id", F.when(F.col("id") < 12_000, F.concat(F.lit("no "), F.col("id").cast("string"))).alias("name"),
+                                      F.when(F.col("id") % 2 == 0, "x y").alias("side"))
+    out = dummy_encode(rows, ["name", "side"])
+    assert out.columns == ["id", "side_x_y", "side_null", "name_levels"]
+    place = {v: i for i, v in enumerate(sorted(f"no_{i}" for i in range(12_000)))}
+    for r in out.collect():
+        assert r.name_levels.size == 12_001 and (r.side_x_y, r.side_null) == (1 - r.id % 2, r.id % 2)
+        assert list(r.name_levels.indices) == [place.get(f"no_{r.id}", 12_000)]

@@ -14,7 +14,7 @@ registry.load_all()
 FAST = ["fitted_groupby_then_mean", "pass_geometry", "derive_features", "groupby_then_rank", "groupby_then_median",
         "combine", "fitted_combine", "prepared_runs", "metric_by_experiment", "roc_curve", "roc_auc",
         "calibration_curve", "possession_points", "avg_position_lineup", "describe_numeric", "mutual_info_binned",
-        "candidate_features", "stage1_scores", "gmm_pdf_grid", "one_hot", "stratified_folds", "mutual_info_knn", "mutual_info_regression"]
+        "candidate_features", "stage1_scores", "gmm_pdf_grid", "one_hot", "dummy_encode", "stratified_folds", "mutual_info_knn", "mutual_info_regression"]
 
 
 def _norm(v):

@@ -84,21 +84,25 @@ class OneHotModel:
 
 
 def dummy_encode(df: DataFrame, cols: list[str]) -> DataFrame:
-    """FE6: dummies from the levels present (spaces → '_'), null gets ``<col>_null``."""
+    """FE6: dummies from the levels present (spaces → '_'), null gets ``<col>_null``.
+    A column with more than ``MAX_LEVELS`` levels becomes one sparse vector
+    ``<col>_levels`` over its level codes, nulls taking one place more at the end."""
     clean = df.withColumns({c: F.regexp_replace(F.col(c).cast("string"), " ", "_") for c in cols})
-    nd = clean.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-    for c in cols:
-        if nd[c] > MAX_LEVELS:
-            raise ValueError(f"{c} has {nd[c]} levels (> {MAX_LEVELS})")
-    row = clean.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in cols],
-                    *[F.max(F.col(c).isNull().cast("int")).alias(f"{c}__hasnull") for c in cols]).first()
+    lists, tables, sizes = fit_levels(clean, cols)
+    has_null = clean.agg(*[F.max(F.col(c).isNull()).alias(c) for c in cols]).first()
     add = {}
-    for c in cols:
-        for lv in row[c]:
+    for c, levels in lists.items():
+        for lv in levels:
             add[f"{c}_{lv}"] = F.coalesce((F.col(c) == F.lit(lv)).cast("int"), F.lit(0))
-        if row[f"{c}__hasnull"]:
+        if has_null[c]:
             add[f"{c}_null"] = F.col(c).isNull().cast("int")
-    return clean.withColumns(add).drop(*cols)
+    out = clean.withColumns(add).drop(*lists)
+    for c, table in tables.items():
+        out = lookup_codes(out, c, table, sizes[c], "__code").withColumn("__code", F.coalesce("__code", F.lit(sizes[c])).cast("double"))
+        encoder = OneHotEncoder(inputCols=["__code"], outputCols=[f"{c}_levels"], handleInvalid="error", dropLast=False)
+        last = table.sparkSession.range(1).select(F.lit(float(sizes[c] - 1 + bool(has_null[c]))).alias("__code"))
+        out = encoder.fit(last).transform(out).drop("__code", c)
+    return out
 
 
 @dataclass
