@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import docs_frame, prose, shingles, union_find, words
+from touchline.llm import neighbours
 from touchline.llm.components import components
 from touchline.llm.minhash import BLOCK, banding, drop_near_duplicates, near_duplicates, sketch_floor
-from touchline.llm.neighbours import near_vectors
+from touchline.llm.neighbours import PART, cosines, leaves, near_vectors
 from touchline.llm.substrings import remove_repeats, rightmost_minimum
 
 
@@ -179,6 +180,58 @@ def test_vectors_audit_counts_every_link(spark):
     assert near_vectors(frame).agg(F.sum("n_links")).first()[0] == int((m @ m.T >= 0.95).sum() - len(data))
 
 
+def crowded_vectors(crowd, pairs, dim=64):
+    """A crowd at cosine about 0.90 in which ``pairs`` vectors have a partner at 0.953."""
+    rng = np.random.default_rng(5)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    middle = unit(rng.standard_normal(dim))
+    own = rng.standard_normal((crowd, dim))
+    own = unit(own - np.outer(own @ middle, middle))
+    side = rng.standard_normal((pairs, dim))
+    side -= np.outer(side @ middle, middle)
+    side = unit(side - (side * own[:pairs]).sum(1, keepdims=True) * own[:pairs])
+    near = 0.53 * own[:pairs] + np.sqrt(1 - 0.53 ** 2) * side
+    return rng.permutation(np.sqrt(0.9) * middle + np.sqrt(0.1) * np.vstack([own, near]))
+
+
+def test_no_link_is_lost_in_a_crowd(spark):
+    """More rows in a leaf than a part holds, and links that only few trees show."""
+    m = crowded_vectors(1500, 300)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    close = cosines(m, m) >= 0.95
+    np.fill_diagonal(close, False)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(frame).collect()}
+    root = union_find(range(len(m)), zip(*np.nonzero(close)))
+    assert {i: n for i, (n, _) in got.items()} == dict(enumerate(close.sum(1)))
+    assert {i: c for i, (_, c) in got.items()} == root
+
+
+def test_crowds_are_split_about_their_middle(spark):
+    """Parts stay bounded, hold every row once, and keep near pairs together more often than chance."""
+    m = crowded_vectors(3000, 300)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "node long, vector array<double>")
+    got = leaves(nodes, len(m), trees=1, leaf=len(m), seed=3).select("leaf", "part", "node").toPandas()
+    assert sorted(got.node) == list(range(len(m))) and got.groupby(["leaf", "part"]).size().max() <= 600
+    part = got.set_index("node").part
+    close = np.argwhere(np.triu(cosines(m, m) >= 0.95, 1))
+    together = np.mean([part[a] == part[b] for a, b in close])
+    assert together > 1.5 * PART / len(m)
+
+
+@pytest.mark.parametrize("most", [100, 5000])
+def test_audit_of_every_vector_finds_every_missing_link(spark, monkeypatch, most):
+    monkeypatch.setattr(neighbours, "AUDIT_MOST", most)
+    m = crowded_vectors(300, 40)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "node long, vector array<double>")
+    nothing = spark.createDataFrame([], "id long, component long")
+    missed, lost, seen = neighbours.audit(nodes, len(m), nothing, 0.95, len(m), 1)
+    want = int((cosines(m, m) >= 0.95).sum()) - len(m)
+    assert lost == seen == want and missed.distinct().count() == want
+
+
 @pytest.fixture
 def no_broadcast(monkeypatch):
     """As if every counted side were too large to broadcast."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from touchline.llm.components import components
 from touchline.llm.frames import broadcast_if_small, cut, drop_stand_in, kept, key_or_hash, per_batch
 from touchline.session import ship_package
 
+log = logging.getLogger(__name__)
+
 LINK = 0.95
 #: Length of a neighbour list before it is enlarged.
 LIST = 12
@@ -21,9 +26,16 @@ LIST = 12
 TREES, LEAF = 16, 192
 #: A leaf or component with more rows than this is compared in parts of this size.
 PART = 512
-ROUNDS = 2
-#: Vectors whose links are searched among all rows to measure recall, each time.
-AUDIT, AUDIT_ROUNDS = 256, 4
+#: Cells whose means (SPLITS numbers each) may be broadcast, about 25 MB.
+CROWDS = 100_000
+#: Planes a tree holds ready to split crowded leaves about their own middle.
+SPLITS = 32
+#: Vectors whose links are searched among all rows to measure recall: at least the
+#: first number and four times the root of the table's nodes, four times as many
+#: after each audit that finds a link missing, up to all of them; the second number
+#: is searched in one pass over the rows, the third compared at once, the fourth is
+#: how often trees are grown.
+AUDIT, AUDIT_MOST, AUDIT_BLOCK, AUDIT_ROUNDS = 1024, 16384, 1024, 8
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -76,9 +88,9 @@ def _leaf_lists(table: pa.Table, link: float, size: int) -> pa.Table:
 
 
 def leaves(nodes: DataFrame, n: int, trees: int, leaf: int, seed: int) -> DataFrame:
-    """(leaf, node, vector): each vector once a tree.  A leaf is a tree number and
-    the signs of random projections; a leaf of more than PART rows is dealt into
-    parts at random, differently in each tree."""
+    """(leaf, part, node, vector): each vector once a tree.  A leaf is a tree number
+    and the signs of random projections.  Leaves of more than PART rows hold a crowd
+    that planes through the origin do not tell apart: see ``split_crowds``."""
     depth = max(0, math.ceil(math.log2(max(1, n) / leaf)))
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -95,10 +107,64 @@ def leaves(nodes: DataFrame, n: int, trees: int, leaf: int, seed: int) -> DataFr
     coded = per_batch(nodes.select("node", "vector"), "node long, vector array<double>, codes array<long>", make, rows=2048)
     coded = cut(coded)
     sizes = coded.select(F.explode("codes").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("size"))
-    large = kept(sizes.where(F.col("size") > PART).select("leaf", F.ceil(F.col("size") / PART).cast("int").alias("parts")))
-    rows = coded.select("node", "vector", F.explode("codes").alias("leaf")).join(broadcast_if_small(large), "leaf", "left")
-    part = F.pmod(F.xxhash64("node", "leaf", F.lit(seed)), F.coalesce("parts", F.lit(1)))
-    return rows.select("leaf", part.alias("part"), "node", "vector")
+    large = kept(sizes.where(F.col("size") > PART))
+    n_large = large.count()
+    rows = coded.select("node", "vector", F.explode("codes").alias("leaf"))
+    plain = rows.select("leaf", F.lit(0).cast("long").alias("part"), "node", "vector")
+    if not n_large:
+        return plain
+    plain = plain.join(broadcast_if_small(large.select("leaf"), n_large), "leaf", "left_anti")
+    crowds = split_crowds(coded, large, n_large, seed).join(coded.select("node", "vector"), "node")
+    return plain.union(crowds.select("leaf", "part", "node", "vector"))
+
+
+def split_crowds(coded: DataFrame, large: DataFrame, n_large: int, seed: int) -> DataFrame:
+    """(leaf, part, node) for the rows of the leaves ``large``.
+
+    Near vectors differ from their crowd's middle in different directions, so a
+    crowd is split by planes through its middle (a projection against the leaf's
+    mean projection), as many as bring it down to PART rows; cells that are still
+    crowded are split again about their own middle.  Where a tree's SPLITS planes
+    are used up the rest is dealt at random, differently in each tree."""
+    def make(batch: pa.RecordBatch) -> Iterator[dict]:
+        lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(lengths):
+            part = batch.filter(pa.array(lengths == dim))
+            x = _matrix(part.column(1))
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            codes = part.column(2).flatten().to_numpy().reshape(part.num_rows, -1)
+            for tree in range(codes.shape[1]):
+                planes = np.random.default_rng([seed, 7, int(dim), tree]).standard_normal((int(dim), SPLITS))
+                sides = pa.array((x @ planes).astype(np.float32).ravel())
+                at = pa.array(np.arange(0, SPLITS * part.num_rows + 1, SPLITS, dtype=np.int32))
+                yield {"node": part.column(0), "leaf": pa.array(codes[:, tree]), "sides": pa.ListArray.from_arrays(at, sides)}
+
+    told = per_batch(coded.select("node", "vector", "codes"), "node long, leaf long, sides array<float>", make, rows=2048)
+    wanted = F.ceil(F.log2(F.col("size") / PART)).cast("int")
+    rows = told.join(broadcast_if_small(large.select("leaf", "size"), n_large), "leaf")
+    rows = cut(rows.select("leaf", F.lit(0).cast("long").alias("part"), "node", "sides", "size", F.lit(0).alias("used")))
+    done = None
+    while True:
+        open_rows = rows.where((F.col("size") > PART) & (F.col("used") < SPLITS))
+        if open_rows.isEmpty():
+            break
+        settled = rows.where((F.col("size") <= PART) | (F.col("used") >= SPLITS)).drop("sides")
+        done = settled if done is None else done.union(settled)
+        means = kept(open_rows.groupBy("leaf", "part").agg(*(F.avg(F.col("sides")[i]).alias(f"s{i}") for i in range(SPLITS)))
+                     .select("leaf", "part", F.array(*(f"s{i}" for i in range(SPLITS))).alias("middle")))
+        beside = open_rows.join(broadcast_if_small(means, limit=CROWDS), ["leaf", "part"])
+        bits = F.least(wanted, F.lit(SPLITS) - F.col("used"))
+        above = F.zip_with("sides", "middle", lambda a, b: (a > b).cast("int"))
+        cell = F.concat_ws("", F.slice(above, F.col("used") + 1, bits))
+        moved = kept(beside.select("leaf", F.xxhash64("part", cell).alias("part"), "node", "sides", (F.col("used") + bits).alias("used")))
+        sizes = moved.groupBy("leaf", "part").agg(F.count("*").alias("size"))
+        rows = cut(moved.join(broadcast_if_small(kept(sizes)), ["leaf", "part"])
+                   .select("leaf", "part", "node", "sides", "size", "used"))
+    rest = rows.drop("sides")
+    done = rest if done is None else done.union(rest)
+    parts = F.ceil(F.col("size") / PART)
+    dealt = F.when(parts > 1, F.xxhash64("part", F.pmod(F.xxhash64("node", "leaf", F.lit(seed)), parts))).otherwise(F.col("part"))
+    return done.select("leaf", dealt.alias("part"), "node")
 
 
 def nearest(found: DataFrame, size: int) -> DataFrame:
@@ -185,18 +251,38 @@ def count_links(members: DataFrame, link: float) -> DataFrame:
     return found.groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def audit(nodes: DataFrame, found: DataFrame, link: float, size: int, seed: int) -> tuple[DataFrame, int, int]:
-    """Links of a bounded sample of vectors, searched among all rows in blocks:
-    (those between different components, their number, all links found)."""
-    sample = nodes.select("node", "vector").orderBy(F.xxhash64("node", F.lit(seed))).limit(size).collect()
-    by_dim: dict[int, tuple] = {}
-    for dim in {len(r["vector"]) for r in sample}:
-        own = [r for r in sample if len(r["vector"]) == dim]
-        by_dim[dim] = (np.array([r["node"] for r in own]), np.array([r["vector"] for r in own], dtype=np.float64))
+def audit(nodes: DataFrame, n: int, found: DataFrame, link: float, size: int, seed: int) -> tuple[DataFrame, int, int]:
+    """Links of a sample of ``size`` of the ``n`` vectors, searched among all rows:
+    (those between different components, their number, all links found).  A sample
+    beyond AUDIT_MOST is searched in passes of about that many."""
+    place = F.xxhash64("node", F.lit(seed))
+    if min(size, n) <= AUDIT_MOST:
+        samples = [nodes.orderBy(place).limit(size)]
+    else:
+        slices = -(-n // AUDIT_MOST)
+        samples = [nodes.where(F.pmod(place, F.lit(slices)) == k) for k in range(min(slices, -(-size // AUDIT_MOST)))]
+    passes = [sample_links(nodes, x, link) for x in samples]
+    links = kept(reduce(DataFrame.union, passes))
+    names = found.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    other = found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    marked = links.join(names, "a", "left").join(other, "b", "left")
+    missed = kept(marked.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
+    return missed, missed.count(), links.count()
+
+
+def sample_links(nodes: DataFrame, chosen: DataFrame, link: float) -> DataFrame:
+    """(a, b): links of the few rows ``chosen`` among all rows, in blocks."""
+    sample = chosen.select("node", "vector").toArrow().combine_chunks()
+    lengths = pc.list_value_length(sample.column("vector"))
+    blocks: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for dim in lengths.unique().to_pylist():
+        own = sample.filter(pc.equal(lengths, dim)).combine_chunks()
+        ids, vectors = own.column("node").to_numpy(), _matrix(own.column("vector").combine_chunks())
+        blocks += [(dim, ids[at:at + AUDIT_BLOCK], vectors[at:at + AUDIT_BLOCK]) for at in range(0, len(ids), AUDIT_BLOCK)]
 
     def make(batch: pa.RecordBatch) -> Iterator[dict]:
         lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-        for dim, (ids, vectors) in by_dim.items():
+        for dim, ids, vectors in blocks:
             part = batch.filter(pa.array(lengths == dim))
             if part.num_rows:
                 a, b = np.nonzero(cosines(vectors, _matrix(part.column(1))) >= link)
@@ -204,12 +290,19 @@ def audit(nodes: DataFrame, found: DataFrame, link: float, size: int, seed: int)
                 keep = ids[a] != other
                 yield {"a": pa.array(ids[a][keep]), "b": pa.array(other[keep])}
 
-    links = kept(per_batch(nodes.select("node", "vector"), "a long, b long", make, rows=2048))
-    names = found.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    other = found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    marked = links.join(names, "a", "left").join(other, "b", "left")
-    missed = kept(marked.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
-    return missed, missed.count(), links.count()
+    return cut(per_batch(nodes.select("node", "vector"), "a long, b long", make, rows=2048))
+
+
+def descend(graph: DataFrame, nodes: DataFrame, link: float, size: int) -> DataFrame:
+    """Rounds of NN-descent until the lists gain no further link: a list keeps the
+    nearest of a growing set, so its links only grow in number, up to its size."""
+    known = -1
+    while True:
+        graph = refine(graph, nodes, size)
+        links = graph.where(F.col("sim") >= link).count()
+        if links <= known:
+            return graph
+        known = links
 
 
 def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", link: float = LINK, size: int = LIST,
@@ -218,13 +311,15 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     1. Equal vectors become one node with a count.
     2. Random-hyperplane trees give each node a first list of near nodes, and
-       links that join near nodes of a leaf.
-    3. NN-descent: neighbours of neighbours are compared and lists refined.
+       links that join near nodes of a leaf; crowded leaves are split about their middle.
+    3. NN-descent: neighbours of neighbours are compared and lists refined until a
+       round brings no further link.
     4. List entries at the threshold are links; they give components.  Inside a
        component every list is enlarged to the whole component, compared exactly
        in parts, so that no saturated list hides a link.
     5. The recall of a fresh sample is audited against all rows; missed links are
-       added, and more trees are grown until an audit finds none missing.
+       added, and more trees are grown and more vectors audited until an audit finds
+       none missing or has searched every vector; each audit's recall is logged.
 
     Vectors that are null, zero or hold null or non-finite components link with
     nothing, nor do vectors of different lengths.  Null keys stay null and never
@@ -244,18 +339,22 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
         pairs = cut(dealt.groupBy("leaf", "part").applyInArrow(lambda t: _leaf_lists(t, link, size), "u long, v long, sim double"))
         lists = pairs.where("sim <= 1.5")
         graph = kept(nearest(lists if graph is None else lists.union(graph), size))
-        for _ in range(ROUNDS):
-            graph = refine(graph, nodes, size)
-        graph = cut(graph, narrow=True)
+        graph = cut(descend(graph, nodes, link, size), narrow=True)
         new = graph.where(F.col("sim") >= link).select(F.col("u").alias("a"), F.col("v").alias("b")).union(
             pairs.where("sim > 1.5").select("u", "v"))
         links = new if links is None else links.union(new)
         found = components(links)
-        missed, lost, _ = audit(nodes, found, link, AUDIT, seed + 1000 + turn)
+        sample = max(AUDIT, 4 * math.isqrt(n)) * 4 ** turn
+        missed, lost, seen = audit(nodes, n, found, link, sample, seed + 1000 + turn)
+        recall = 1 - lost / seen if seen else 1.0
+        log.log(logging.WARNING if lost else logging.INFO, "op1 audit %d: %d of %d links of %d vectors missing, recall %.5f",
+                turn, lost, seen, min(n, sample), recall)
         if not lost:
             break
         links = links.union(missed)
         found = components(links)
+        if sample >= n:
+            break  # every row was searched: nothing is missing now
     members = nodes.join(found.select(F.col("id").alias("node"), "component"), "node").select("component", "node", "m", "vector")
     counts = count_links(members, link)
     least = nodes.join(found.select(F.col("id").alias("node"), "component"), "node").groupBy("component").agg(F.min("least").alias("first"))
