@@ -61,3 +61,83 @@ def test_batch_score_argmax_rule(spark, frame):
     bad = out.where(((F.col("prediction") == 1) & (F.col("probability") <= 0.5)) |
                     (F.col("probability") < 0.5)).count()
     assert bad == 0
+
+
+def _numbers(spark, n):
+    return spark.range(n).select("id", (F.col("id") % 7).cast("double").alias("a"), ((F.col("id") * 31) % 11).cast("double").alias("b"),
+                                 (F.col("id") % 3 == 0).cast("double").alias("label"))
+
+
+def test_bic_curve_takes_one_scan_a_step_and_mllibs_values(spark, monkeypatch):
+    from touchline.operators import density as D
+    rows = spark.range(400).select((F.rand(3) * 10 + F.col("id") % 2 * 30).alias("x"), (F.rand(4) * 8 + F.col("id") % 3 * 20).alias("y")).cache()
+    by_mllib = {k: D.fit_gmm(rows, k, 5)[0].summary.logLikelihood for k in (2, 3)}
+    steps, em = [], D.em_sums
+    monkeypatch.setattr(D, "em_sums", lambda *a: steps.append(len(a[1])) or em(*a))
+    found = {r["k"]: r["log_likelihood"] for r in D.gmm_bic_curve(rows, [1, 2, 3], seed=5).collect()}
+    for k, ll in by_mllib.items():
+        assert found[k] == pytest.approx(ll, rel=1e-9)
+    assert len(steps) <= 100 and steps[0] == 2
+
+
+def test_trials_deal_out_the_folds_once_and_leave_no_files(spark, monkeypatch):
+    import os
+
+    from touchline.operators import modeling as ML
+    from touchline.session import checkpoint_dir
+    spec = ML.ModelSpec(["a", "b"], [], "label", {"maxIter": 1, "maxDepth": 2})
+    dealt, deal = [], ML.fold_rows
+    monkeypatch.setattr(ML, "fold_rows", lambda *a: dealt.append(1) or deal(*a))
+    monkeypatch.setattr(ML, "sample_params", lambda n, seed: [{"maxIter": 1, "maxDepth": 1 + i, "stepSize": 0.1, "subsamplingRate": 1.0} for i in range(n)])
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = {f for f in os.listdir(folder) if f.startswith("folds-")}
+    assert ML.param_search(spec, _numbers(spark, 200), "id", n_trials=3, k=2).count() == 3
+    ML.forward_selection(spec, _numbers(spark, 200), "id", k=2)
+    assert len(dealt) == 2
+    assert {f for f in os.listdir(folder) if f.startswith("folds-")} == before
+
+
+def test_large_folds_are_fitted_one_after_the_other(spark, monkeypatch):
+    import threading
+
+    from touchline.operators import modeling as ML
+    spec = ML.ModelSpec(["a", "b"], [], "label", {"maxIter": 1, "maxDepth": 1})
+    running, most, lock, fit = [], [], threading.Lock(), ML.fit
+
+    def watched(*a):
+        with lock:
+            running.append(1)
+            most.append(len(running))
+        try:
+            return fit(*a)
+        finally:
+            with lock:
+                running.pop()
+
+    monkeypatch.setattr(ML, "fit", watched)
+    monkeypatch.setattr(ML, "ROWS_AT_ONCE", 100)
+    assert ML.cross_val_oof(spec, _numbers(spark, 200), "id", k=3).count() == 200
+    assert max(most) == 1 and len(most) == 3
+
+
+def test_files_of_written_rows_are_bounded(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from touchline import session
+    from touchline.sources import io
+    monkeypatch.setattr(session, "FILE_ROWS", 100)
+    monkeypatch.setattr(io, "FILE_ROWS", 100)
+    io.write_partitioned(_numbers(spark, 1000), str(tmp_path / "view"), "label")
+    kept = session.stored(_numbers(spark, 1000).coalesce(1), "bounded")
+    assert kept.count() == spark.read.parquet(str(tmp_path / "view")).count() == 1000
+    files = [f.removeprefix("file://") for f in kept.inputFiles()] + [str(f) for f in (tmp_path / "view").rglob("*.parquet")]
+    assert max(pq.ParquetFile(f).metadata.num_rows for f in files) <= 100
+    session.discard(kept)
+
+
+def test_key_counts_hold_one_buffer_column_a_set(spark):
+    from touchline.operators import formula as FM
+    rows = _numbers(spark, 1000)
+    found = FM.key_counts(rows, [("a",), ("b",), ("a", "b")])
+    assert 7 <= found["a",] <= 9 and 11 <= found["b",] <= 14 and 77 <= found["a", "b"] <= 92
+    assert FM.key_counts(rows.where("id < 0"), [("a",)])["a",] >= 0
