@@ -1,7 +1,7 @@
 """Inference frames and scoring bundles.
 
-A bundle is a folder: the fitted formula state (lookup tables), the MLlib
-pipeline, the selected feature list, the category mapping and a one-row
+A bundle is a folder: the fitted formula state (lookup tables), the model
+(feature stages and trees), the selected feature list, the category mapping and a one-row
 manifest, all written with Spark writers and read back on any node.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +35,10 @@ def inference_frame(raw: DataFrame, rowwise: list[str], fitted: FittedFormulas |
     return mapping.apply(out) if mapping is not None else out
 
 
-def save_bundle(path: str, model: PipelineModel, fitted: FittedFormulas | None, rowwise: list[str],
+def save_bundle(path: str, model, fitted: FittedFormulas | None, rowwise: list[str],
                 features: list[str], mapping: CategoryCodes, spark: SparkSession, model_type: str = "gbt") -> None:
     """SNK3: freeze everything scoring needs."""
-    model.write().overwrite().save(os.path.join(path, "model"))
+    model.save(os.path.join(path, "model"), spark)
     if fitted is not None:
         fitted.save(os.path.join(path, "formulas"))
     manifest = {"model_type": model_type, "rowwise": rowwise, "selected_features": features,
@@ -56,7 +55,8 @@ def load_bundle(spark: SparkSession, path: str):
     except Exception as e:  # missing folder → a clear error instead of an analysis stack
         raise FileNotFoundError(f"bundle at {path} has no manifest") from e
     feats = manifest.get("best_features") or manifest.get("selected_features")
-    model = PipelineModel.load(os.path.join(path, "model"))
+    from touchline.operators.modeling import GradientModel
+    model = GradientModel.load(os.path.join(path, "model"), spark)
     fitted = FittedFormulas.load(spark, os.path.join(path, "formulas")) if manifest.get("has_formulas") else None
     mapping = CategoryCodes(manifest.get("categorical_mapping", {}))
     return model, fitted, manifest.get("rowwise", []), feats, mapping
