@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from touchline.operators import autofe as AF
 from touchline.operators import boosting as B
 from touchline.operators import modeling as ML
+from touchline.session import stored
 
 
 def rows(n=400, seed=3):
@@ -177,3 +178,18 @@ def test_stage2_ranks(spark, frame):
     perm = AF.stage2_select(df, ["x", "flag"], [], ["(x*flag)"], "y", params, method="permutation", repeats=2, row_id="id",
                             drop=["flag"], start="start").collect()
     assert [r.feature for r in perm] == ["(x*flag)"] and perm[0].importance > 0
+
+
+def test_one_stump_is_fitted_in_one_scan_without_stored_rows(spark, frame, monkeypatch):
+    """Rows that a fit reads a single time are not written; count and start margins come from one job."""
+    written = []
+    monkeypatch.setattr(B, "stored", lambda df, *a: written.append(a) or stored(df, *a))
+    df = one_flag(spark, frame)
+    for obj, label in ((B.Squared(), "x"), (B.Softmax(3), "three")):
+        model = B.boost(df, obj, label, rounds=1, depth=1, step=0.5)
+        assert not written and model.priors == pytest.approx(obj.priors(df, label))
+        start = df.withColumn("m", F.array(*[F.lit(p) for p in model.priors]))
+        given = B.boost(start if obj.width > 1 else start.withColumn("m", F.col("m")[0]), obj, label, rounds=1, depth=1, step=0.5, start="m")
+        assert [t.to_dict() for t in given.rounds[0]] == [t.to_dict() for t in model.rounds[0]]
+    B.boost(df, B.Squared(), "x", rounds=2, depth=1)
+    assert len(written) == 1

@@ -1,5 +1,7 @@
 """Invariants and brute-force checks: prefix sums, folds, ROC AUC, kernel density."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -166,3 +168,17 @@ def test_split_equals_ranked_rows(spark, ids):
         assert sorted(map(str, got.groupBy(*keys).count().collect())) == sorted(map(str, r.groupBy(*keys).count().collect()))
     plan = stratified_split(spark.range(500).withColumn("y", F.col("id") % 2), "id", "y")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_bucket_steps_equal_the_nested_expression_and_stay_small(spark):
+    """Worked out step by step, a row's octave is found once: nested, ``log2`` came 36 times a row."""
+    from touchline.operators.folds import plain_folds
+    from touchline.operators.ordinal import log_bucket, with_log_bucket
+    vals = [0.0, -0.0, 1.0, 0.999999999, 3.0, -3.0, 1e-300, 5e-324, 1e300, -2.5e17, float(1 << 59), float((1 << 60) - 1), math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    for sub in (1, 64, 800):
+        rows = with_log_bucket(df.withColumn("nested", log_bucket(F.col("v"), sub)), "v", sub, "b")
+        assert rows.columns == ["v", "nested", "b"]
+        assert [r.b for r in rows.collect()] == [r.nested for r in rows.collect()]
+    plan = plain_folds(spark.range(10), "id", 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("LOG2(") <= 2

@@ -156,12 +156,12 @@ def q_init_scores_number(spark, sf):
   FROM f JOIN leaf l ON l.fold = f.fold AND l.u = f.u WHERE f.y IS NOT NULL GROUP BY f.fold""", views=("passes",), dbl=("mean_label", "r2"))
 def q_regression_folds(spark, sf):
     """ML1/AGG35, regression: mean label and R² of each fold, scored by one half-step stump fitted on the other folds."""
-    rows = VectorAssembler(inputCols=["under_pressure"], outputCol="features").transform(pre(spark, sf))
-    folds = stored(plain_folds(rows.select("pass_id", "duration", "features"), "pass_id", 4, seed=42), "folds")
+    vector = VectorAssembler(inputCols=["under_pressure"], outputCol="features").transform
+    folds = stored(plain_folds(pre(spark, sf).select("pass_id", "duration", "under_pressure"), "pass_id", 4, seed=42), "folds")
     parts = None
     for i in range(4):
-        model = B.boost(folds.where(F.col("fold") != i), B.Squared(), "duration", rounds=1, depth=1, step=0.5)
-        part = model.transform(folds.where((F.col("fold") == i) & F.col("duration").isNotNull())).select("fold", "duration", F.col("margins")[0].alias("pred"))
+        model = B.boost(folds.where(F.col("fold") != i), B.Squared(), "duration", rounds=1, depth=1, step=0.5, features=vector)
+        part = model.transform(vector(folds.where((F.col("fold") == i) & F.col("duration").isNotNull()))).select("fold", "duration", F.col("margins")[0].alias("pred"))
         parts = part if parts is None else parts.unionByName(part)
     means = parts.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("mean_label"))
     return means.join(F.broadcast(MT.r2_score(parts, "duration", "pred", ["fold"])), "fold")
